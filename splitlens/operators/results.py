@@ -181,3 +181,21 @@ def ctr(events: DataFrame, exp_id: str, variants: Sequence[str] = VARIANTS,
     return g.select("variant", F.col("views").cast("bigint").alias("views"),
                     F.col("clicks").cast("bigint").alias("clicks"),
                     F.round(safe_div("clicks", "views"), RATE_DP).alias("ctr"))
+
+
+def segment_result(customer: DataFrame, orders: DataFrame, exp_id: str, start: dt.date,
+                   end: dt.date, segment_col: str = "c_mktsegment",
+                   variants: Sequence[str] = VARIANTS) -> DataFrame:
+    """``segment, variant, units, converted`` for every segment x variant.
+
+    The segment lives on the population table, so converted units are joined to it on the
+    unit id (a shuffle join of two per-unit tables; no fact rows take part)."""
+    units = population_units(customer, "c_custkey", exp_id, variants, extra_keys=[segment_col])
+    seg = customer.select(F.col("c_custkey").alias("unit_id"), segment_col)
+    conv = (unit_metrics(orders, start, end).select("unit_id").join(seg, "unit_id")
+            .withColumn("variant", variant_expr(F.col("unit_id"), exp_id, variants))
+            .groupBy("variant", segment_col).agg(F.count(F.lit(1)).alias("converted")))
+    return (units.join(conv, ["variant", segment_col], "left")
+            .select(F.col(segment_col).alias("segment"), "variant",
+                    F.col("units").cast("bigint").alias("units"),
+                    F.coalesce("converted", F.lit(0)).cast("bigint").alias("converted")))
