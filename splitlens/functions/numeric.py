@@ -1,9 +1,12 @@
-"""Special functions as Spark Column expressions (no UDFs).
+"""Special functions as Spark SQL expressions (no UDFs).
 
 Spark SQL has neither ``erf`` nor ``lgamma``.  The p-values of the chi-square and normal
 tests come from the regularised lower incomplete gamma function evaluated by its power
-series inside a higher-order ``aggregate``; ``ln Gamma`` is a shifted Stirling series.  These
-expressions run on already-aggregated rows (one row per test), so their per-row cost is
+series inside a higher-order ``aggregate``; ``ln Gamma`` is a shifted Stirling series.
+
+The kernels are generated as SQL text over column names (``*_sql``) and wrapped once with
+``F.expr``: a single parse in the JVM instead of thousands of Python-side Column calls.
+They run on already-aggregated rows (one row per test), so their per-row cost is
 irrelevant at scale.
 """
 
@@ -14,88 +17,122 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Series length for P(a, x); enough for x/2 <= 200 (larger arguments return 0 directly).
+# Series length for P(a, x); enough for x <= 200 (larger arguments give P = 1 directly).
 SERIES_TERMS = 400
 SERIES_MAX_ARG = 200.0
-_HALF_LN_2PI = 0.5 * math.log(2.0 * math.pi)
+_HALF_LN_2PI = repr(0.5 * math.log(2.0 * math.pi))
+
+
+def _s(x) -> str:
+    """SQL text of an argument: a column name / SQL expression, or a number."""
+    if isinstance(x, bool):
+        raise TypeError("boolean argument")
+    if isinstance(x, (int, float)):
+        return f"CAST({x!r} AS DOUBLE)"
+    if isinstance(x, str):
+        return f"({x})"
+    raise TypeError("kernel arguments are column names / SQL text or numbers")
+
+
+# ---------------------------------------------------------------- SQL text
+def ln_gamma_sql(z) -> str:
+    """ln Gamma(z), z > 0: Stirling series at w = z + 8 minus ln(z (z+1) ... (z+7))."""
+    z = f"CAST({_s(z)} AS DOUBLE)"
+    w = f"({z} + 8.0D)"
+    return (f"(({w} - 0.5D) * ln({w}) - {w} + {_HALF_LN_2PI}D"
+            f" + 1.0D / (12.0D * {w}) - 1.0D / (360.0D * power({w}, 3))"
+            f" + 1.0D / (1260.0D * power({w}, 5)) - 1.0D / (1680.0D * power({w}, 7))"
+            f" - ln({z} * ({z} + 1) * ({z} + 2) * ({z} + 3))"
+            f" - ln(({z} + 4) * ({z} + 5) * ({z} + 6) * ({z} + 7)))")
+
+
+def ln_beta_sql(a, b) -> str:
+    return f"({ln_gamma_sql(a)} + {ln_gamma_sql(b)} - {ln_gamma_sql(f'{_s(a)} + {_s(b)}')})"
+
+
+def gamma_p_sql(a, x) -> str:
+    """Regularised lower incomplete gamma P(a, x) = x^a e^-x / Gamma(a+1) * sum_n t_n,
+    t_0 = 1, t_n = t_{n-1} * x / (a + n)."""
+    a = f"CAST({_s(a)} AS DOUBLE)"
+    x = f"CAST({_s(x)} AS DOUBLE)"
+    series = (f"aggregate(sequence(1, {SERIES_TERMS}), named_struct('t', 1.0D, 's', 1.0D), "
+              f"(acc, n) -> named_struct('t', acc.t * {x} / ({a} + n), "
+              f"'s', acc.s + acc.t * {x} / ({a} + n)), acc -> acc.s)")
+    lead = f"exp({a} * ln({x}) - {x} - {ln_gamma_sql(f'{a} + 1.0D')})"
+    return (f"(CASE WHEN {x} IS NULL OR {a} IS NULL THEN CAST(NULL AS DOUBLE) "
+            f"WHEN {x} <= 0 THEN 0.0D WHEN {x} > {SERIES_MAX_ARG}D THEN 1.0D "
+            f"ELSE least(1.0D, {lead} * {series}) END)")
+
+
+def chi2_sf_sql(stat, dof) -> str:
+    """Upper tail of chi-square(dof) at stat: 1 - P(dof/2, stat/2)."""
+    st, d = _s(stat), _s(dof)
+    return (f"(CASE WHEN {st} IS NULL OR {d} IS NULL OR {d} <= 0 THEN CAST(NULL AS DOUBLE) "
+            f"ELSE 1.0D - {gamma_p_sql(f'{d} / 2.0D', f'{st} / 2.0D')} END)")
+
 
+def norm_p2_sql(z) -> str:
+    """Two-sided normal p-value 2 (1 - Phi(|z|)) = chi-square(1) tail at z^2."""
+    z = _s(z)
+    return chi2_sf_sql(f"{z} * {z}", 1)
 
-def _c(x) -> Column:
-    return x if isinstance(x, Column) else F.lit(x)
 
+def norm_sf_sql(z) -> str:
+    """Upper one-sided 1 - Phi(z)."""
+    z = _s(z)
+    half = f"({norm_p2_sql(z)} / 2.0D)"
+    return f"(CASE WHEN {z} >= 0 THEN {half} ELSE 1.0D - {half} END)"
 
+
+def norm_cdf_sql(z) -> str:
+    return f"(1.0D - {norm_sf_sql(z)})"
+
+
+def harmonic_sql(m) -> str:
+    """sum_{j=1..m} 1/j."""
+    return f"aggregate(sequence(1, CAST({_s(m)} AS INT)), 0.0D, (acc, j) -> acc + 1.0D / j)"
+
+
+# ---------------------------------------------------------------- Column wrappers
 def ln_gamma(z) -> Column:
-    """ln Gamma(z) for z > 0: Stirling series at z + 8, shifted back by ln(z (z+1) ... (z+7))."""
-    z = _c(z).cast("double")
-    w = z + 8.0
-    w2 = w * w
-    stirling = ((w - 0.5) * F.log(w) - w + _HALF_LN_2PI
-                + 1.0 / (12.0 * w) - 1.0 / (360.0 * w * w2)
-                + 1.0 / (1260.0 * w * w2 * w2) - 1.0 / (1680.0 * w * w2 * w2 * w2))
-    shift = F.log(z * (z + 1) * (z + 2) * (z + 3)) + F.log((z + 4) * (z + 5) * (z + 6) * (z + 7))
-    return stirling - shift
+    return F.expr(ln_gamma_sql(z))
 
 
 def ln_beta(a, b) -> Column:
-    return ln_gamma(a) + ln_gamma(b) - ln_gamma(_c(a) + _c(b))
+    return F.expr(ln_beta_sql(a, b))
 
 
 def gamma_p(a, x) -> Column:
-    """Regularised lower incomplete gamma P(a, x) by its power series."""
-    a = _c(a).cast("double")
-    x = _c(x).cast("double")
-    series = F.aggregate(
-        F.sequence(F.lit(1), F.lit(SERIES_TERMS)),
-        F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s")),
-        lambda acc, n: F.struct((acc["t"] * x / (a + n)).alias("t"),
-                                (acc["s"] + acc["t"] * x / (a + n)).alias("s")),
-        lambda acc: acc["s"],
-    )
-    lead = F.exp(a * F.log(x) - x - ln_gamma(a + 1.0))
-    return (F.when(x.isNull() | a.isNull(), F.lit(None).cast("double"))
-            .when(x <= 0, F.lit(0.0))
-            .when(x > SERIES_MAX_ARG, F.lit(1.0))
-            .otherwise(F.least(F.lit(1.0), lead * series)))
+    return F.expr(gamma_p_sql(a, x))
 
 
 def chi2_sf(stat, dof) -> Column:
-    """Upper tail of the chi-square distribution, 1 - P(dof/2, stat/2)."""
-    stat = _c(stat).cast("double")
-    dof = _c(dof).cast("double")
-    return (F.when(stat.isNull() | dof.isNull() | (dof <= 0), F.lit(None).cast("double"))
-            .otherwise(1.0 - gamma_p(dof / 2.0, stat / 2.0)))
+    return F.expr(chi2_sf_sql(stat, dof))
 
 
 def norm_two_sided_p(z) -> Column:
-    """2 * (1 - Phi(|z|)) == chi-square(1) tail at z^2."""
-    z = _c(z).cast("double")
-    return chi2_sf(z * z, F.lit(1.0))
+    return F.expr(norm_p2_sql(z))
 
 
 def norm_sf(z) -> Column:
-    """1 - Phi(z) (upper one-sided)."""
-    z = _c(z).cast("double")
-    half = norm_two_sided_p(z) / 2.0
-    return F.when(z >= 0, half).otherwise(1.0 - half)
+    return F.expr(norm_sf_sql(z))
 
 
 def norm_cdf(z) -> Column:
-    return 1.0 - norm_sf(z)
+    return F.expr(norm_cdf_sql(z))
+
+
+def harmonic(m) -> Column:
+    return F.expr(harmonic_sql(m))
 
 
 def _col(x) -> Column:
-    return F.col(x) if isinstance(x, str) else _c(x)
+    if isinstance(x, Column):
+        return x
+    return F.col(x) if isinstance(x, str) else F.lit(x)
 
 
 def safe_div(num, den) -> Column:
     """NULL instead of an error (ANSI mode) when the denominator is 0 or NULL.
-
     Strings are column names here."""
     return F.try_divide(_col(num).cast("double"), _col(den).cast("double"))
-
-
-def harmonic(m) -> Column:
-    """sum_{j=1..m} 1/j for an integer column m (used by fdr_by)."""
-    m = _c(m)
-    return F.aggregate(F.sequence(F.lit(1), m.cast("int")), F.lit(0.0),
-                       lambda acc, j: acc + 1.0 / j)

@@ -70,7 +70,7 @@ def _windowed(df, p_col, method, family, tiebreak, alpha):
     elif method == "fdr_bh":
         adj = F.least(one, F.min(p * m / k).over(down_run))
     elif method == "fdr_by":
-        adj = F.least(one, F.min(p * m * harmonic(F.col("_m")) / k).over(down_run))
+        adj = F.least(one, F.min(p * m * harmonic("_m") / k).over(down_run))
     else:  # two-stage BH (tsbh) and Benjamini-Krieger-Yekutieli (tsbky), one iteration
         fact = 1.0 if method == "fdr_tsbh" else 1.0 + alpha
         alpha1 = alpha / fact

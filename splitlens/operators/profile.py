@@ -26,29 +26,33 @@ def _txt(c: str, dtype: T.DataType):
     return lambda e: e.cast("string")
 
 
+def column_profile(df: DataFrame, c: str, dtype: T.DataType) -> DataFrame:
+    """One profile row for column ``c``.
+
+    The column is first reduced to ``(value, count)`` -- a hash aggregate that reads only
+    this column from the scan and combines map-side -- and every statistic is derived from
+    that table: rows = sum of counts, distinct = non-null values, mean = weighted mean."""
+    txt = _txt(c, dtype)
+    numeric = isinstance(dtype, T.NumericType)
+    vc = df.groupBy(c).agg(F.count(F.lit(1)).alias("_cnt"))
+    v = F.col(c)
+    mean = (F.round(F.sum(v.cast("double") * F.col("_cnt")) / F.sum(F.when(v.isNotNull(), F.col("_cnt"))),
+                    RATE_DP) if numeric else F.lit(None).cast("double"))
+    return vc.agg(F.lit(c).alias("column"),
+                  F.sum("_cnt").cast("bigint").alias("rows"),
+                  F.coalesce(F.sum(F.when(v.isNull(), F.col("_cnt"))), F.lit(0)).cast("bigint").alias("nulls"),
+                  F.count(v).cast("bigint").alias("distinct"),
+                  txt(F.min(v)).alias("min_txt"), txt(F.max(v)).alias("max_txt"),
+                  mean.alias("mean"))
+
+
 def eda_profile(df: DataFrame) -> DataFrame:
-    """``column, rows, nulls, distinct, min_txt, max_txt, mean`` for every column, from one
-    aggregate over the table (exploded into one row per column afterwards)."""
-    aggs, rows = [], []
-    for i, f in enumerate(df.schema.fields):
-        c, txt = f.name, _txt(f.name, f.dataType)
-        numeric = isinstance(f.dataType, T.NumericType)
-        aggs += [F.count(F.col(c)).alias(f"nn{i}"),
-                 F.count_distinct(F.col(c)).alias(f"d{i}"),
-                 txt(F.min(c)).alias(f"lo{i}"), txt(F.max(c)).alias(f"hi{i}"),
-                 (F.round(F.avg(F.col(c).cast("double")), RATE_DP) if numeric
-                  else F.lit(None).cast("double")).alias(f"mu{i}")]
-        rows.append(F.struct(F.lit(c).alias("column"),
-                             (F.col("_rows") - F.col(f"nn{i}")).alias("nulls"),
-                             F.col(f"d{i}").alias("distinct"),
-                             F.col(f"lo{i}").alias("min_txt"), F.col(f"hi{i}").alias("max_txt"),
-                             F.col(f"mu{i}").alias("mean")))
-    one = df.agg(F.count(F.lit(1)).alias("_rows"), *aggs)
-    return (one.select("_rows", F.explode(F.array(*rows)).alias("p"))
-            .select("p.column", F.col("_rows").cast("bigint").alias("rows"),
-                    F.col("p.nulls").cast("bigint").alias("nulls"),
-                    F.col("p.distinct").cast("bigint").alias("distinct"),
-                    "p.min_txt", "p.max_txt", "p.mean"))
+    """``column, rows, nulls, distinct, min_txt, max_txt, mean`` for every column (exact)."""
+    parts = [column_profile(df, f.name, f.dataType) for f in df.schema.fields]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 # ---------------------------------------------------------------- N11 histogram / box

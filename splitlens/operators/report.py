@@ -15,7 +15,8 @@ def segment_tests(seg_result: DataFrame, a: str = "A", b: str = "B") -> DataFram
     """``segment, cvr_a, cvr_b, lift, z, p_raw`` (two-sided pooled z-test of A - B)."""
     w = S.wide_by_variant(seg_result, ["segment"], (a, b))
     xa, na, xb, nb = (f"converted_{a}", f"units_{a}", f"converted_{b}", f"units_{b}")
-    z, p = S.ztest_two_sample(xa, na, xb, nb)
+    w = S.ztest_two_sample(w, xa, na, xb, nb)
+    z, p = F.col("z"), F.col("p_value")
     cvr_a, cvr_b = safe_div(xa, na), safe_div(xb, nb)
     return w.select("segment",
                     F.round(cvr_a, RATE_DP).alias("cvr_a"),

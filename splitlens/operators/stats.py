@@ -12,8 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from splitlens.functions.numeric import (chi2_sf, ln_beta, norm_cdf, norm_sf,
-                                         norm_two_sided_p, safe_div)
+from splitlens.functions.numeric import (chi2_sf_sql, ln_beta_sql, norm_cdf_sql, norm_p2_sql,
+                                         norm_sf_sql, safe_div)
 from splitlens.pinned import INTERVAL_DP, STAT_DP, VARIANTS
 
 
@@ -69,43 +69,48 @@ def chi2_test(cells: DataFrame, row_col: str, col_col: str, n_col: str = "n",
     stat = (F.when(F.col("_dof") == 0, F.lit(0.0))
             .when(F.col("_bad") > 0, F.lit(None).cast("double"))
             .otherwise(F.col("_stat")))
-    p = F.when(F.col("_dof") == 0, F.lit(1.0)).otherwise(chi2_sf(stat, F.col("_dof")))
-    return agg.select(*keys, F.round(stat, STAT_DP).alias("statistic"),
-                      F.col("_dof").cast("bigint").alias("dof"),
-                      F.round(p, STAT_DP).alias("p_value"))
+    p = F.expr(f"CASE WHEN _dof = 0 THEN 1.0D ELSE {chi2_sf_sql('_x', '_dof')} END")
+    return (agg.select(*keys, stat.alias("_x"), "_dof")
+            .select(*keys, F.round("_x", STAT_DP).alias("statistic"),
+                    F.col("_dof").cast("bigint").alias("dof"),
+                    F.round(p, STAT_DP).alias("p_value")))
 
 
 # ---------------------------------------------------------------- T3 proportion z-tests
-def _p_for(z: Column, alternative: str) -> Column:
+def _p_sql(z: str, alternative: str) -> str:
     if alternative == "two-sided":
-        return norm_two_sided_p(z)
+        return norm_p2_sql(z)
     if alternative == "larger":
-        return norm_sf(z)
+        return norm_sf_sql(z)
     if alternative == "smaller":
-        return norm_cdf(z)
+        return norm_cdf_sql(z)
     raise ValueError(alternative)
 
 
-def ztest_two_sample(x1, n1, x2, n2, alternative: str = "two-sided") -> tuple[Column, Column]:
-    """Pooled two-proportion z-test of ``x1/n1 - x2/n2`` (value 0, pooled variance)."""
-    x1, n1, x2, n2 = (F.col(c) if isinstance(c, str) else c for c in (x1, n1, x2, n2))
-    p1 = safe_div(x1, n1)
-    p2 = safe_div(x2, n2)
-    pooled = safe_div(x1 + x2, n1 + n2)
-    se = F.sqrt(pooled * (1 - pooled) * (safe_div(F.lit(1), n1) + safe_div(F.lit(1), n2)))
-    z = F.try_divide(p1 - p2, se)
-    return z, _p_for(z, alternative)
+def _d(a, b) -> str:
+    return f"try_divide(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE))"
 
 
-def ztest_one_sample(x, n, value: float, alternative: str = "two-sided",
-                     prop_var: float | None = None) -> tuple[Column, Column]:
+def ztest_two_sample(df: DataFrame, x1: str, n1: str, x2: str, n2: str,
+                     alternative: str = "two-sided") -> DataFrame:
+    """Pooled two-proportion z-test of ``x1/n1 - x2/n2`` (value 0, pooled variance).
+    Arguments are column names of ``df``; adds unrounded ``z`` and ``p_value``."""
+    pooled = _d(f"{x1} + {x2}", f"{n1} + {n2}")
+    se = f"sqrt({pooled} * (1 - {pooled}) * ({_d(1, n1)} + {_d(1, n2)}))"
+    z = f"try_divide({_d(x1, n1)} - {_d(x2, n2)}, {se})"
+    return (df.withColumn("z", F.expr(z))
+            .withColumn("p_value", F.expr(_p_sql("z", alternative))))
+
+
+def ztest_one_sample(df: DataFrame, x: str, n: str, value: float,
+                     alternative: str = "two-sided", prop_var: float | None = None) -> DataFrame:
     """One-proportion z-test; the variance uses the sample proportion unless ``prop_var``."""
-    x, n = (F.col(c) if isinstance(c, str) else c for c in (x, n))
-    p = safe_div(x, n)
-    pv = F.lit(prop_var) if prop_var is not None else p
-    se = F.sqrt(safe_div(pv * (1 - pv), n))
-    z = F.try_divide(p - F.lit(value), se)
-    return z, _p_for(z, alternative)
+    p = _d(x, n)
+    pv = repr(float(prop_var)) if prop_var is not None else p
+    se = f"sqrt(try_divide({pv} * (1 - {pv}), CAST({n} AS DOUBLE)))"
+    z = f"try_divide({p} - {float(value)!r}, {se})"
+    return (df.withColumn("z", F.expr(z))
+            .withColumn("p_value", F.expr(_p_sql("z", alternative))))
 
 
 def wide_by_variant(result: DataFrame, keys: Sequence[str] = (), variants=VARIANTS,
@@ -151,12 +156,11 @@ def prob_b_beats_a(posterior: DataFrame, keys: Sequence[str] = (), a: str = "A",
     lo = F.col("_chunk") * F.col("_size")
     hi = F.least((F.col("_chunk") + 1) * F.col("_size"), F.col("_ab").cast("bigint")) - 1
     terms = rows.select(*keys, "_aa", "_ba", "_bb", F.explode(F.sequence(lo, hi)).alias("_i"))
-    i = F.col("_i").cast("double")
-    log_term = (ln_beta(F.col("_aa") + i, F.col("_ba") + F.col("_bb"))
-                - F.log(F.col("_bb") + i)
-                - ln_beta(1.0 + i, F.col("_bb"))
-                - ln_beta(F.col("_aa"), F.col("_ba")))
-    summed = terms.groupBy(*keys).agg(F.sum(F.exp(log_term)).alias("_p"))
+    i = "CAST(_i AS DOUBLE)"
+    log_term = (f"{ln_beta_sql(f'_aa + {i}', '_ba + _bb')} - ln(_bb + {i})"
+                f" - {ln_beta_sql(f'1.0D + {i}', '_bb')} - {ln_beta_sql('_aa', '_ba')}")
+    terms = terms.select(*keys, F.expr(f"exp({log_term})").alias("_t"))
+    summed = terms.groupBy(*keys).agg(F.sum("_t").alias("_p"))
     return summed.select(*keys, F.round(F.least(F.lit(1.0), F.col("_p")), STAT_DP).alias("prob"))
 
 

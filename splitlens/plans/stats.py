@@ -97,18 +97,18 @@ pooled AS (SELECT *, (xa + xb) / (na + nb) AS pp FROM w)"""
 z AS (SELECT (xa / na - xb / nb) / sqrt(pp * (1 - pp) * (1 / na + 1 / nb)) AS z FROM pooled)
 SELECT round(z, 6) AS z, round({duck_norm_p2('z')}, 6) AS p_value FROM z""")
 def q_ztest_two_sample(spark, sf):
-    w = S.wide_by_variant(_total(spark, sf))
-    z, p = S.ztest_two_sample("converted_A", "units_A", "converted_B", "units_B")
-    return w.select(F.round(z, STAT_DP).alias("z"), F.round(p, STAT_DP).alias("p_value"))
+    w = S.ztest_two_sample(S.wide_by_variant(_total(spark, sf)),
+                           "converted_A", "units_A", "converted_B", "units_B")
+    return w.select(F.round("z", STAT_DP).alias("z"), F.round("p_value", STAT_DP).alias("p_value"))
 
 
 @query("ztest_one_sample", f"""{_WIDE},
 z AS (SELECT (xb / nb - {ONE_SAMPLE_NULL}) / sqrt((xb / nb) * (1 - xb / nb) / nb) AS z FROM pooled)
 SELECT round(z, 6) AS z, round({duck_norm_p2('z')}, 6) AS p_value FROM z""")
 def q_ztest_one_sample(spark, sf):
-    w = S.wide_by_variant(_total(spark, sf))
-    z, p = S.ztest_one_sample("converted_B", "units_B", ONE_SAMPLE_NULL)
-    return w.select(F.round(z, STAT_DP).alias("z"), F.round(p, STAT_DP).alias("p_value"))
+    w = S.ztest_one_sample(S.wide_by_variant(_total(spark, sf)), "converted_B", "units_B",
+                           ONE_SAMPLE_NULL)
+    return w.select(F.round("z", STAT_DP).alias("z"), F.round("p_value", STAT_DP).alias("p_value"))
 
 
 @query("ztest_one_sided", f"""{_WIDE},
@@ -118,9 +118,9 @@ SELECT round(z, 6) AS z,
                   ELSE 1 - {duck_norm_p2('z')} / 2 END, 6) AS p_value
 FROM z""")
 def q_ztest_one_sided(spark, sf):
-    w = S.wide_by_variant(_total(spark, sf))
-    z, p = S.ztest_two_sample("converted_B", "units_B", "converted_A", "units_A", "larger")
-    return w.select(F.round(z, STAT_DP).alias("z"), F.round(p, STAT_DP).alias("p_value"))
+    w = S.ztest_two_sample(S.wide_by_variant(_total(spark, sf)),
+                           "converted_B", "units_B", "converted_A", "units_A", "larger")
+    return w.select(F.round("z", STAT_DP).alias("z"), F.round("p_value", STAT_DP).alias("p_value"))
 
 
 # ---------------------------------------------------------------- T4

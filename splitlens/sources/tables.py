@@ -16,8 +16,19 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "conversations")
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+_READS: dict[tuple[int, str], DataFrame] = {}
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str, refresh: bool = False) -> DataFrame:
+    """Parquet table ``<sf_dir>/<name>.parquet``.
+
+    The DataFrame (and with it the file listing and footer schema) is reused within a
+    session; pass ``refresh=True`` after the files changed."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (id(spark._jsparkSession), path)
+    if refresh or key not in _READS:
+        _READS[key] = spark.read.parquet(path)
+    return _READS[key]
 
 
 def register_views(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
