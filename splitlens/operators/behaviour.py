@@ -38,7 +38,11 @@ def funnel_reach(events: DataFrame, steps: Sequence[str] = FUNNEL_STEPS,
     row per unit), so every stage is a partial aggregate plus an equi-join on the unit key;
     a unit with a very large share of rows is split by the adaptive skew-join rule.
     """
-    base = events.select("user_id", F.to_date("ts").alias("day"), "ts", "event_type")
+    # explicit not-null keys: the same predicates the step joins would infer, so every
+    # branch plans an identical step-1 aggregate and its shuffle is reused, not recomputed
+    base = (events.select("user_id", F.to_date("ts").alias("day"), "ts", "event_type")
+            .filter(F.col("user_id").isNotNull() & F.col("day").isNotNull()
+                    & F.col("ts").isNotNull()))
     unit = list(unit)
     reached = []
     prev = None
@@ -60,7 +64,9 @@ def funnel(events: DataFrame, steps: Sequence[str] = FUNNEL_STEPS, exp_id: str |
     for k, r in enumerate(funnel_reach(events, steps), 1):
         if exp_id:
             r = r.withColumn("variant", variant_expr(F.col("user_id"), exp_id, variants))
-        parts.append(r.groupBy(*group).agg(F.count(F.lit(1)).alias("user_days"))
+        # count(t_k), not count(*): keeps this branch's aggregate identical to the one the
+        # next step joins against, so the shuffle is computed once and reused
+        parts.append(r.groupBy(*group).agg(F.count(f"t{k}").alias("user_days"))
                      .withColumn("step", F.lit(steps[k - 1])).withColumn("step_no", F.lit(k)))
     counts = parts[0]
     for p in parts[1:]:
@@ -95,31 +101,36 @@ def heatmap(events: DataFrame, ts: str = "ts") -> DataFrame:
 
 
 # ---------------------------------------------------------------- N9 transitions
-def transitions(events: DataFrame, gap_seconds: int = SESSION_GAP_SECONDS) -> DataFrame:
+def transitions(events: DataFrame, gap_seconds: int = SESSION_GAP_SECONDS,
+                bucket_gaps: int = 4) -> DataFrame:
     """``from_type, to_type, n``: consecutive events of a user at most ``gap_seconds`` apart
     (i.e. inside one session; a longer gap starts a new session).
 
-    Events are bucketed by ``floor(time / gap)``.  Inside a bucket the predecessor comes
-    from ``lag`` over ``(user, bucket)``.  For the first event of a bucket the only possible
-    in-session predecessor is the last event of bucket - 1 (anything older is more than a
-    gap away), found by a 1:1 join of per-bucket first/last rows.
+    Events are bucketed by time, ``W = bucket_gaps * gap`` wide, and the window runs over
+    ``(user, bucket)`` -- never over a user alone, so one very active user is spread over
+    many tasks.  An event in the last ``gap`` of its bucket is also emitted as a *carry* row
+    into the next bucket: a predecessor within ``gap`` of a bucket's first event can only
+    lie there, and the latest carry row is the previous bucket's last event.  So ``lag``
+    inside ``(user, bucket)`` yields every event's true in-session predecessor in one
+    shuffle (about ``1 + 1/bucket_gaps`` times the rows), with no join.
     """
     gap_us = gap_seconds * 1_000_000
-    e = events.select("user_id", "event_id", "ts", "event_type",
-                      F.floor(epoch_micros("ts") / F.lit(gap_us)).alias("_b"))
+    width_us = gap_us * bucket_gaps
+    us = epoch_micros("ts")
+    b = F.floor(us / F.lit(width_us))
+    carry = us >= (b + 1) * F.lit(width_us) - F.lit(gap_us)
+    own = F.struct(b.alias("b"), F.lit(True).alias("own"))
+    nxt = F.struct((b + 1).alias("b"), F.lit(False).alias("own"))
+    rows = (events.select("user_id", "event_id", "ts", "event_type",
+                          F.explode(F.when(carry, F.array(own, nxt)).otherwise(F.array(own)))
+                          .alias("_k"))
+            .select("user_id", "event_id", "ts", "event_type",
+                    F.col("_k.b").alias("_b"), F.col("_k.own").alias("_own")))
     w = Window.partitionBy("user_id", "_b").orderBy("ts", "event_id")
-    inner = (e.withColumn("from_type", F.lag("event_type").over(w))
-             .filter(F.col("from_type").isNotNull())
-             .select("from_type", F.col("event_type").alias("to_type")))
-    order_key = F.struct("ts", "event_id")
-    ends = (e.groupBy("user_id", "_b")
-            .agg(F.min_by(F.struct("ts", "event_type"), order_key).alias("first"),
-                 F.max_by(F.struct("ts", "event_type"), order_key).alias("last")))
-    prev = ends.select("user_id", (F.col("_b") + 1).alias("_b"), F.col("last").alias("prev"))
-    cross = (ends.select("user_id", "_b", "first").join(prev, ["user_id", "_b"])
-             .filter(F.timestamp_diff("MICROSECOND", F.col("prev.ts"), F.col("first.ts"))
-                     <= F.lit(gap_us))
-             .select(F.col("prev.event_type").alias("from_type"),
-                     F.col("first.event_type").alias("to_type")))
-    return (inner.unionByName(cross).groupBy("from_type", "to_type")
+    pairs = (rows.withColumn("from_type", F.lag("event_type").over(w))
+             .withColumn("_prev_ts", F.lag("ts").over(w))
+             .filter(F.col("_own") & F.col("_prev_ts").isNotNull()
+                     & (F.timestamp_diff("MICROSECOND", F.col("_prev_ts"), F.col("ts"))
+                        <= F.lit(gap_us))))
+    return (pairs.groupBy("from_type", F.col("event_type").alias("to_type"))
             .agg(F.count(F.lit(1)).alias("n")))

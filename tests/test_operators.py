@@ -43,7 +43,8 @@ def test_ntile_and_percent_rank_match_sql(spark):
     assert _rows(got, ["k", "pr"]) == _rows(exp, ["k", "pr"])
 
 
-def test_transitions_match_naive_lag(spark):
+@pytest.mark.parametrize("bucket_gaps", [1, 3, 4])
+def test_transitions_match_naive_lag(spark, bucket_gaps):
     base = dt.datetime(2024, 1, 1)
     rnd = random.Random(5)
     data, eid = [], 0
@@ -55,7 +56,7 @@ def test_transitions_match_naive_lag(spark):
             data.append((eid, t, user, rnd.choice(["view", "click", "purchase"])))
             eid += 1
     ev = spark.createDataFrame(data, "event_id long, ts timestamp_ntz, user_id long, event_type string")
-    got = B.transitions(ev)
+    got = B.transitions(ev, bucket_gaps=bucket_gaps)
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     naive = (ev.withColumn("pt", F.lag("event_type").over(w)).withColumn("pts", F.lag("ts").over(w))
              .filter(F.col("pts").isNotNull()
