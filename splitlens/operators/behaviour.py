@@ -73,12 +73,11 @@ def funnel(events: DataFrame, steps: Sequence[str] = FUNNEL_STEPS, exp_id: str |
         counts = counts.unionByName(p)
     # at most len(steps) rows per group: a window over them is trivially small
     if exp_id:
-        spine = (counts.sparkSession.range(1)
-                 .select(F.explode(F.array(*[F.lit(v) for v in variants])).alias("variant")))
-        step_rows = counts.sparkSession.createDataFrame(
-            [(s, k) for k, s in enumerate(steps, 1)], "step string, step_no int")
-        counts = (F.broadcast(spine.crossJoin(step_rows))
-                  .join(counts, ["variant", "step", "step_no"], "left"))
+        # every variant x step, so a step nobody reached in a variant still shows 0
+        spine = counts.sparkSession.range(1).select(F.explode(F.array(*[
+            F.struct(F.lit(v).alias("variant"), F.lit(s).alias("step"), F.lit(k).alias("step_no"))
+            for v in variants for k, s in enumerate(steps, 1)])).alias("c")).select("c.*")
+        counts = F.broadcast(spine).join(counts, ["variant", "step", "step_no"], "left")
     counts = counts.withColumn("user_days", F.coalesce("user_days", F.lit(0)).cast("bigint"))
     w = (Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))).orderBy("step_no")
     prev = F.lag("user_days").over(w)

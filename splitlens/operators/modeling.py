@@ -17,7 +17,7 @@ SEED = 42
 CHURN_FEATURES = ("recency_days", "frequency", "monetary")
 
 
-def churn_model(features: DataFrame, max_iter: int = 20, max_depth: int = 3) -> DataFrame:
+def churn_model(features: DataFrame, max_iter: int = 10, max_depth: int = 3) -> DataFrame:
     """Fit a GBT on ``churn_features`` and score the same customers:
     ``c_custkey, churned, prediction``.  Features end before the label window (see
     ``cohorts.churn_features``), so the label cannot leak into them."""

@@ -45,3 +45,17 @@ def sql_read(spark: SparkSession, query: str, args: dict[str, Any] | None = None
     (``datetime.date`` stays a DATE), so no value is ever spliced into the SQL text.
     """
     return spark.sql(query, args=args or None, **frames)
+
+
+def warehouse_read(spark: SparkSession, url: str, query: str, **options: str) -> DataFrame:
+    """Run ``query`` on a remote SQL warehouse over JDBC and return the result as a DataFrame.
+
+    Spark pushes the whole query to the warehouse (``query`` option) and reads the result in
+    ``numPartitions`` parallel slices when ``partitionColumn`` / bounds are given.  Needs the
+    warehouse's JDBC driver on the classpath; credentials go in ``options`` (``user``,
+    ``password`` or driver-specific keys), never in the SQL text.
+    """
+    reader = spark.read.format("jdbc").option("url", url).option("query", query)
+    for k, v in options.items():
+        reader = reader.option(k, v)
+    return reader.load()
