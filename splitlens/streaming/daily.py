@@ -65,3 +65,22 @@ def daily_results_stream(orders: DataFrame, customer: DataFrame, exp_id: str,
                     F.col("orders").cast("bigint").alias("orders"),
                     F.col("revenue").cast(MONEY).alias("revenue"),
                     F.round(safe_div("converted", "units"), RATE_DP).alias("cvr"))
+
+
+def run_daily_stream(spark: SparkSession, orders: DataFrame, customer: DataFrame, exp_id: str,
+                     start: dt.date, end: dt.date, landing: str, checkpoint: str,
+                     output: str) -> DataFrame:
+    """Deliver ``orders`` as files in event-time order (one file per year) into ``landing``,
+    run the streaming daily result over them to completion (``availableNow``) into a
+    Parquet sink at ``output``, and return the sink as a batch DataFrame."""
+    years = F.year("o_orderdate")
+    bounds = orders.select(F.min(years).alias("lo"), F.max(years).alias("hi")).collect()[0]
+    for year in range(bounds["lo"], bounds["hi"] + 1):
+        (orders.filter(years == year).write.mode("append").parquet(landing))
+    stream = daily_results_stream(orders_stream(spark, landing, max_files_per_trigger=1000),
+                                  customer, exp_id, start, end)
+    q = (stream.writeStream.format("parquet").option("path", output)
+         .option("checkpointLocation", checkpoint).outputMode("append")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(output)
