@@ -30,6 +30,15 @@ def _fam(family: Sequence[str]):
     return Window.partitionBy(*family) if family else Window.partitionBy(F.lit(0))
 
 
+def corrected_alphas(df: DataFrame, family: Sequence[str] = (), alpha: float = ALPHA) -> DataFrame:
+    """Per family the Sidak- and Bonferroni-corrected significance levels:
+    ``1 - (1 - alpha)^(1/m)`` and ``alpha / m``."""
+    g = df.groupBy(*family).agg(F.count(F.lit(1)).alias("m"))
+    m = F.col("m").cast("double")
+    return g.select(*family, "m", (1 - F.pow(F.lit(1 - alpha), 1 / m)).alias("alpha_sidak"),
+                    (F.lit(alpha) / m).alias("alpha_bonferroni"))
+
+
 def adjust(df: DataFrame, p_col: str, method: str = "holm_sidak",
            family: Sequence[str] = (), tiebreak: Sequence[str] = (),
            alpha: float = ALPHA, round_dp: int | None = STAT_DP) -> DataFrame:

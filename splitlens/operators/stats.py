@@ -42,6 +42,17 @@ def contingency_wide(cells: DataFrame, row_col: str, col_col: str, values: Seque
 
 
 # ---------------------------------------------------------------- T2 chi-square
+def expected_counts(cells: DataFrame, row_col: str, col_col: str, n_col: str = "n",
+                    keys: Sequence[str] = ()) -> DataFrame:
+    """Expected frequencies under independence, ``row total * column total / total``, per cell
+    (the ``expected`` table of a chi-square test)."""
+    o = F.col(n_col).cast("double")
+    return (cells.select(*keys, row_col, col_col, o.alias("observed"))
+            .withColumn("expected", safe_div(
+                F.sum("observed").over(_part(keys, row_col)) * F.sum("observed").over(_part(keys, col_col)),
+                F.sum("observed").over(_part(keys)))))
+
+
 def chi2_test(cells: DataFrame, row_col: str, col_col: str, n_col: str = "n",
               keys: Sequence[str] = (), correction: bool = True) -> DataFrame:
     """Pearson chi-square test of independence on a complete grid of cells.

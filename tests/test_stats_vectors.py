@@ -170,3 +170,17 @@ def test_hommel_equals_closed_testing(seed):
     m = int(rng.integers(1, 8))
     p = np.sort(rng.uniform(0, 0.2, m))
     assert list(mt.hommel_sorted(p)) == pytest.approx(_hommel_closed_testing(list(p)), abs=1e-12)
+
+
+def test_expected_counts(spark):
+    e = {(r["r"], r["c"]): r["expected"]
+         for r in S.expected_counts(_cells(spark, [[30, 10], [20, 20]]), "r", "c").collect()}
+    assert e == {("r0", "c0"): 25.0, ("r0", "c1"): 15.0, ("r1", "c0"): 25.0, ("r1", "c1"): 15.0}
+
+
+def test_corrected_alphas(spark):
+    df = spark.createDataFrame([(float(p),) for p in PV], "p double")
+    r = one(mt.corrected_alphas(df))
+    assert r["m"] == 5
+    assert r["alpha_bonferroni"] == pytest.approx(0.01)
+    assert r["alpha_sidak"] == pytest.approx(1 - 0.95 ** 0.2)
