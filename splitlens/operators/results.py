@@ -188,14 +188,13 @@ def segment_result(customer: DataFrame, orders: DataFrame, exp_id: str, start: d
                    variants: Sequence[str] = VARIANTS) -> DataFrame:
     """``segment, variant, units, converted`` for every segment x variant.
 
-    The segment lives on the population table, so converted units are joined to it on the
-    unit id (a shuffle join of two per-unit tables; no fact rows take part)."""
-    units = population_units(customer, "c_custkey", exp_id, variants, extra_keys=[segment_col])
-    seg = customer.select(F.col("c_custkey").alias("unit_id"), segment_col)
-    conv = (unit_metrics(orders, start, end).select("unit_id").join(seg, "unit_id")
-            .withColumn("variant", variant_expr(F.col("unit_id"), exp_id, variants))
-            .groupBy("variant", segment_col).agg(F.count(F.lit(1)).alias("converted")))
-    return (units.join(conv, ["variant", segment_col], "left")
-            .select(F.col(segment_col).alias("segment"), "variant",
-                    F.col("units").cast("bigint").alias("units"),
-                    F.coalesce("converted", F.lit(0)).cast("bigint").alias("converted")))
+    The segment lives on the population table, so the population is left-joined to the
+    converted units (one row per unit on both sides; no fact rows take part) and both
+    counts come from one aggregate over that join -- a single scan of the population."""
+    pop = customer.select(F.col("c_custkey").alias("unit_id"), F.col(segment_col).alias("segment"))
+    conv = unit_metrics(orders, start, end).select("unit_id", F.lit(True).alias("_conv"))
+    j = (pop.join(conv, "unit_id", "left")
+         .withColumn("variant", variant_expr(F.col("unit_id"), exp_id, variants)))
+    return (j.groupBy("segment", "variant")
+            .agg(F.count(F.lit(1)).cast("bigint").alias("units"),
+                 F.count("_conv").cast("bigint").alias("converted")))
