@@ -139,3 +139,20 @@ def test_assignment_is_balanced_and_stable(spark):
     a = c.select(variant_expr(F.col("c_custkey"), EXP_ID).alias("v")).groupBy("v").count()
     counts = {r["v"]: r["count"] for r in a.collect()}
     assert counts == {"A": 744, "B": 756}
+
+
+def test_assignment_table_path_equals_hash_rule(spark):
+    """Passing an explicit assignment table (joined on the unit id) gives the same results as
+    the in-scan hash rule."""
+    from splitlens.operators import assignment as asg
+    c, o = read_table(spark, SF01, "customer"), read_table(spark, SF01, "orders")
+    table = asg.assignment_table(c, "c_custkey", [EXP_ID, "exp-2"])
+    a = asg.from_table(table, EXP_ID)
+    for fn in (res.result_total,):
+        want = sorted(map(tuple, fn(c, o, EXP_ID, WINDOW_START, WINDOW_END).collect()))
+        got = sorted(map(tuple, fn(c, o, EXP_ID, WINDOW_START, WINDOW_END, assignments=a).collect()))
+        assert got == want
+    want = sorted(map(tuple, res.result_daily(spark, c, o, EXP_ID, WINDOW_START, WINDOW_END).collect()))
+    got = sorted(map(tuple, res.result_daily(spark, c, o, EXP_ID, WINDOW_START, WINDOW_END,
+                                             assignments=a).collect()))
+    assert got == want
