@@ -8,8 +8,6 @@ the number of periods in the data (not by the unit's event volume).
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -121,7 +119,3 @@ def kpi(orders: DataFrame, grain: str) -> DataFrame:
                     F.col("revenue").cast(MONEY).alias("revenue"),
                     F.col("revenue_prev").cast(MONEY).alias("revenue_prev"),
                     F.round(safe_div("revenue", "revenue_prev") - 1, RATE_DP).alias("revenue_growth"))
-
-
-def group_sizes(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))

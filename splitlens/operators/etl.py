@@ -20,9 +20,12 @@ EVENT_COLS = ("event_id", "ts", "user_id", "event_type", "value", "props")
 
 
 def keep_first(df: DataFrame, key: str, order: Sequence[str], cols: Sequence[str]) -> DataFrame:
-    """One row per ``key``: the row with the smallest ``order`` tuple."""
-    payload = F.struct(*[F.col(c) for c in cols if c != key])
-    ranked = df.groupBy(key).agg(F.min_by(payload, F.struct(*order)).alias("_row"))
+    """One row per ``key``: the row with the smallest ``order`` tuple.  A hash of the payload
+    is the last sort key, so rows tied on ``order`` resolve the same way on every run."""
+    rest = [c for c in cols if c != key]
+    payload = F.struct(*[F.col(c) for c in rest])
+    rank = F.struct(*[F.col(c) for c in order], F.xxhash64(*[F.col(c) for c in rest]))
+    ranked = df.groupBy(key).agg(F.min_by(payload, rank).alias("_row"))
     return ranked.select(key, *[F.col(f"_row.{c}").alias(c) for c in cols if c != key])
 
 

@@ -79,3 +79,15 @@ def test_clean_tags(spark):
                                 "user_id long, tags_raw string")
     got = {r["user_id"]: r["tags"] for r in E.clean_tags(raw).collect()}
     assert got == {1: "click,v0,view"}
+
+
+def test_keep_first_breaks_ties_by_payload(spark):
+    rows = [(1, 0, "b"), (1, 0, "a"), (1, 0, "c")]
+    for perm in ([0, 1, 2], [2, 1, 0], [1, 2, 0]):
+        df = spark.createDataFrame([rows[i] for i in perm], "event_id long, _src int, payload string")
+        got = E.keep_first(df.repartition(3), "event_id", ["_src"], ["event_id", "payload"])
+        assert len(got.collect()) == 1
+        first = got.collect()[0]["payload"]
+        if perm == [0, 1, 2]:
+            expected = first
+        assert first == expected
