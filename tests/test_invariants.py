@@ -156,3 +156,12 @@ def test_assignment_table_path_equals_hash_rule(spark):
     got = sorted(map(tuple, res.result_daily(spark, c, o, EXP_ID, WINDOW_START, WINDOW_END,
                                              assignments=a).collect()))
     assert got == want
+
+
+def test_workflow_matches_registered_queries(spark):
+    from splitlens.operators.workflow import analyze_experiment
+    c, o = read_table(spark, SF01, "customer"), read_table(spark, SF01, "orders")
+    out = analyze_experiment(spark, c, o, EXP_ID, WINDOW_START, WINDOW_END)
+    for key, df in out.items():
+        want = sorted(map(tuple, QUERIES[key](spark, SF01).collect()))
+        assert sorted(map(tuple, df.collect())) == want, key
