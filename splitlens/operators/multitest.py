@@ -12,10 +12,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from splitlens.functions.numeric import harmonic
 from splitlens.pinned import ALPHA, STAT_DP
@@ -109,17 +107,32 @@ def hommel_sorted(p: np.ndarray) -> np.ndarray:
 
 
 def _hommel(df, p_col, family, tiebreak, alpha):
+    """Hommel with higher-order functions, JVM-side.
+
+    Per family, the sorted p-values form one array (a family is a bounded set of
+    hypotheses).  ``_cims[j-2]`` is the Simes p-value of the ``j`` largest p-values,
+    ``min_r j * p_(m-j+r) / r``.  A hypothesis of rank ``k`` takes the largest floor over
+    ``j``: that Simes value when it is among the ``j`` largest, else
+    ``min(j * p_k, Simes)`` -- the same recursion as ``hommel_sorted``."""
     fam_cols = list(family) or ["_family"]
     base = df if family else df.withColumn("_family", F.lit(0))
-    order = [p_col, *tiebreak]
-    schema = T.StructType(list(base.schema.fields) + [
-        T.StructField("p_adj", T.DoubleType()), T.StructField("reject", T.BooleanType())])
-
-    def per_family(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="mergesort").reset_index(drop=True)
-        pdf["p_adj"] = hommel_sorted(pdf[p_col].to_numpy(dtype=float))
-        pdf["reject"] = pdf["p_adj"] <= alpha
-        return pdf
-
-    out = base.groupBy(*fam_cols).applyInPandas(per_family, schema)
+    w = Window.partitionBy(*fam_cols)
+    x = (base.withColumn("_k", F.row_number().over(w.orderBy(F.col(p_col).asc(), *tiebreak)))
+         .withColumn("_m", F.count(F.lit(1)).over(w).cast("int")))
+    cims = F.expr(
+        "CASE WHEN size(_ps) >= 2 THEN transform(sequence(2, size(_ps)), j -> "
+        "aggregate(sequence(1, j), CAST('Infinity' AS DOUBLE), "
+        "(acc, r) -> least(acc, j * element_at(_ps, size(_ps) - j + r) / r))) "
+        "ELSE CAST(array() AS ARRAY<DOUBLE>) END")
+    fam = (base.groupBy(*fam_cols)
+           .agg(F.array_sort(F.collect_list(F.col(p_col).cast("double"))).alias("_ps"))
+           .select(*fam_cols, cims.alias("_cims")))
+    p = f"CAST({p_col} AS DOUBLE)"
+    adj = F.expr(
+        f"least(1.0D, CASE WHEN _m < 2 THEN {p} ELSE greatest({p}, aggregate(sequence(2, _m), 0.0D, "
+        f"(acc, j) -> greatest(acc, CASE WHEN _k >= _m - j + 1 THEN element_at(_cims, j - 1) "
+        f"ELSE least(j * {p}, element_at(_cims, j - 1)) END))) END)")
+    out = (x.join(fam, fam_cols).withColumn("p_adj", adj)
+           .withColumn("reject", F.col("p_adj") <= F.lit(alpha))
+           .drop("_k", "_m", "_cims"))
     return out if family else out.drop("_family")

@@ -184,3 +184,15 @@ def test_corrected_alphas(spark):
     assert r["m"] == 5
     assert r["alpha_bonferroni"] == pytest.approx(0.01)
     assert r["alpha_sidak"] == pytest.approx(1 - 0.95 ** 0.2)
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_hommel_spark_equals_closed_testing(spark, seed):
+    rng = np.random.default_rng(100 + seed)
+    m = int(rng.integers(1, 9))
+    p = np.round(rng.uniform(0, 0.2, m), 6)
+    df = spark.createDataFrame([(i, float(x)) for i, x in enumerate(p)], "i long, p double")
+    got = {r["i"]: r["p_adj"] for r in mt.adjust(df, "p", "hommel", tiebreak=["i"],
+                                                 round_dp=None).collect()}
+    exp = _hommel_closed_testing(list(p))
+    assert [got[i] for i in range(m)] == pytest.approx(exp, abs=1e-12)
