@@ -100,8 +100,55 @@ def heatmap(events: DataFrame, ts: str = "ts") -> DataFrame:
 
 
 # ---------------------------------------------------------------- N9 transitions
+# Largest (user, time bucket) group the bucketed plan may put into one window task.
+MAX_BUCKET_ROWS = 20_000_000
+
+
 def transitions(events: DataFrame, gap_seconds: int = SESSION_GAP_SECONDS,
-                bucket_gaps: int = 4) -> DataFrame:
+                bucket_gaps: int = 4, method: str = "auto",
+                max_bucket_rows: int = MAX_BUCKET_ROWS) -> DataFrame:
+    """``from_type, to_type, n`` for in-session consecutive events.
+
+    ``method="bucketed"`` is the one-shuffle plan below.  ``"ranked"`` numbers all events
+    globally in (user, time) order with range partitioning and joins each row to its
+    predecessor, so not even a single burst of one user can overload a task.  ``"auto"``
+    measures the largest (user, bucket) group with a partial aggregate (one scalar to the
+    driver) and takes the bucketed plan unless that group exceeds ``max_bucket_rows``.
+    """
+    if method == "auto":
+        method = ("ranked" if _max_bucket_rows(events, gap_seconds * bucket_gaps) > max_bucket_rows
+                  else "bucketed")
+    if method == "ranked":
+        return transitions_ranked(events, gap_seconds)
+    return transitions_bucketed(events, gap_seconds, bucket_gaps)
+
+
+def _max_bucket_rows(events: DataFrame, width_seconds: int) -> int:
+    b = F.floor(epoch_micros("ts") / F.lit(width_seconds * 1_000_000))
+    top = (events.groupBy("user_id", b.alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
+           .agg(F.max("_n")).collect()[0][0])
+    return int(top or 0)
+
+
+def transitions_ranked(events: DataFrame, gap_seconds: int = SESSION_GAP_SECONDS) -> DataFrame:
+    """Skew-proof transitions: a global row number over ``(user, ts, event_id)``
+    (``ranking.row_numbers``) and a 1:1 equi-join of row ``rn`` to row ``rn - 1``."""
+    from splitlens.operators.ranking import row_numbers
+
+    gap_us = gap_seconds * 1_000_000
+    r = row_numbers(events.select("user_id", "event_id", "ts", "event_type"),
+                    ["user_id", "ts", "event_id"]).drop("_n")
+    prev = r.select((F.col("_rn") + 1).alias("_rn"), F.col("user_id").alias("_pu"),
+                    F.col("ts").alias("_pts"), F.col("event_type").alias("from_type"))
+    pairs = (r.join(prev, "_rn")
+             .filter(F.col("user_id").eqNullSafe(F.col("_pu"))
+                     & (F.timestamp_diff("MICROSECOND", F.col("_pts"), F.col("ts")) <= F.lit(gap_us))))
+    return (pairs.groupBy("from_type", F.col("event_type").alias("to_type"))
+            .agg(F.count(F.lit(1)).alias("n")))
+
+
+def transitions_bucketed(events: DataFrame, gap_seconds: int = SESSION_GAP_SECONDS,
+                         bucket_gaps: int = 4) -> DataFrame:
     """``from_type, to_type, n``: consecutive events of a user at most ``gap_seconds`` apart
     (i.e. inside one session; a longer gap starts a new session).
 

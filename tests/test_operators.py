@@ -43,8 +43,9 @@ def test_ntile_and_percent_rank_match_sql(spark):
     assert _rows(got, ["k", "pr"]) == _rows(exp, ["k", "pr"])
 
 
-@pytest.mark.parametrize("bucket_gaps", [1, 3, 4])
-def test_transitions_match_naive_lag(spark, bucket_gaps):
+@pytest.mark.parametrize("method,bucket_gaps", [("bucketed", 1), ("bucketed", 3),
+                                                ("bucketed", 4), ("ranked", 4), ("auto", 4)])
+def test_transitions_match_naive_lag(spark, method, bucket_gaps):
     base = dt.datetime(2024, 1, 1)
     rnd = random.Random(5)
     data, eid = [], 0
@@ -56,7 +57,8 @@ def test_transitions_match_naive_lag(spark, bucket_gaps):
             data.append((eid, t, user, rnd.choice(["view", "click", "purchase"])))
             eid += 1
     ev = spark.createDataFrame(data, "event_id long, ts timestamp_ntz, user_id long, event_type string")
-    got = B.transitions(ev, bucket_gaps=bucket_gaps)
+    got = B.transitions(ev, bucket_gaps=bucket_gaps, method=method,
+                        max_bucket_rows=10)
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     naive = (ev.withColumn("pt", F.lag("event_type").over(w)).withColumn("pts", F.lag("ts").over(w))
              .filter(F.col("pts").isNotNull()
