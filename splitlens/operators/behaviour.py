@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from splitlens.functions import ts_ntz
 from splitlens.functions.numeric import safe_div
 from splitlens.operators.assignment import variant_expr
 from splitlens.pinned import FUNNEL_STEPS, RATE_DP, SESSION_GAP_SECONDS, VARIANTS
@@ -24,8 +25,7 @@ _EPOCH = dt.datetime(1970, 1, 1)
 def epoch_micros(ts: Column | str) -> Column:
     """Microseconds since 1970-01-01 of a zone-less timestamp (independent of session zone)."""
     ts = F.col(ts) if isinstance(ts, str) else ts
-    return F.timestamp_diff("MICROSECOND", F.lit(_EPOCH).cast("timestamp_ntz"),
-                            ts.cast("timestamp_ntz"))
+    return F.timestamp_diff("MICROSECOND", ts_ntz(_EPOCH), ts.cast("timestamp_ntz"))
 
 
 # ---------------------------------------------------------------- N6 / N7 funnel

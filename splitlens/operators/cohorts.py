@@ -11,6 +11,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from splitlens.functions import ts_ntz
 from splitlens.functions.numeric import safe_div
 from splitlens.pinned import MONEY, RATE_DP
 
@@ -58,17 +59,13 @@ def retention_monthly(orders: DataFrame, unit: str = "o_custkey",
                     F.round(safe_div("active", "cohort_size"), RATE_DP).alias("rate"))
 
 
-def _day_start(d: dt.date) -> dt.datetime:
-    return dt.datetime.combine(d, dt.time())
-
-
 def churn_by_segment(customer: DataFrame, orders: DataFrame, ref_date: dt.date,
                      horizon_days: int = 365, segment: str = "c_mktsegment") -> DataFrame:
     """``<segment>, customers, churned, churn_rate``: churned = no order in the
     ``horizon_days`` before ``ref_date``.  Customers without any order count as churned."""
-    lo = _day_start(ref_date - dt.timedelta(days=horizon_days))
-    hi = _day_start(ref_date)
-    active = (orders.filter((F.col("o_orderdate") >= F.lit(lo)) & (F.col("o_orderdate") < F.lit(hi)))
+    lo = ts_ntz(ref_date - dt.timedelta(days=horizon_days))
+    hi = ts_ntz(ref_date)
+    active = (orders.filter((F.col("o_orderdate") >= lo) & (F.col("o_orderdate") < hi))
               .groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.lit(True).alias("_active")))
     j = customer.select("c_custkey", segment).join(active, "c_custkey", "left")
     g = j.groupBy(segment).agg(F.count(F.lit(1)).alias("customers"),
@@ -85,7 +82,7 @@ def churn_features(orders: DataFrame, cutoff: dt.date) -> DataFrame:
     order on or after it.  One partial aggregate over ``orders``, no join: both sides of the
     cutoff are conditional aggregates of the same pass, so no feature can see the label window.
     """
-    c = F.lit(_day_start(cutoff))
+    c = ts_ntz(cutoff)
     before = F.col("o_orderdate") < c
     g = (orders.groupBy("o_custkey")
          .agg(F.max(F.when(before, F.col("o_orderdate"))).alias("_last"),

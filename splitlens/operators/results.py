@@ -24,6 +24,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from splitlens.functions import ts_ntz
 from splitlens.functions.numeric import safe_div
 from splitlens.operators.assignment import variant_expr
 from splitlens.pinned import MONEY, RATE_DP, VARIANTS
@@ -32,8 +33,7 @@ from splitlens.pinned import MONEY, RATE_DP, VARIANTS
 def in_window(ts: Column | str, start: dt.date, end: dt.date) -> Column:
     """Whole-day, end-inclusive window as a half-open range: ``start <= ts < end + 1 day``."""
     ts = F.col(ts) if isinstance(ts, str) else ts
-    return (ts >= F.lit(dt.datetime.combine(start, dt.time()))) & \
-           (ts < F.lit(dt.datetime.combine(end + dt.timedelta(days=1), dt.time())))
+    return (ts >= ts_ntz(start)) & (ts < ts_ntz(end + dt.timedelta(days=1)))
 
 
 def unit_metrics(orders: DataFrame, start: dt.date, end: dt.date,

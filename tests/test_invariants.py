@@ -165,3 +165,16 @@ def test_workflow_matches_registered_queries(spark):
     for key, df in out.items():
         want = sorted(map(tuple, QUERIES[key](spark, SF01).collect()))
         assert sorted(map(tuple, df.collect())) == want, key
+
+
+@pytest.mark.parametrize("key", ["ab_result_daily", "date_window", "kpi_weekly", "kpi_monthly",
+                                 "heatmap", "retention_daily", "action_transitions",
+                                 "churn_by_segment", "churn_features", "funnel"])
+def test_results_do_not_depend_on_session_time_zone(spark, key):
+    utc = sorted(map(tuple, QUERIES[key](spark, SF01).collect()))
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        other = sorted(map(tuple, QUERIES[key](spark, SF01).collect()))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert other == utc
