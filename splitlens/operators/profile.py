@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from splitlens.functions.numeric import safe_div
 from splitlens.operators import ranking as R
 from splitlens.pinned import MONEY, RATE_DP, STAT_DP
 

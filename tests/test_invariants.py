@@ -1,7 +1,6 @@
 """Invariants of the experiment results and behaviour jobs on the driver tables (sf0.01),
 degenerate inputs, and an A/A check of the z-test."""
 
-import datetime as dt
 
 import pytest
 from pyspark.sql import functions as F

@@ -1,6 +1,5 @@
 """The streaming daily result equals the batch one on every day that has orders."""
 
-import datetime as dt
 
 from pyspark.sql import functions as F
 
