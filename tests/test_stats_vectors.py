@@ -196,3 +196,12 @@ def test_hommel_spark_equals_closed_testing(spark, seed):
                                                  round_dp=None).collect()}
     exp = _hommel_closed_testing(list(p))
     assert [got[i] for i in range(m)] == pytest.approx(exp, abs=1e-12)
+
+
+def test_contingency_wide(spark):
+    res = spark.createDataFrame([("A", 744, 115), ("B", 756, 133)],
+                                "variant string, units long, converted long")
+    wide = S.contingency_wide(S.contingency(res), "variant", "outcome",
+                              ["converted", "not_converted"])
+    got = {r["variant"]: (r["converted"], r["not_converted"]) for r in wide.collect()}
+    assert got == {"A": (115, 629), "B": (133, 623)}
