@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from splitlens.functions import ts_ntz
 from splitlens.functions.numeric import safe_div
 from splitlens.operators.assignment import variant_expr
+from splitlens.operators.metrics import REGISTRY
 from splitlens.pinned import MONEY, RATE_DP, VARIANTS
 
 
@@ -38,14 +39,14 @@ def in_window(ts: Column | str, start: dt.date, end: dt.date) -> Column:
 
 def unit_metrics(orders: DataFrame, start: dt.date, end: dt.date,
                  by_day: bool = False) -> DataFrame:
-    """One row per unit (and day): ``unit_id[, day], n_orders, revenue``."""
+    """One row per unit (and day): ``unit_id[, day], n_orders, revenue``; the two metrics
+    are the registry's ``orders`` and ``revenue`` aggregates."""
     keys = [F.col("o_custkey").alias("unit_id")]
     if by_day:
         keys.append(F.to_date("o_orderdate").alias("day"))
     return (orders.filter(in_window("o_orderdate", start, end))
             .groupBy(*keys)
-            .agg(F.count(F.lit(1)).alias("n_orders"),
-                 F.sum(F.col("o_totalprice").cast(MONEY)).alias("revenue")))
+            .agg(REGISTRY["orders"]().alias("n_orders"), REGISTRY["revenue"]().alias("revenue")))
 
 
 def _tag(df: DataFrame, exp_id: str, variants: Sequence[str],

@@ -110,11 +110,11 @@ def q_user_score(spark, sf):
 def _registry_sql() -> str:
     g = "\nUNION ALL\n".join(
         f"""SELECT '{d}' AS dim, CAST({d} AS VARCHAR) AS dim_value, count(*) AS orders,
-       round(sum(CAST(o_totalprice AS DECIMAL(18,2))), 2) AS revenue,
+       sum(CAST(o_totalprice AS DECIMAL(18,2))) AS revenue,
        round(avg(o_totalprice), 4) AS avg_order_value FROM orders GROUP BY {d}"""
         for d in ("o_orderstatus", "o_orderpriority"))
     cols = "\nUNION ALL\n".join(
-        f"SELECT dim, dim_value, '{m}' AS metric, CAST({m} AS DOUBLE) AS value FROM g"
+        f"SELECT dim, dim_value, '{m}' AS metric, round(CAST({m} AS DOUBLE), 4) AS value FROM g"
         for m in ("orders", "revenue", "avg_order_value"))
     return f"WITH g AS ({g})\n{cols}"
 
