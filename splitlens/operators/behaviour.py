@@ -123,11 +123,13 @@ def transitions(events: DataFrame, gap_seconds: int = SESSION_GAP_SECONDS,
     return transitions_bucketed(events, gap_seconds, bucket_gaps)
 
 
-def _max_bucket_rows(events: DataFrame, width_seconds: int) -> int:
+def _max_bucket_rows(events: DataFrame, width_seconds: int, fraction: float = 0.01) -> int:
+    """Estimated size of the largest (user, bucket) group, scaled up from a Bernoulli sample."""
     b = F.floor(epoch_micros("ts") / F.lit(width_seconds * 1_000_000))
-    top = (events.groupBy("user_id", b.alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
+    top = (events.select("user_id", "ts").sample(False, fraction, seed=17)
+           .groupBy("user_id", b.alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
            .agg(F.max("_n")).collect()[0][0])
-    return int(top or 0)
+    return int((top or 0) / fraction)
 
 
 def transitions_ranked(events: DataFrame, gap_seconds: int = SESSION_GAP_SECONDS) -> DataFrame:
