@@ -34,19 +34,27 @@ def _window(partition: Sequence[str]):
     return Window.partitionBy(*partition) if partition else Window.partitionBy(F.lit(0))
 
 
-def row_numbers(df: DataFrame, order: Sequence[Column | str], partition: Sequence[str] = (),
-                num_partitions: int | None = None) -> DataFrame:
-    """Add ``_rn`` (1-based position in ``order`` within ``partition``) and ``_n`` (group size)."""
+def numbered_partitions(df: DataFrame, order: Sequence[Column | str],
+                        partition: Sequence[str] = (), num_partitions: int | None = None
+                        ) -> DataFrame:
+    """Steps 1-2: range-partitioned, sorted, numbered and checkpointed rows with ``_pid``
+    (range partition) and ``_idx`` (position inside it)."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     n_parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col(c) if isinstance(c, str) else c for c in order]
     keys = [F.col(c) for c in partition] + order
-    numbered = (df.repartitionByRange(n_parts, *keys).sortWithinPartitions(*keys)
-                .withColumn("_mid", F.monotonically_increasing_id())
-                .checkpoint(eager=True)
-                .withColumn("_pid", F.shiftright("_mid", 33))
-                .withColumn("_idx", F.col("_mid").bitwiseAND(F.lit(_LOW_BITS))))
+    return (df.repartitionByRange(n_parts, *keys).sortWithinPartitions(*keys)
+            .withColumn("_mid", F.monotonically_increasing_id())
+            .checkpoint(eager=True)
+            .withColumn("_pid", F.shiftright("_mid", 33))
+            .withColumn("_idx", F.col("_mid").bitwiseAND(F.lit(_LOW_BITS))))
+
+
+def row_numbers(df: DataFrame, order: Sequence[Column | str], partition: Sequence[str] = (),
+                num_partitions: int | None = None) -> DataFrame:
+    """Add ``_rn`` (1-based position in ``order`` within ``partition``) and ``_n`` (group size)."""
+    numbered = numbered_partitions(df, order, partition, num_partitions)
     blocks = (numbered.groupBy(*partition, "_pid")
               .agg(F.count(F.lit(1)).alias("_cnt"), F.min("_idx").alias("_first")))
     w = _window(partition)

@@ -93,3 +93,28 @@ def test_keep_first_breaks_ties_by_payload(spark):
         if perm == [0, 1, 2]:
             expected = first
         assert first == expected
+
+
+def test_hot_group_is_split_across_range_partitions(spark):
+    """A group holding 90 % of the rows is spread over many tasks by the ranking operator."""
+    rnd = random.Random(9)
+    data = [("hot" if rnd.random() < 0.9 else f"g{rnd.randint(0, 20)}", rnd.random(), i)
+            for i in range(20000)]
+    df = spark.createDataFrame(data, "g string, v double, k long")
+    numbered = R.numbered_partitions(df, ["v", "k"], ["g"], num_partitions=8)
+    per_pid = {r["_pid"]: r["n"] for r in
+               numbered.filter(F.col("g") == "hot").groupBy("_pid").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert len(per_pid) >= 6
+    assert max(per_pid.values()) < 0.3 * sum(per_pid.values())
+
+
+def test_hot_user_is_split_across_time_buckets(spark):
+    """One user with most of the events: the bucketed transitions window partitions are small."""
+    base = dt.datetime(2024, 1, 1)
+    data = [(i, base + dt.timedelta(seconds=60 * i), 0 if i % 10 else 1 + i % 7, "view")
+            for i in range(5000)]
+    ev = spark.createDataFrame(data, "event_id long, ts timestamp_ntz, user_id long, event_type string")
+    width = 4 * 1800 * 1_000_000
+    sizes = (ev.groupBy("user_id", F.floor(B.epoch_micros("ts") / width).alias("b"))
+             .count().filter("user_id = 0").agg(F.max("count")).collect()[0][0])
+    assert sizes <= 2 * 60 + 30          # at most one 2.5-hour span of a user's events per window task
