@@ -39,12 +39,14 @@ def numbered_partitions(df: DataFrame, order: Sequence[Column | str],
                         ) -> DataFrame:
     """Steps 1-2: range-partitioned, sorted, numbered and checkpointed rows with ``_pid``
     (range partition) and ``_idx`` (position inside it)."""
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    n_parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ensure_checkpoint_dir(df.sparkSession)
     order = [F.col(c) if isinstance(c, str) else c for c in order]
     keys = [F.col(c) for c in partition] + order
-    return (df.repartitionByRange(n_parts, *keys).sortWithinPartitions(*keys)
+    # without an explicit count, adaptive execution sizes the ranges: it only merges
+    # adjacent small ranges, so every partition still holds one contiguous key range
+    ranged = (df.repartitionByRange(num_partitions, *keys) if num_partitions
+              else df.repartitionByRange(*keys))
+    return (ranged.sortWithinPartitions(*keys)
             .withColumn("_mid", F.monotonically_increasing_id())
             .checkpoint(eager=True)
             .withColumn("_pid", F.shiftright("_mid", 33))
