@@ -69,18 +69,28 @@ def daily_results_stream(orders: DataFrame, customer: DataFrame, exp_id: str,
 
 def run_daily_stream(spark: SparkSession, orders: DataFrame, customer: DataFrame, exp_id: str,
                      start: dt.date, end: dt.date, landing: str, checkpoint: str,
-                     output: str) -> DataFrame:
+                     output: str, state_partitions: int | None = None) -> DataFrame:
     """Deliver ``orders`` as files in event-time order (one file per year) into ``landing``,
     run the streaming daily result over them to completion (``availableNow``) into a
-    Parquet sink at ``output``, and return the sink as a batch DataFrame."""
+    Parquet sink at ``output``, and return the sink as a batch DataFrame.
+
+    A stateful query fixes its number of state partitions when it first starts (recorded
+    in the checkpoint).  It is set from ``state_partitions``, by default the cluster's
+    ``defaultParallelism``, for this query only; the session setting is restored after."""
     years = F.year("o_orderdate")
     bounds = orders.select(F.min(years).alias("lo"), F.max(years).alias("hi")).collect()[0]
     for year in range(bounds["lo"], bounds["hi"] + 1):
         (orders.filter(years == year).write.mode("append").parquet(landing))
     stream = daily_results_stream(orders_stream(spark, landing, max_files_per_trigger=1000),
                                   customer, exp_id, start, end)
-    q = (stream.writeStream.format("parquet").option("path", output)
-         .option("checkpointLocation", checkpoint).outputMode("append")
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+    n_state = state_partitions or max(1, spark.sparkContext.defaultParallelism)
+    previous = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(n_state))
+    try:
+        q = (stream.writeStream.format("parquet").option("path", output)
+             .option("checkpointLocation", checkpoint).outputMode("append")
+             .trigger(availableNow=True).start())
+        q.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", previous)
     return spark.read.parquet(output)
