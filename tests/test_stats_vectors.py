@@ -205,3 +205,17 @@ def test_contingency_wide(spark):
                               ["converted", "not_converted"])
     got = {r["variant"]: (r["converted"], r["not_converted"]) for r in wide.collect()}
     assert got == {"A": (115, 629), "B": (133, 623)}
+
+
+def test_prob_b_beats_a_large_counts_matches_normal_limit(spark):
+    """~200k successes: the exact sum runs over many chunks; at this size the Beta posteriors
+    are close to normal, so Phi((muB - muA) / sqrt(varA + varB)) is a tight check."""
+    xa, na, xb, nb = 200_000, 1_000_000, 201_000, 1_000_000
+    got = one(S.prob_b_beats_a(_post(spark, xa, na, xb, nb), chunks=16))["prob"]
+
+    def mv(x, n):
+        a, b = 1 + x, 1 + n - x
+        return a / (a + b), a * b / ((a + b) ** 2 * (a + b + 1))
+    (ma, va), (mb, vb) = mv(xa, na), mv(xb, nb)
+    approx = 0.5 * math.erfc(-(mb - ma) / math.sqrt(2 * (va + vb)))
+    assert got == pytest.approx(approx, abs=2e-3)
