@@ -40,17 +40,24 @@ def corrected_alphas(df: DataFrame, family: Sequence[str] = (), alpha: float = A
 def adjust(df: DataFrame, p_col: str, method: str = "holm_sidak",
            family: Sequence[str] = (), tiebreak: Sequence[str] = (),
            alpha: float = ALPHA, round_dp: int | None = STAT_DP) -> DataFrame:
-    """Add ``p_adj`` and ``reject`` to every row of ``df``."""
+    """Add ``p_adj`` and ``reject`` to every row of ``df``.
+
+    Rows without a p-value (a test that could not be computed) are not part of the family:
+    they get NULL ``p_adj`` / ``reject`` and do not count towards ``m``."""
     method = ALIASES.get(method, method)
     if method not in METHODS:
         raise ValueError(f"unknown method {method}")
+    tested = df.filter(F.col(p_col).isNotNull())
+    untested = (df.filter(F.col(p_col).isNull())
+                .withColumn("p_adj", F.lit(None).cast("double"))
+                .withColumn("reject", F.lit(None).cast("boolean")))
     if method == "hommel":
-        out = _hommel(df, p_col, family, tiebreak, alpha)
+        out = _hommel(tested, p_col, family, tiebreak, alpha)
     else:
-        out = _windowed(df, p_col, method, family, tiebreak, alpha)
+        out = _windowed(tested, p_col, method, family, tiebreak, alpha)
     if round_dp is not None:
         out = out.withColumn("p_adj", F.round("p_adj", round_dp))
-    return out
+    return out.unionByName(untested)
 
 
 def _windowed(df, p_col, method, family, tiebreak, alpha):

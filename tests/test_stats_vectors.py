@@ -219,3 +219,14 @@ def test_prob_b_beats_a_large_counts_matches_normal_limit(spark):
     (ma, va), (mb, vb) = mv(xa, na), mv(xb, nb)
     approx = 0.5 * math.erfc(-(mb - ma) / math.sqrt(2 * (va + vb)))
     assert got == pytest.approx(approx, abs=2e-3)
+
+
+@pytest.mark.parametrize("method", mt.METHODS)
+def test_untested_hypotheses_leave_the_family(spark, method):
+    rows = [(i, p) for i, p in enumerate(PV)] + [(9, None)]
+    df = spark.createDataFrame(rows, "i long, p double")
+    got = {r["i"]: (r["p_adj"], r["reject"]) for r in mt.adjust(df, "p", method, tiebreak=["i"]).collect()}
+    assert got[9] == (None, None)
+    base = spark.createDataFrame(list(enumerate(PV)), "i long, p double")
+    want = {r["i"]: (r["p_adj"], r["reject"]) for r in mt.adjust(base, "p", method, tiebreak=["i"]).collect()}
+    assert {k: v for k, v in got.items() if k != 9} == want
