@@ -172,7 +172,9 @@ def prob_b_beats_a(posterior: DataFrame, keys: Sequence[str] = (), a: str = "A",
                 f" - {ln_beta_sql(f'1.0D + {i}', '_bb')} - {ln_beta_sql('_aa', '_ba')}")
     terms = terms.select(*keys, F.expr(f"exp({log_term})").alias("_t"))
     summed = terms.groupBy(*keys).agg(F.sum("_t").alias("_p"))
-    return summed.select(*keys, F.round(F.least(F.lit(1.0), F.col("_p")), STAT_DP).alias("prob"))
+    # least() skips NULLs: keep a missing variant NULL instead of turning it into 1
+    prob = F.when(F.col("_p").isNotNull(), F.least(F.lit(1.0), F.col("_p")))
+    return summed.select(*keys, F.round(prob, STAT_DP).alias("prob"))
 
 
 def beta_interval(posterior: DataFrame, level: float = 0.95, grid: int = 10000,

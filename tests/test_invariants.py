@@ -106,6 +106,8 @@ def test_one_variant_only(spark):
     r = _result(spark, [("A", 10, 3)])
     chi = rows(S.chi2_test(S.contingency(r), "variant", "outcome"))[0]
     assert chi["dof"] == 0 and chi["statistic"] == 0.0 and chi["p_value"] == 1.0
+    prob = rows(S.prob_b_beats_a(S.beta_posterior(r)))
+    assert prob == [] or prob[0]["prob"] is None
 
 
 def test_day_without_orders_is_zero_row(spark):
