@@ -23,6 +23,9 @@ def churn_model(features: DataFrame, max_iter: int = 10, max_depth: int = 3) ->
     ``cohorts.churn_features``), so the label cannot leak into them."""
     x = features.select("c_custkey", "churned",
                         *[F.col(c).cast("double").alias(c) for c in CHURN_FEATURES])
+    out_cols = ["c_custkey", "churned", F.lit(None).cast("int").alias("prediction")]
+    if x.isEmpty():                       # nothing to learn from: no predictions
+        return x.select(*out_cols)
     pipe = Pipeline(stages=[
         VectorAssembler(inputCols=list(CHURN_FEATURES), outputCol="features"),
         GBTClassifier(labelCol="churned", featuresCol="features", maxIter=max_iter,
@@ -46,5 +49,7 @@ def price_model(part: DataFrame) -> DataFrame:
     ])
     x = part.select("p_partkey", "p_brand", "p_type", F.col("p_size").cast("double").alias("p_size"),
                     "p_retailprice")
+    if x.isEmpty():                       # nothing to learn from: no predictions
+        return x.select("p_partkey", F.lit(None).cast("double").alias("prediction"))
     model = pipe.fit(x)
     return model.transform(x).select("p_partkey", F.round("prediction", 4).alias("prediction"))

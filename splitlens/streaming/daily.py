@@ -79,10 +79,12 @@ def run_daily_stream(spark: SparkSession, orders: DataFrame, customer: DataFrame
     ``defaultParallelism``, for this query only; the session setting is restored after."""
     years = F.year("o_orderdate")
     bounds = orders.select(F.min(years).alias("lo"), F.max(years).alias("hi")).collect()[0]
-    for year in range(bounds["lo"], bounds["hi"] + 1):
-        (orders.filter(years == year).write.mode("append").parquet(landing))
     stream = daily_results_stream(orders_stream(spark, landing, max_files_per_trigger=1000),
                                   customer, exp_id, start, end)
+    if bounds["lo"] is None:              # no orders at all: no day to report
+        return spark.createDataFrame([], stream.schema)
+    for year in range(bounds["lo"], bounds["hi"] + 1):
+        (orders.filter(years == year).write.mode("append").parquet(landing))
     n_state = state_partitions or max(1, spark.sparkContext.defaultParallelism)
     previous = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", str(n_state))
