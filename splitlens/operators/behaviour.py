@@ -3,7 +3,8 @@ next-action transitions inside sessions (N9).
 
 None of these uses a window partitioned by user alone: a single very active user would put
 all of their rows into one task.  Funnels are per-step aggregates joined on the unit key
-(user-day), and transitions use windows over ``(user, gap-sized time bucket)``.
+(user-day); transitions use windows over ``(user, time bucket)`` with carry rows across
+bucket edges, or global range-partitioned row numbers when one bucket is too large.
 """
 
 from __future__ import annotations
