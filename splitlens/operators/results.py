@@ -186,7 +186,8 @@ def ctr(events: DataFrame, exp_id: str, variants: Sequence[str] = VARIANTS,
 
 def segment_result(customer: DataFrame, orders: DataFrame, exp_id: str, start: dt.date,
                    end: dt.date, segment_col: str = "c_mktsegment",
-                   variants: Sequence[str] = VARIANTS) -> DataFrame:
+                   variants: Sequence[str] = VARIANTS,
+                   assignments: DataFrame | None = None) -> DataFrame:
     """``segment, variant, units, converted`` for every segment x variant.
 
     The segment lives on the population table, so the population is left-joined to the
@@ -194,8 +195,9 @@ def segment_result(customer: DataFrame, orders: DataFrame, exp_id: str, start: d
     counts come from one aggregate over that join -- a single scan of the population."""
     pop = customer.select(F.col("c_custkey").alias("unit_id"), F.col(segment_col).alias("segment"))
     conv = unit_metrics(orders, start, end).select("unit_id", F.lit(True).alias("_conv"))
-    j = (pop.join(conv, "unit_id", "left")
-         .withColumn("variant", variant_expr(F.col("unit_id"), exp_id, variants)))
+    j = pop.join(conv, "unit_id", "left")
+    j = (j.withColumn("variant", variant_expr(F.col("unit_id"), exp_id, variants))
+         if assignments is None else j.join(assignments.select("unit_id", "variant"), "unit_id"))
     return (j.groupBy("segment", "variant")
             .agg(F.count(F.lit(1)).cast("bigint").alias("units"),
                  F.count("_conv").cast("bigint").alias("converted")))

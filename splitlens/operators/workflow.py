@@ -27,8 +27,8 @@ def analyze_experiment(spark: SparkSession, customer: DataFrame, orders: DataFra
     """All outputs of one experiment, keyed like the registered queries."""
     total = res.result_total(customer, orders, exp_id, start, end,
                              assignments=assignments).persist(StorageLevel.MEMORY_AND_DISK)
-    segments = res.segment_result(customer, orders, exp_id, start, end) \
-        .persist(StorageLevel.MEMORY_AND_DISK)
+    segments = res.segment_result(customer, orders, exp_id, start, end,
+                                  assignments=assignments).persist(StorageLevel.MEMORY_AND_DISK)
     wide = S.wide_by_variant(total)
     post = S.beta_posterior(total)
     cells = S.contingency(total)

@@ -159,10 +159,14 @@ def test_assignment_table_path_equals_hash_rule(spark):
     assert got == want
 
 
-def test_workflow_matches_registered_queries(spark):
+@pytest.mark.parametrize("with_table", [False, True])
+def test_workflow_matches_registered_queries(spark, with_table):
+    from splitlens.operators import assignment as asg
     from splitlens.operators.workflow import analyze_experiment
     c, o = read_table(spark, SF01, "customer"), read_table(spark, SF01, "orders")
-    out = analyze_experiment(spark, c, o, EXP_ID, WINDOW_START, WINDOW_END)
+    table = asg.from_table(asg.assignment_table(c, "c_custkey", [EXP_ID, "exp-2"]), EXP_ID) \
+        if with_table else None
+    out = analyze_experiment(spark, c, o, EXP_ID, WINDOW_START, WINDOW_END, assignments=table)
     for key, df in out.items():
         want = sorted(map(tuple, QUERIES[key](spark, SF01).collect()))
         assert sorted(map(tuple, df.collect())) == want, key
