@@ -58,13 +58,17 @@ def funnel_reach(events: DataFrame, steps: Sequence[str] = FUNNEL_STEPS,
 
 
 def funnel(events: DataFrame, steps: Sequence[str] = FUNNEL_STEPS, exp_id: str | None = None,
-           variants: Sequence[str] = VARIANTS) -> DataFrame:
-    """``[variant,] step, step_no, user_days, step_rate, total_rate``."""
+           variants: Sequence[str] = VARIANTS, assignments: DataFrame | None = None) -> DataFrame:
+    """``[variant,] step, step_no, user_days, step_rate, total_rate``.  With ``exp_id`` the
+    user-days are split by variant (hash rule, or an explicit ``assignments`` table joined
+    to the per-user-day reach tables)."""
     group = ["variant"] if exp_id else []
     parts = []
     for k, r in enumerate(funnel_reach(events, steps), 1):
-        if exp_id:
+        if exp_id and assignments is None:
             r = r.withColumn("variant", variant_expr(F.col("user_id"), exp_id, variants))
+        elif exp_id:
+            r = r.join(assignments.select(F.col("unit_id").alias("user_id"), "variant"), "user_id")
         # count(t_k), not count(*): keeps this branch's aggregate identical to the one the
         # next step joins against, so the shuffle is computed once and reused
         parts.append(r.groupBy(*group).agg(F.count(f"t{k}").alias("user_days"))

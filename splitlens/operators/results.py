@@ -149,14 +149,15 @@ def user_day_entry(events: DataFrame, entry_type: str = "view",
 
 
 def entry_cvr(events: DataFrame, exp_id: str, variants: Sequence[str] = VARIANTS,
-              entry_type: str = "view", goal_type: str = "purchase") -> DataFrame:
+              entry_type: str = "view", goal_type: str = "purchase",
+              assignments: DataFrame | None = None) -> DataFrame:
     """A5: ``variant, user_days, entered, converted, entry_rate, cvr_among_entrants``.
 
     A user-day *enters* with an ``entry_type`` event and *converts* with a ``goal_type``
     event later the same day.
     """
-    ud = user_day_entry(events, entry_type, goal_type)
-    g = (ud.withColumn("variant", variant_expr(F.col("user_id"), exp_id, variants))
+    ud = user_day_entry(events, entry_type, goal_type).withColumnRenamed("user_id", "unit_id")
+    g = (_tag(ud, exp_id, variants, assignments)
          .groupBy("variant")
          .agg(F.count(F.lit(1)).alias("user_days"),
               F.count_if(F.col("entry_ts").isNotNull()).alias("entered"),
@@ -172,13 +173,25 @@ def entry_cvr(events: DataFrame, exp_id: str, variants: Sequence[str] = VARIANTS
 
 
 def ctr(events: DataFrame, exp_id: str, variants: Sequence[str] = VARIANTS,
-        view_type: str = "view", click_type: str = "click") -> DataFrame:
-    """``variant, views, clicks, ctr``; a plain ratio (clicks may exceed views)."""
-    g = (events.select(variant_expr(F.col("user_id"), exp_id, variants).alias("variant"),
-                       "event_type")
-         .groupBy("variant")
-         .agg(F.count_if(F.col("event_type") == view_type).alias("views"),
-              F.count_if(F.col("event_type") == click_type).alias("clicks")))
+        view_type: str = "view", click_type: str = "click",
+        assignments: DataFrame | None = None) -> DataFrame:
+    """``variant, views, clicks, ctr``; a plain ratio (clicks may exceed views).
+
+    With the hash rule every event is tagged where it is scanned and the aggregate collapses
+    to one row per variant map-side.  An explicit assignment table is joined to per-user
+    counts instead of to the events."""
+    is_view = F.col("event_type") == view_type
+    is_click = F.col("event_type") == click_type
+    if assignments is None:
+        g = (events.select(variant_expr(F.col("user_id"), exp_id, variants).alias("variant"),
+                           "event_type")
+             .groupBy("variant")
+             .agg(F.count_if(is_view).alias("views"), F.count_if(is_click).alias("clicks")))
+    else:
+        per_user = (events.groupBy(F.col("user_id").alias("unit_id"))
+                    .agg(F.count_if(is_view).alias("v"), F.count_if(is_click).alias("c")))
+        g = (_tag(per_user, exp_id, variants, assignments).groupBy("variant")
+             .agg(F.sum("v").alias("views"), F.sum("c").alias("clicks")))
     return g.select("variant", F.col("views").cast("bigint").alias("views"),
                     F.col("clicks").cast("bigint").alias("clicks"),
                     F.round(safe_div("clicks", "views"), RATE_DP).alias("ctr"))

@@ -183,3 +183,16 @@ def test_results_do_not_depend_on_session_time_zone(spark, key):
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     assert other == utc
+
+
+def test_event_results_with_assignment_table(spark):
+    from splitlens.operators import assignment as asg
+    from splitlens.operators import behaviour as B
+    ev = read_table(spark, SF01, "events")
+    users = ev.select("user_id").distinct()
+    table = asg.from_table(asg.assignment_table(users, "user_id", [EXP_ID, "exp-2"]), EXP_ID)
+    pairs = [(res.entry_cvr(ev, EXP_ID), res.entry_cvr(ev, EXP_ID, assignments=table)),
+             (res.ctr(ev, EXP_ID), res.ctr(ev, EXP_ID, assignments=table)),
+             (B.funnel(ev, exp_id=EXP_ID), B.funnel(ev, exp_id=EXP_ID, assignments=table))]
+    for want, got in pairs:
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
