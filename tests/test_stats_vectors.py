@@ -230,3 +230,12 @@ def test_untested_hypotheses_leave_the_family(spark, method):
     base = spark.createDataFrame(list(enumerate(PV)), "i long, p double")
     want = {r["i"]: (r["p_adj"], r["reject"]) for r in mt.adjust(base, "p", method, tiebreak=["i"]).collect()}
     assert {k: v for k, v in got.items() if k != 9} == want
+
+
+def test_harmonic_exact_and_asymptotic(spark):
+    ms = [1, 2, 10, 1000, 1001, 5000, 10 ** 6]
+    df = spark.createDataFrame([(m,) for m in ms], "m long")
+    got = [r[0] for r in df.select(N.harmonic("m")).collect()]
+    for m, g in zip(ms, got):
+        want = math.fsum(1.0 / j for j in range(1, m + 1))
+        assert g == pytest.approx(want, rel=1e-14), m
