@@ -39,11 +39,16 @@ def corrected_alphas(df: DataFrame, family: Sequence[str] = (), alpha: float = A
 
 def adjust(df: DataFrame, p_col: str, method: str = "holm_sidak",
            family: Sequence[str] = (), tiebreak: Sequence[str] = (),
-           alpha: float = ALPHA, round_dp: int | None = STAT_DP) -> DataFrame:
+           alpha: float = ALPHA, round_dp: int | None = STAT_DP,
+           distributed: bool = False) -> DataFrame:
     """Add ``p_adj`` and ``reject`` to every row of ``df``.
 
     Rows without a p-value (a test that could not be computed) are not part of the family:
-    they get NULL ``p_adj`` / ``reject`` and do not count towards ``m``."""
+    they get NULL ``p_adj`` / ``reject`` and do not count towards ``m``.
+
+    ``distributed=True`` is for families too large for one task (millions of hypotheses):
+    ranks and running extremes come from range partitions (``operators.ranking``) instead
+    of a window over the family.  Hommel keeps its per-family form."""
     method = ALIASES.get(method, method)
     if method not in METHODS:
         raise ValueError(f"unknown method {method}")
@@ -53,6 +58,8 @@ def adjust(df: DataFrame, p_col: str, method: str = "holm_sidak",
                 .withColumn("reject", F.lit(None).cast("boolean")))
     if method == "hommel":
         out = _hommel(tested, p_col, family, tiebreak, alpha)
+    elif distributed:
+        out = _distributed(tested, p_col, method, family, tiebreak, alpha)
     else:
         out = _windowed(tested, p_col, method, family, tiebreak, alpha)
     if round_dp is not None:
@@ -99,6 +106,46 @@ def _windowed(df, p_col, method, family, tiebreak, alpha):
             .drop("_k", "_m", "_bh", "_r1"))
 
 
+def _distributed(df, p_col, method, family, tiebreak, alpha):
+    from splitlens.operators import ranking as R
+
+    fam = list(family) or ["_family"]
+    base = df if family else df.withColumn("_family", F.lit(0))
+    numbered = R.numbered_partitions(base, [F.col(p_col).asc(), *tiebreak], fam)
+    x = R.with_row_numbers(numbered, fam)
+    p = F.col(p_col).cast("double")
+    m = F.col("_n").cast("double")
+    k = F.col("_rn").cast("double")
+    one = F.lit(1.0)
+
+    def scan(frame, raw, how, reverse):
+        return R.running(frame.withColumn("_raw", raw), "_raw", "_s", how, fam, reverse)
+
+    if method == "bonferroni":
+        x = x.withColumn("p_adj", F.least(one, p * m))
+    elif method == "sidak":
+        x = x.withColumn("p_adj", -F.expm1(m * F.log1p(-p)))
+    elif method in ("holm", "holm_sidak"):
+        raw = p * (m - k + 1) if method == "holm" else -F.expm1((m - k + 1) * F.log1p(-p))
+        x = scan(x, raw, "max", False).withColumn("p_adj", F.least(one, F.col("_s")))
+    elif method in ("simes_hochberg", "fdr_bh", "fdr_by"):
+        raw = {"simes_hochberg": p * (m - k + 1), "fdr_bh": p * m / k,
+               "fdr_by": p * m * harmonic("_n") / k}[method]
+        x = scan(x, raw, "min", True).withColumn("p_adj", F.least(one, F.col("_s")))
+    else:
+        fact = 1.0 if method == "fdr_tsbh" else 1.0 + alpha
+        x = scan(x, p * m / k, "min", True).withColumn("_bh", F.least(one, F.col("_s")))
+        r1 = (x.groupBy(*fam).agg(F.sum(F.when(F.col("_bh") <= alpha / fact, 1).otherwise(0))
+                                  .alias("_r1")))
+        x = x.join(r1, fam)
+        m0 = m - F.col("_r1")
+        x = x.withColumn("p_adj", F.least(one, F.when((F.col("_r1") == 0) | (F.col("_r1") == F.col("_n")),
+                                                      F.col("_bh") * fact)
+                                           .otherwise(F.col("_bh") * m0 / m * fact)))
+    out = x.withColumn("reject", F.col("p_adj") <= F.lit(alpha)).select(*base.columns, "p_adj", "reject")
+    return out if family else out.drop("_family")
+
+
 def hommel_sorted(p: np.ndarray) -> np.ndarray:
     """Hommel adjusted p-values for ascending ``p``: for every subset size ``j`` the Simes
     p-value of the ``j`` largest p-values is a floor for their adjusted values, and

@@ -53,10 +53,9 @@ def numbered_partitions(df: DataFrame, order: Sequence[Column | str],
             .withColumn("_idx", F.col("_mid").bitwiseAND(F.lit(_LOW_BITS))))
 
 
-def row_numbers(df: DataFrame, order: Sequence[Column | str], partition: Sequence[str] = (),
-                num_partitions: int | None = None) -> DataFrame:
-    """Add ``_rn`` (1-based position in ``order`` within ``partition``) and ``_n`` (group size)."""
-    numbered = numbered_partitions(df, order, partition, num_partitions)
+def with_row_numbers(numbered: DataFrame, partition: Sequence[str] = ()) -> DataFrame:
+    """Steps 3-4 on the output of ``numbered_partitions``: add ``_rn`` and ``_n`` (the
+    ``_pid`` / ``_idx`` columns are kept for further scans)."""
     blocks = (numbered.groupBy(*partition, "_pid")
               .agg(F.count(F.lit(1)).alias("_cnt"), F.min("_idx").alias("_first")))
     w = _window(partition)
@@ -65,12 +64,45 @@ def row_numbers(df: DataFrame, order: Sequence[Column | str], partition: Sequenc
               .withColumn("_n", F.sum("_cnt").over(w))
               .select(*[F.col(c).alias(f"_bk{i}") for i, c in enumerate(partition)],
                       F.col("_pid").alias("_bpid"), "_first", "_before", "_n"))
+    joined = numbered.join(blocks, _block_cond(partition))
+    return (joined.withColumn("_rn", F.col("_before") + F.col("_idx") - F.col("_first") + 1)
+            .drop("_bpid", "_first", "_before", *[f"_bk{i}" for i in range(len(partition))]))
+
+
+def _block_cond(partition: Sequence[str]):
     cond = [F.col("_pid") == F.col("_bpid")] + [
         F.col(c).eqNullSafe(F.col(f"_bk{i}")) for i, c in enumerate(partition)]
-    joined = numbered.join(blocks, reduce(lambda x, y: x & y, cond))
-    return joined.select(*df.columns,
-                         (F.col("_before") + F.col("_idx") - F.col("_first") + 1).alias("_rn"),
-                         "_n")
+    return reduce(lambda x, y: x & y, cond)
+
+
+def row_numbers(df: DataFrame, order: Sequence[Column | str], partition: Sequence[str] = (),
+                num_partitions: int | None = None) -> DataFrame:
+    """Add ``_rn`` (1-based position in ``order`` within ``partition``) and ``_n`` (group size)."""
+    numbered = numbered_partitions(df, order, partition, num_partitions)
+    return with_row_numbers(numbered, partition).select(*df.columns, "_rn", "_n")
+
+
+def running(numbered: DataFrame, col: str, out: str, how: str = "max",
+            partition: Sequence[str] = (), reverse: bool = False) -> DataFrame:
+    """Running max / min of ``col`` along the numbered order (``reverse``: from the last row
+    backwards), without a window over a whole group: a window inside each range partition,
+    combined with the extreme of all earlier (later) partitions from a per-partition table."""
+    agg = F.max if how == "max" else F.min
+    pick = F.greatest if how == "max" else F.least
+    idx = F.col("_idx").desc() if reverse else F.col("_idx")
+    inside = Window.partitionBy(*partition, "_pid").orderBy(idx) \
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    x = numbered.withColumn("_within", agg(col).over(inside))
+    pid = F.col("_pid").desc() if reverse else F.col("_pid")
+    earlier = _window(partition).orderBy(pid).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = (numbered.groupBy(*partition, "_pid").agg(agg(col).alias("_bv"))
+              .withColumn("_outside", agg("_bv").over(earlier))
+              .select(*[F.col(c).alias(f"_bk{i}") for i, c in enumerate(partition)],
+                      F.col("_pid").alias("_bpid"), "_outside"))
+    j = x.join(blocks, _block_cond(partition))
+    return (j.withColumn(out, pick("_outside", "_within"))
+            .drop("_within", "_outside", "_bpid", *[f"_bk{i}" for i in range(len(partition))]))
+
 
 def ntile_of(rn: Column | str, n: Column | str, buckets: int) -> Column:
     """SQL ``ntile(buckets)`` from a row number and the group size: the first ``n % buckets``

@@ -131,3 +131,33 @@ def test_ztests_random(spark):
         z1 = (p1 - 0.2) / math.sqrt(p1 * (1 - p1) / n1)
         assert c["z"] == pytest.approx(z1, rel=1e-12)
         assert c["p_value"] == pytest.approx(math.erfc(abs(z1) / math.sqrt(2)), abs=1e-10)
+
+
+@pytest.mark.parametrize("method", [m for m in mt.METHODS if m != "hommel"])
+def test_distributed_equals_windowed(spark, method):
+    rnd = random.Random(hash(method) % 997)
+    rows = []
+    for fam in range(4):
+        for i in range(rnd.choice([1, 7, 300])):
+            rows.append((fam, i, round(rnd.choice([rnd.uniform(0, 0.001), rnd.uniform(0, 1), 0.5]), 5)))
+    df = spark.createDataFrame(rows, "fam int, i int, p double")
+    want = {(r["fam"], r["i"]): (r["p_adj"], r["reject"]) for r in
+            mt.adjust(df, "p", method, family=["fam"], tiebreak=["i"], round_dp=None).collect()}
+    got = {(r["fam"], r["i"]): (r["p_adj"], r["reject"]) for r in
+           mt.adjust(df, "p", method, family=["fam"], tiebreak=["i"], round_dp=None,
+                     distributed=True).collect()}
+    assert got.keys() == want.keys()
+    for key in want:
+        assert got[key][0] == pytest.approx(want[key][0], abs=1e-12), (method, key)
+        assert got[key][1] == want[key][1]
+
+
+def test_distributed_single_large_family(spark):
+    rnd = random.Random(3)
+    rows = [(i, rnd.uniform(0, 1) if i % 50 else rnd.uniform(0, 1e-6)) for i in range(20000)]
+    df = spark.createDataFrame(rows, "i long, p double")
+    for method in ("holm", "fdr_bh"):
+        want = {r["i"]: r["p_adj"] for r in mt.adjust(df, "p", method, tiebreak=["i"], round_dp=None).collect()}
+        got = {r["i"]: r["p_adj"] for r in mt.adjust(df, "p", method, tiebreak=["i"], round_dp=None,
+                                                     distributed=True).collect()}
+        assert max(abs(got[i] - want[i]) for i in want) < 1e-12
