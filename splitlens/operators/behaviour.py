@@ -30,27 +30,60 @@ def epoch_micros(ts: Column | str) -> Column:
 
 
 # ---------------------------------------------------------------- N6 / N7 funnel
+# A unit (user-day) with more rows than this is salted across SALTS tasks in the step joins.
+HOT_UNIT_ROWS = 5_000_000
+SALTS = 32
+
+
+def hot_units(events: DataFrame, unit: Sequence[str], threshold: int = HOT_UNIT_ROWS,
+              fraction: float = 0.01) -> DataFrame | None:
+    """Units whose row count, estimated from a Bernoulli sample, exceeds ``threshold``;
+    ``None`` when there are none.  At most ``1 / (threshold * fraction)`` of the sampled rows
+    can belong to such units, so the result is small and is broadcast."""
+    counts = (events.sample(False, fraction, seed=23).groupBy(*unit)
+              .agg(F.count(F.lit(1)).alias("_c")).filter(F.col("_c") > threshold * fraction))
+    rows = counts.select(*unit).collect()
+    if not rows:
+        return None
+    return events.sparkSession.createDataFrame(rows, counts.select(*unit).schema) \
+        .withColumn("_hot", F.lit(True))
+
+
 def funnel_reach(events: DataFrame, steps: Sequence[str] = FUNNEL_STEPS,
-                 unit: Sequence[str] = ("user_id", "day")) -> list[DataFrame]:
+                 unit: Sequence[str] = ("user_id", "day"),
+                 hot_threshold: int = HOT_UNIT_ROWS) -> list[DataFrame]:
     """For each step k, the units that reached it: ``unit..., t_k`` where ``t_k`` is the first
     time of step k strictly after ``t_{k-1}``.
 
     Step k is a per-unit ``min`` over the step's events joined to the units of step k-1 (one
-    row per unit), so every stage is a partial aggregate plus an equi-join on the unit key;
-    a unit with a very large share of rows is split by the adaptive skew-join rule.
+    row per unit), so every stage is a partial aggregate plus an equi-join on the unit key.
+    A unit holding a very large share of the rows (estimated from a sample) is salted: its
+    events are spread over ``SALTS`` join keys and its step-(k-1) row is replicated per salt,
+    so no task receives all of its rows; the per-unit ``min`` then combines the salts.
     """
     # explicit not-null keys: the same predicates the step joins would infer, so every
     # branch plans an identical step-1 aggregate and its shuffle is reused, not recomputed
-    base = (events.select("user_id", F.to_date("ts").alias("day"), "ts", "event_type")
+    base = (events.select("user_id", "event_id", F.to_date("ts").alias("day"), "ts", "event_type")
             .filter(F.col("user_id").isNotNull() & F.col("day").isNotNull()
                     & F.col("ts").isNotNull()))
     unit = list(unit)
+    hot = hot_units(base, unit, hot_threshold) if len(steps) > 1 else None
     reached = []
     prev = None
     for k, step in enumerate(steps, 1):
         ev = base.filter(F.col("event_type") == step)
-        if prev is not None:
+        if prev is not None and hot is None:
             ev = ev.join(prev, unit).filter(F.col("ts") > F.col("_prev_ts"))
+        elif prev is not None:
+            salted = (ev.join(F.broadcast(hot), unit, "left")
+                      .withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64("event_id"), F.lit(SALTS)))
+                                  .otherwise(F.lit(0))))
+            spread = (prev.join(F.broadcast(hot), unit, "left")
+                      .withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1)))
+                                                      .otherwise(F.array(F.lit(0)))))
+                      .drop("_hot"))
+            ev = (salted.drop("_hot").join(spread, [*unit, "_salt"])
+                  .filter(F.col("ts") > F.col("_prev_ts")))
         cur = ev.groupBy(*unit).agg(F.min("ts").alias(f"t{k}"))
         reached.append(cur)
         prev = cur.withColumnRenamed(f"t{k}", "_prev_ts")
