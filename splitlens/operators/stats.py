@@ -62,14 +62,13 @@ def chi2_test(cells: DataFrame, row_col: str, col_col: str, n_col: str = "n",
     statistics; ``dof == 0`` gives statistic 0 and p 1.
     """
     o = F.col(n_col).cast("double")
-    c = (cells.select(*keys, row_col, col_col, o.alias("_o"))
-         .withColumn("_rt", F.sum("_o").over(_part(keys, row_col)))
-         .withColumn("_ct", F.sum("_o").over(_part(keys, col_col)))
-         .withColumn("_tot", F.sum("_o").over(_part(keys)))
-         .withColumn("_nr", F.size(F.collect_set(row_col).over(_part(keys))))
-         .withColumn("_nc", F.size(F.collect_set(col_col).over(_part(keys))))
-         .withColumn("_e", safe_div(F.col("_rt") * F.col("_ct"), "_tot"))
-         .withColumn("_dof", (F.col("_nr") - 1) * (F.col("_nc") - 1)))
+    rt = F.sum(o).over(_part(keys, row_col))
+    ct = F.sum(o).over(_part(keys, col_col))
+    tot = F.sum(o).over(_part(keys))
+    c = cells.select(*keys, row_col, col_col, o.alias("_o"),
+                     F.try_divide(rt * ct, tot).alias("_e"),
+                     ((F.size(F.collect_set(row_col).over(_part(keys))) - 1)
+                      * (F.size(F.collect_set(col_col).over(_part(keys))) - 1)).alias("_dof"))
     diff = F.col("_e") - F.col("_o")
     adj = F.col("_o") + F.signum(diff) * F.least(F.lit(0.5), F.abs(diff))
     o_used = F.when(F.lit(correction) & (F.col("_dof") == 1), adj).otherwise(F.col("_o"))
