@@ -12,13 +12,15 @@ Steps, all on Spark:
 
 1. One row per document: set size, 128-bit set digest, count vector; and counts of hashed token
    cells, summed to a fixed-size table of commonness levels.
-2. Prefix tokens, packed by hash slot and shuffled; blocks with two different sets remain.
-3. Star links: each set against one pivot of its blocks, verified; components.
-4. R-trees over the blocks that still span several components give the other candidate pairs,
-   verified; components over all links.
-
-Sets in one component need no further comparison, so a group of near copies costs one
-verification per member, and equal sets cost none.  Skew: equal sets collapse to one class
+2. Prefix tokens, packed by hash slot and shuffled; blocks with two different sets remain, blocks
+   of the same members once.
+3. Star rounds: the R-tree of each block gives the pairs within the bound; each set keeps one
+   partner, the one with the most partners.  These few pairs are pruned again with a finer count
+   vector and verified; the links found give components.
+4. Last round: all pairs within the bound of the blocks that still span several components.
+
+Sets in one component need no further comparison, so a group of near copies costs a few
+verifications per member, and equal sets cost none.  Skew: equal sets collapse to one class
 before verification, common tokens come last in every prefix, and the joins are between plain
 exchanges of written tables, which adaptive execution splits.
 """
@@ -42,6 +44,7 @@ GROUPS = 64            # coordinates of a point
 CELL_BITS = 20         # hashed cells of the commonness table (fixed size: one byte each)
 SLICES = 64            # the cell counts travel in so many pieces
 FANOUT = 16            # children of an R-tree node
+STAR_ROUNDS = 1
 _MEMBER = np.dtype([("token", "<i8"), ("cls", "<i8")])
 
 
@@ -55,8 +58,19 @@ def _digest(s: np.ndarray) -> tuple[int, int]:
     return a - (1 << 64) if a >> 63 else a, b - (1 << 64) if b >> 63 else b
 
 
-def count_vector(s: np.ndarray) -> np.ndarray:
-    return np.bincount(((s >> np.uint64(CELL_BITS)) % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS).astype("<u4")
+def count_vector(s: np.ndarray, groups: int = GROUPS) -> np.ndarray:
+    return np.bincount(((s >> np.uint64(CELL_BITS)) % np.uint64(groups)).astype(np.int64), minlength=groups).astype("<u4")
+
+
+def fine_vector(s: np.ndarray) -> np.ndarray:
+    """A count vector with about four tokens in a group; halving it adds its halves."""
+    return count_vector(s, max(GROUPS, 1 << max(0, len(s) // 4).bit_length()))
+
+
+def fine_bound(x: np.ndarray, y: np.ndarray) -> int:
+    """Summed coordinate minima of two fine vectors, the longer folded to the shorter."""
+    k = min(len(x), len(y))
+    return int(np.minimum(x.reshape(-1, k).sum(axis=0), y.reshape(-1, k).sum(axis=0)).sum())
 
 
 _POINTS = "doc_id long, n long, cls long, cls2 long, point binary, slice int, cells binary"
@@ -152,26 +166,22 @@ def _prefixes(levels_of, n_slots: int, percent: int):
 
 
 def _blocks(rows: pa.Table) -> pa.Table:
-    """Blocks of one slot: (block token, set, least set of the block), blocks of one set and
-    repeats of the same member list left out."""
+    """Members of the blocks of one slot: (block, set).  Blocks of one set are left out; a block is
+    named by its member list, so that repeats of a list fall together."""
     m = unpack(rows.column("data"), _MEMBER)
     order = np.lexsort((m["cls"], m["token"]))
     token, cls = m["token"][order], m["cls"][order]
-    if len(token):
-        new = np.r_[True, (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])]
-        token, cls = token[new], cls[new]
+    if not len(token):
+        return pa.table({"block": token, "cls": cls})
+    new = np.r_[True, (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])]
+    token, cls = token[new], cls[new]
     bounds = runs(token)
     size = np.diff(bounds)
-    if len(size):
-        members = np.add.reduceat(mix(cls.view(np.uint64)), bounds[:-1])
-        first = np.zeros(len(size), dtype=bool)
-        first[np.unique(members, return_index=True)[1]] = True
-        keep = first & (size > 1)
-    else:
-        keep = np.zeros(0, dtype=bool)
-    live = np.repeat(keep, size)
-    pivot = np.repeat(cls[bounds[:-1]], size) if len(size) else cls
-    return pa.table({"block": token[live], "cls": cls[live], "pivot": pivot[live]})
+    name = mix(np.add.reduceat(mix(cls.view(np.uint64)), bounds[:-1]) + size.astype(np.uint64)).view(np.int64)
+    keep = np.zeros(len(size), dtype=bool)
+    keep[np.unique(name, return_index=True)[1]] = True
+    live = np.repeat(keep & (size > 1), size)
+    return pa.table({"block": np.repeat(name, size)[live], "cls": cls[live]})
 
 
 # ---------------------------------------------------------------- R-tree
@@ -240,26 +250,49 @@ class CountTree:
             stack.append((level - 1, ca[ok], cb[ok]))
 
 
-_POINT_ROW = "block long, cls long, n long, point binary, component long"
-
-
-def _tree_pairs(percent: int):
+def _best(tree: CountTree, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each point with a partner: (point, its partner of most partners, their number)."""
+    degree = np.zeros(len(sizes), dtype=np.int64)
+    for i, j in tree.pairs(percent):
+        degree += np.bincount(i, minlength=len(sizes)) + np.bincount(j, minlength=len(sizes))
+    rank = np.argsort(np.argsort(degree, kind="stable"), kind="stable")  # position by degree, no ties
+    best = np.full(len(sizes), -1, dtype=np.int64)
+    for i, j in tree.pairs(percent):
+        np.maximum.at(best, i, rank[j])
+        np.maximum.at(best, j, rank[i])
+    at = np.flatnonzero(best >= 0)
+    by_rank = np.empty(len(sizes), dtype=np.int64)
+    by_rank[rank] = np.arange(len(sizes))
+    partner = by_rank[best[at]]
+    return at, partner, degree[partner]
+
+
+def _candidates(percent: int, every: bool):
+    """Candidate pairs of the blocks of a slot: all of them, or one for each member."""
     def run(rows: pa.Table) -> pa.Table:
         block = rows.column("block").to_numpy()
         order = np.argsort(block, kind="stable")
         bounds = runs(block[order])
         cls, n, comp = (rows.column(c).to_numpy()[order] for c in ("cls", "n", "component"))
         points = unpack(rows.column("point"), "<u4").reshape(-1, GROUPS)[order]
-        left, right = [], []
+        left, right, rank = [], [], []
         for a, b in zip(bounds[:-1], bounds[1:]):
-            for i, j in CountTree(points[a:b], n[a:b], comp[a:b]).pairs(percent):
+            tree = CountTree(points[a:b], n[a:b], comp[a:b])
+            if every:
+                found = [(i, j, np.zeros(len(i), np.int64)) for i, j in tree.pairs(percent)]
+            else:
+                found = [_best(tree, n[a:b], percent)]
+            for i, j, r in found:
                 left.append(cls[a:b][i])
                 right.append(cls[a:b][j])
-        x = np.concatenate(left) if left else np.zeros(0, np.int64)
-        y = np.concatenate(right) if right else np.zeros(0, np.int64)
-        lo, hi = np.minimum(x, y), np.maximum(x, y)
-        pairs = np.unique(np.stack([lo, hi], axis=1), axis=0) if len(lo) else np.zeros((0, 2), np.int64)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+                rank.append(r)
+        if not left:
+            return pa.table({c: pa.array([], pa.int64()) for c in ("a", "b", "rank")})
+        x, y, r = map(np.concatenate, (left, right, rank))
+        if every:
+            pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
+            x, y, r = pairs[:, 0], pairs[:, 1], np.zeros(len(pairs), np.int64)
+        return pa.table({"a": x, "b": y, "rank": r})
     return run
 
 
@@ -278,17 +311,34 @@ def _open_set(blob: bytes) -> np.ndarray:
 
 
 def _own_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keep the rows whose text has the set they were asked for (ids may repeat)."""
+    """Keep the rows whose text has the set they were asked for (ids may repeat); add its fine vector."""
     for batch in batches:
-        same = [_digest(_open_set(body.as_buffer()))[0] == c.as_py() for body, c in zip(batch.column("body"), batch.column("cls"))]
-        yield batch.filter(pa.array(same, pa.bool_())).select(["cls", "body"])
+        rows = []
+        for body, cls in zip(batch.column("body"), batch.column("cls").to_pylist()):
+            s = _open_set(body.as_buffer())
+            if _digest(s)[0] == cls:
+                rows.append((cls, len(s), fine_vector(s).tobytes(), body.as_py()))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))],
+                                             names=["cls", "n", "fine", "body"])
+
+
+def _prune(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = batch.column("fine_a"), batch.column("fine_b")
+            bound = np.array([fine_bound(np.frombuffer(x[i].as_buffer(), "<u4"), np.frombuffer(y[i].as_buffer(), "<u4"))
+                              for i in range(batch.num_rows)], dtype=np.int64)
+            keep = linked(bound, batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy(), percent)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    return run
 
 
 def _verify(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[int | None, np.ndarray | None] = (None, None)
         for batch in batches:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+            b = batch.column("b").to_pylist()
             left, right = batch.column("body_a"), batch.column("body_b")
             keep = []
             for i in range(batch.num_rows):
@@ -301,10 +351,20 @@ def _verify(percent: int):
     return run
 
 
-def _links(pairs: DataFrame, bodies: DataFrame, percent: int) -> DataFrame:
-    left = bodies.select(F.col("cls").alias("a"), F.col("body").alias("body_a"))
-    right = bodies.select(F.col("cls").alias("b"), F.col("body").alias("body_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "body_a", "body_b").mapInArrow(_verify(percent), "a long, b long")
+def _sides(bodies: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
+    return tuple(bodies.select(F.col("cls").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in columns)) for x in "ab")
+
+
+def _links(pairs: DataFrame, known: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The candidate pairs that reach the threshold: fine bound first, then the whole sets."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    wanted = materialise(ids.join(classes.select("cls", "rep"), "cls").select("cls", F.col("rep").alias("doc_id")), "jj-wanted")
+    bodies = materialise(known.mapInArrow(_squeeze, "doc_id long, body binary").join(wanted, "doc_id").select("cls", "body")
+                         .mapInArrow(_own_digest, "cls long, n long, fine binary, body binary").dropDuplicates(["cls"]), "jj-bodies")
+    fine_a, fine_b = _sides(bodies, "n", "fine")
+    close = materialise(pairs.join(fine_a, "a").join(fine_b, "b").mapInArrow(_prune(percent), "a long, b long"), "jj-close")
+    body_a, body_b = _sides(bodies, "body")
+    return materialise(close.join(body_a, "a").join(body_b, "b").mapInArrow(_verify(percent), "a long, b long"), "jj-links")
 
 
 def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -326,26 +386,29 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     known = docs.filter("text IS NOT NULL AND doc_id IS NOT NULL")
     blocks = materialise(known.mapInArrow(_prefixes(levels, n_slots, percent), "slot int, data binary")
-                         .groupBy("slot").applyInArrow(_blocks, "block long, cls long, pivot long"), "jj-blocks")
-
-    wanted = blocks.select("cls").distinct().join(classes.select("cls", "rep"), "cls").select("cls", F.col("rep").alias("doc_id"))
-    bodies = materialise(known.mapInArrow(_squeeze, "doc_id long, body binary").join(wanted, "doc_id")
-                         .select("cls", "body").mapInArrow(_own_digest, "cls long, body binary").dropDuplicates(["cls"]), "jj-bodies")
-
-    star = blocks.groupBy(F.col("cls").alias("a")).agg(F.min("pivot").alias("b")).filter("a <> b")
-    found = materialise(_links(star, bodies, percent), "jj-links")
-    part = materialise(connected_components(found).withColumnRenamed("node", "cls"), "jj-part")
-
-    labelled = materialise(blocks.join(part, "cls", "left").select("block", "cls", F.coalesce("component", "cls").alias("component")), "jj-labelled")
-    mixed = labelled.groupBy("block").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("block")
-    mixed = materialise(mixed, "jj-mixed")
-    pairs = (labelled.join(mixed, "block").join(classes.select("cls", "n", "point"), "cls")
-             .select("block", "cls", "n", "point", "component")
-             .withColumn("slot", F.pmod(F.xxhash64("block"), F.lit(n_slots)).cast("int"))
-             .groupBy("slot").applyInArrow(_tree_pairs(percent), "a long, b long").distinct())
-    more = materialise(_links(pairs, bodies, percent), "jj-links")
-
-    part = connected_components(found.union(more)).withColumnRenamed("node", "cls")
+                         .groupBy("slot").applyInArrow(_blocks, "block long, cls long").distinct(), "jj-blocks")
+
+    links, part = None, None
+    for turn in range(STAR_ROUNDS + 1):
+        every = turn == STAR_ROUNDS
+        if part is None:
+            open_blocks = blocks.withColumn("component", F.col("cls"))
+        else:
+            labelled = materialise(blocks.join(part, "cls", "left").select("block", "cls", F.coalesce("component", "cls").alias("component")), "jj-labelled")
+            mixed = labelled.groupBy("block").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("block")
+            open_blocks = labelled.join(materialise(mixed, "jj-mixed"), "block")
+        pairs = (open_blocks.join(classes.select("cls", "n", "point"), "cls").select("block", "cls", "n", "point", "component")
+                 .withColumn("slot", F.pmod(F.xxhash64("block"), F.lit(n_slots)).cast("int"))
+                 .groupBy("slot").applyInArrow(_candidates(percent, every), "a long, b long, rank long"))
+        if every:
+            pairs = pairs.select("a", "b").distinct()
+        else:
+            pairs = (pairs.groupBy("a").agg(F.max(F.struct("rank", "b")).alias("best"))
+                     .select(F.least("a", "best.b").alias("a"), F.greatest("a", "best.b").alias("b")).distinct())
+        found = _links(materialise(pairs, "jj-pairs"), known, classes, percent)
+        links = found if links is None else links.union(found)
+        part = materialise(connected_components(links).withColumnRenamed("node", "cls"), "jj-part")
+
     named = materialise(classes.select("n", "cls", "cls2", "rep").join(part, "cls", "left")
                         .withColumn("component", F.coalesce("component", "cls")), "jj-named")
     least = materialise(named.groupBy("component").agg(F.min("rep").alias("component_id")), "jj-least")
