@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 from splitlens.session import shared_dir
@@ -31,6 +32,22 @@ def slots(spark: SparkSession) -> int:
     return 4 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+class Shipped:
+    """A broadcast of any object of this package, pickled by value; for data of a bounded size."""
+
+    def __init__(self, spark: SparkSession, value):
+        self._sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    def __getstate__(self):
+        return {"_sent": self._sent}
+
+    @property
+    def value(self):
+        if not hasattr(self, "_value"):
+            self._value = cloudpickle.loads(self._sent.value)
+        return self._value
+
+
 def scalar(df: DataFrame):
     """The single value of a one-row, one-column frame (None when there is no row)."""
     row = df.first()

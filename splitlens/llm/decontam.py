@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from splitlens.llm.common import Shipped
 from splitlens.llm.textkernel import SHINGLE, row_shingles, shingles, utf8, word_hashes
 
 PERCENT = 80
@@ -147,7 +148,7 @@ def contained_items(docs: DataFrame, items: DataFrame, percent: int = PERCENT,
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
     out = spark.range(0).selectExpr(*(f"CAST(NULL AS {f.split()[1]}) AS {f.split()[0]}" for f in _SCHEMA.split(", ")))
     for index in _item_blocks(items, percent, block_shingles):
-        out = out.union(texts.mapInArrow(_search(spark.sparkContext.broadcast(index)), _SCHEMA))
+        out = out.union(texts.mapInArrow(_search(Shipped(spark, index)), _SCHEMA))
     return out
 
 

@@ -8,26 +8,73 @@ from pyspark.sql import DataFrame, SparkSession
 
 from splitlens.llm.common import table
 from splitlens.llm.decontam import contained_items
+from splitlens.llm.embed_dedup import embedding_links
 from splitlens.llm.jaccard_join import jaccard_components
+from splitlens.llm.mixing import mixing_rates
+from splitlens.llm.pii import personal_data
+from splitlens.llm.quality import quality_scores
+from splitlens.llm.suffix_dedup import repeated_strings
 from splitlens.llm.token_count import token_counts
+from splitlens.llm.toxicity import toxicity
+from splitlens.llm.warc_zip import pages_through_archives
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents"))
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_strings(table(spark, sf_dir, "documents")).drop("removed")
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op8_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages_through_archives(table(spark, sf_dir, "pages"))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_links(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op4_decontamination": op4_decontamination,
-    "op7_token_counts": op7_token_counts,
-    "op9_jaccard_join": op9_jaccard_join,
-}
+    f.__name__: f for f in (op1_toxicity, op2_quality, op3_pii, op4_decontamination, op5_suffix_dedup, op6_mixing,
+                            op7_token_counts, op8_warc_zip, op9_jaccard_join, op10_embedding_dedup)}
 
-ORACLE: dict[str, str] = {}
+# SQL over whole tables is given where DuckDB can say the same thing in one query
+ORACLE: dict[str, str] = {
+    "op8_warc_zip": """
+        WITH p AS (SELECT page_id, url, coalesce(html, '') AS body FROM pages),
+             h AS (SELECT page_id, url, octet_length(encode(body)) AS payload_bytes, sha1(body) AS hex,
+                          min(page_id) OVER (PARTITION BY body) AS first_id FROM p),
+             b AS (SELECT *, list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(
+                       (CAST('0x' || substr(hex || '0', CAST(1 + i * 5 // 4 AS INTEGER), 2) AS INTEGER)
+                        >> CAST(3 - (i * 5) % 4 AS INTEGER)) & 31 AS INTEGER), 1)) AS letters FROM h)
+        SELECT page_id, url, payload_bytes, array_to_string(letters, '') AS payload_digest,
+               CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to
+        FROM b
+    """,
+}
