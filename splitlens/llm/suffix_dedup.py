@@ -40,6 +40,7 @@ SIDE = (LENGTH - Q) // 2  # every window agrees on so many bytes before or behin
 _ENTRY = np.dtype([("gram", "<u4"), ("ctx", "<u8"), ("doc", "<i8"), ("at", "<u4"), ("lo", "u1"), ("hi", "u1"),
                    ("left", "<u2"), ("right", "<u2"), ("again", "u1")])
 _WINDOW = np.dtype([("id", "<u8"), ("doc", "<i8"), ("at", "<u4"), ("again", "u1")])
+_RANGE = np.dtype([("doc", "<i8"), ("a", "<u4"), ("b", "<u4")])
 _PAIR = np.dtype([("a", "<u4"), ("b", "<u4")])
 _COVERED, _OPEN = 0, 1
 _POS = np.uint64(PIECE - 1)
@@ -175,16 +176,26 @@ def _entries(n_slots: int):
     return run
 
 
-def _per_document(doc: np.ndarray, kind: int, a: np.ndarray, b: np.ndarray) -> pa.Table:
-    """One row per document: (doc_id, kind, packed pairs)."""
-    order = np.argsort(doc, kind="stable")
-    doc = doc[order]
-    rows = np.empty(len(doc), dtype=_PAIR)
-    rows["a"], rows["b"] = a[order], b[order]
+def _by_document(doc: np.ndarray, kind: int, a: np.ndarray, b: np.ndarray, n_slots: int) -> pa.Table:
+    """Pairs packed by the slot of their document: (slot, kind, data)."""
+    rows = np.empty(len(doc), dtype=_RANGE)
+    rows["doc"], rows["a"], rows["b"] = doc, a, b
+    slot, data = pack_by_slot(rows, (mix(rows["doc"].astype(np.uint64)) % np.uint64(n_slots)).astype(np.int32))
+    return pa.table({"slot": slot, "kind": pa.array(np.full(len(slot), kind), pa.int32()), "data": data})
+
+
+def _gather(rows: pa.Table) -> pa.Table:
+    """One row per document of a slot: its pairs, those of covered ranges merged."""
+    r = unpack(rows.column("data"), _RANGE)
+    if rows.column("kind")[0].as_py() == _COVERED:
+        doc, a, b = _merged(r["doc"], r["a"], r["b"])
+    else:
+        order = np.argsort(r["doc"], kind="stable")
+        doc, a, b = r["doc"][order], r["a"][order], r["b"][order]
+    pairs = np.empty(len(doc), dtype=_PAIR)
+    pairs["a"], pairs["b"] = a, b
     bounds = runs(doc)
-    starts = bounds[:-1]
-    return pa.table({"doc_id": pa.array(doc[starts] if len(doc) else doc, pa.int64()), "kind": pa.array(np.full(len(starts), kind), pa.int32()),
-                     "data": binary_array(rows, bounds)})
+    return pa.table({"doc_id": pa.array(doc[bounds[:-1]], pa.int64()), "parts": binary_array(pairs, bounds)})
 
 
 def _merged(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -202,7 +213,7 @@ def _merged(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray
     return doc[at], lo[at], np.maximum.reduceat(hi, at)
 
 
-def _refine(rows: pa.Table) -> pa.Table:
+def _refine(rows: pa.Table, n_slots: int) -> pa.Table:
     """Buckets of one slot: byte ranges that are covered, and entries whose windows stay open."""
     e = unpack(rows.column("data"), _ENTRY)
     known = e[e["again"] > 0]
@@ -230,8 +241,9 @@ def _refine(rows: pa.Table) -> pa.Table:
     live = (near["left"] | near["right"]) & (lo <= hi)
     heads, lo, hi = heads[live], lo[live], hi[live]
     first_window, last_window = heads["at"].astype(np.int64) - hi, heads["at"].astype(np.int64) - lo
-    return pa.concat_tables([_per_document(*(lambda d, a, b: (d, _COVERED, a, b))(*_merged(covered["doc"], start, stop))),
-                             _per_document(heads["doc"], _OPEN, first_window, last_window)])
+    doc, start, stop = _merged(covered["doc"], start, stop)
+    return pa.concat_tables([_by_document(doc, _COVERED, start, stop, n_slots),
+                             _by_document(heads["doc"], _OPEN, first_window, last_window, n_slots)])
 
 
 def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,8 +258,8 @@ def _plain(body) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(body), dtype=np.uint8)
 
 
-def _pairs(parts) -> np.ndarray:
-    return np.concatenate([np.frombuffer(p, dtype=_PAIR) for p in parts]) if parts else np.zeros(0, dtype=_PAIR)
+def _pairs(parts: bytes | None) -> np.ndarray:
+    return np.frombuffer(parts or b"", dtype=_PAIR)
 
 
 def _windows(n_slots: int):
@@ -275,7 +287,7 @@ def _windows(n_slots: int):
     return run
 
 
-def _first_windows(rows: pa.Table) -> pa.Table:
+def _first_windows(rows: pa.Table, n_slots: int) -> pa.Table:
     w = unpack(rows.column("data"), _WINDOW)
     known, w = w[w["again"] > 0], w[w["again"] == 0]
     w = w[np.lexsort((w["at"], w["doc"], w["id"]))]
@@ -286,7 +298,7 @@ def _first_windows(rows: pa.Table) -> pa.Table:
     covered = np.concatenate([known, w])
     at = covered["at"].astype(np.int64)
     doc, lo, hi = _merged(covered["doc"], at, at + LENGTH)
-    return _per_document(doc, _COVERED, lo, hi)
+    return _by_document(doc, _COVERED, lo, hi, n_slots)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,12 +329,14 @@ def repeated_strings(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     n_slots = slots(docs.sparkSession)
     long_enough = docs.filter("doc_id IS NOT NULL").filter(F.octet_length("text") >= LENGTH)
+    packed = "slot int, kind int, data binary"
     found = materialise(long_enough.mapInArrow(_entries(n_slots), "slot int, data binary").groupBy("slot")
-                        .applyInArrow(_refine, "doc_id long, kind int, data binary"), "sd-entries")
-    still_open = materialise(found.filter(F.col("kind") == _OPEN).groupBy("doc_id").agg(F.collect_list("data").alias("parts")), "sd-open")
+                        .applyInArrow(lambda rows: _refine(rows, n_slots), packed), "sd-entries")
+    still_open = found.filter(F.col("kind") == _OPEN).groupBy("slot").applyInArrow(_gather, "doc_id long, parts binary")
     bodies = long_enough.mapInArrow(squeeze, "doc_id long, body binary")
-    more = materialise(bodies.join(still_open, "doc_id").mapInArrow(_windows(n_slots), "slot int, data binary").groupBy("slot")
-                       .applyInArrow(_first_windows, "doc_id long, kind int, data binary"), "sd-windows")
-    ranges = materialise(found.filter(F.col("kind") == _COVERED).union(more).groupBy("doc_id").agg(F.collect_list("data").alias("parts")), "sd-ranges")
+    more = materialise(bodies.join(materialise(still_open, "sd-open"), "doc_id").mapInArrow(_windows(n_slots), "slot int, data binary")
+                       .groupBy("slot").applyInArrow(lambda rows: _first_windows(rows, n_slots), packed), "sd-windows")
+    ranges = found.filter(F.col("kind") == _COVERED).union(more).groupBy("slot").applyInArrow(_gather, "doc_id long, parts binary")
+    ranges = materialise(ranges, "sd-ranges")
     return (docs.mapInArrow(squeeze, "doc_id long, body binary").join(ranges, "doc_id", "left")
             .mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed binary"))
