@@ -17,9 +17,6 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Series length for P(a, x); enough for x <= 200 (larger arguments give P = 1 directly).
-SERIES_TERMS = 400
-SERIES_MAX_ARG = 200.0
 _HALF_LN_2PI = repr(0.5 * math.log(2.0 * math.pi))
 
 
@@ -51,17 +48,19 @@ def ln_beta_sql(a, b) -> str:
 
 
 def gamma_p_sql(a, x) -> str:
-    """Regularised lower incomplete gamma P(a, x) = x^a e^-x / Gamma(a+1) * sum_n t_n,
-    t_0 = 1, t_n = t_{n-1} * x / (a + n)."""
+    """Regularised lower incomplete gamma P(a, x) = sum_n exp((a + n) ln x - x - ln Gamma(a + n + 1)).
+
+    Every term is at most 1 and the largest stands at n = x - a; the sum runs over that place and
+    12 standard deviations on either side, however large the arguments are."""
     a = f"CAST({_s(a)} AS DOUBLE)"
     x = f"CAST({_s(x)} AS DOUBLE)"
-    series = (f"aggregate(sequence(1, {SERIES_TERMS}), named_struct('t', 1.0D, 's', 1.0D), "
-              f"(acc, n) -> named_struct('t', acc.t * {x} / ({a} + n), "
-              f"'s', acc.s + acc.t * {x} / ({a} + n)), acc -> acc.s)")
-    lead = f"exp({a} * ln({x}) - {x} - {ln_gamma_sql(f'{a} + 1.0D')})"
+    reach = f"(12.0D * sqrt(greatest({a}, {x})) + 60.0D)"
+    first = f"CAST(greatest(0.0D, floor({x} - {a}) - {reach}) AS BIGINT)"
+    last = f"CAST(greatest(0.0D, floor({x} - {a})) + {reach} AS BIGINT)"
+    term = f"exp(({a} + n) * ln({x}) - {x} - {ln_gamma_sql(f'{a} + n + 1.0D')})"
+    series = f"aggregate(sequence({first}, {last}), 0.0D, (acc, n) -> acc + {term})"
     return (f"(CASE WHEN {x} IS NULL OR {a} IS NULL THEN CAST(NULL AS DOUBLE) "
-            f"WHEN {x} <= 0 THEN 0.0D WHEN {x} > {SERIES_MAX_ARG}D THEN 1.0D "
-            f"ELSE least(1.0D, {lead} * {series}) END)")
+            f"WHEN {x} <= 0 THEN 0.0D ELSE least(1.0D, {series}) END)")
 
 
 def chi2_sf_sql(stat, dof) -> str:
@@ -89,18 +88,17 @@ def norm_cdf_sql(z) -> str:
 
 
 _EULER_GAMMA = "0.5772156649015329D"
-HARMONIC_EXACT_UPTO = 1000
 
 
 def harmonic_sql(m) -> str:
-    """H(m) = sum_{j=1..m} 1/j: summed exactly up to 1000 terms, beyond that the asymptotic
-    expansion ln m + gamma + 1/(2m) - 1/(12m^2) + 1/(120m^4) (error below 1e-18), so the cost
-    per row stays constant however large the family is."""
+    """H(m) = digamma(m + 1) + gamma: the asymptotic series at m + 20 less the twenty terms it
+    runs ahead, one formula at every size."""
     m = f"CAST({_s(m)} AS DOUBLE)"
-    exact = f"aggregate(sequence(1, CAST({m} AS INT)), 0.0D, (acc, j) -> acc + 1.0D / j)"
-    approx = (f"(ln({m}) + {_EULER_GAMMA} + 1.0D / (2.0D * {m}) - 1.0D / (12.0D * {m} * {m})"
-              f" + 1.0D / (120.0D * power({m}, 4)))")
-    return f"(CASE WHEN {m} <= {HARMONIC_EXACT_UPTO} THEN {exact} ELSE {approx} END)"
+    w = f"({m} + 20.0D)"
+    ahead = " + ".join(f"1.0D / ({m} + {k})" for k in range(1, 21))
+    return (f"(ln({w}) + {_EULER_GAMMA} + 1.0D / (2.0D * {w}) - 1.0D / (12.0D * {w} * {w})"
+            f" + 1.0D / (120.0D * power({w}, 4)) - 1.0D / (252.0D * power({w}, 6))"
+            f" + 1.0D / (240.0D * power({w}, 8)) - ({ahead}))")
 
 
 # ---------------------------------------------------------------- Column wrappers

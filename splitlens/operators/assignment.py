@@ -29,7 +29,8 @@ def variant_expr(unit: Column | str, exp_id: str | Column,
                  variants: Sequence[str] = VARIANTS) -> Column:
     b = bucket_expr(unit, exp_id)
     if len(variants) == 2:
-        return F.when(b % 2 == 0, F.lit(variants[0])).otherwise(F.lit(variants[1]))
+        # a NULL unit has no variant
+        return F.when(b % 2 == 0, F.lit(variants[0])).when(b % 2 == 1, F.lit(variants[1]))
     arr = F.array(*[F.lit(v) for v in variants])
     return F.element_at(arr, (b % len(variants) + 1).cast("int"))
 

@@ -11,7 +11,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,7 +47,7 @@ def adjust(df: DataFrame, p_col: str, method: str = "holm_sidak",
 
     ``distributed=True`` is for families too large for one task (millions of hypotheses):
     ranks and running extremes come from range partitions (``operators.ranking``) instead
-    of a window over the family.  Hommel keeps its per-family form."""
+    of a window over the family.  Hommel's tails are plain aggregates either way."""
     method = ALIASES.get(method, method)
     if method not in METHODS:
         raise ValueError(f"unknown method {method}")
@@ -146,47 +145,32 @@ def _distributed(df, p_col, method, family, tiebreak, alpha):
     return out if family else out.drop("_family")
 
 
-def hommel_sorted(p: np.ndarray) -> np.ndarray:
-    """Hommel adjusted p-values for ascending ``p``: for every subset size ``j`` the Simes
-    p-value of the ``j`` largest p-values is a floor for their adjusted values, and
-    ``min(j * p_i, that Simes value)`` a floor for the smaller ones."""
-    m = len(p)
-    adj = p.astype(float).copy()
-    for j in range(m, 1, -1):
-        tail = p[m - j:]
-        simes = np.min(j * tail / np.arange(1, j + 1))
-        adj[m - j:] = np.maximum(adj[m - j:], simes)
-        adj[:m - j] = np.maximum(adj[:m - j], np.minimum(j * p[:m - j], simes))
-    return np.minimum(adj, 1.0)
+def _hommel(df, p_col, family, tiebreak, alpha):
+    """Hommel's procedure as closed testing with Simes' test.
 
+    A hypothesis is rejected when every intersection that holds it is.  Of the intersections of j
+    hypotheses the one hardest to reject holds the j - 1 largest p-values beside it (or the j
+    largest, when it is one of them), so its adjusted p-value is the greatest of these Simes values
+    over j.  With p(i) the i-th smallest of m, both depend on the tail of j only:
 
-def _hommel(df, p_col, family, tiebreak, alpha):
-    """Hommel with higher-order functions, JVM-side.
-
-    Per family, the sorted p-values form one array (a family is a bounded set of
-    hypotheses).  ``_cims[j-2]`` is the Simes p-value of the ``j`` largest p-values,
-    ``min_r j * p_(m-j+r) / r``.  A hypothesis of rank ``k`` takes the largest floor over
-    ``j``: that Simes value when it is among the ``j`` largest, else
-    ``min(j * p_k, Simes)`` -- the same recursion as ``hommel_sorted``."""
-    fam_cols = list(family) or ["_family"]
+        full(j) = min over i > m - j     of j p(i) / (i - m + j)   (the j largest)
+        rest(j) = min over i > m - j + 1 of j p(i) / (i - m + j)   (its j - 1 largest, at ranks 2..j)
+
+    and the hypothesis of rank k takes max(full(j) : j > m - k, min(j p(k), rest(j)) : j <= m - k).
+    The tails are aggregates over (hypothesis, j) rows with a map-side minimum: m^2 / 2 rows for a
+    family, none of them gathered in one task."""
+    fam = list(family) or ["_family"]
     base = df if family else df.withColumn("_family", F.lit(0))
-    w = Window.partitionBy(*fam_cols)
-    x = (base.withColumn("_k", F.row_number().over(w.orderBy(F.col(p_col).asc(), *tiebreak)))
-         .withColumn("_m", F.count(F.lit(1)).over(w).cast("int")))
-    cims = F.expr(
-        "CASE WHEN size(_ps) >= 2 THEN transform(sequence(2, size(_ps)), j -> "
-        "aggregate(sequence(1, j), CAST('Infinity' AS DOUBLE), "
-        "(acc, r) -> least(acc, j * element_at(_ps, size(_ps) - j + r) / r))) "
-        "ELSE CAST(array() AS ARRAY<DOUBLE>) END")
-    fam = (base.groupBy(*fam_cols)
-           .agg(F.array_sort(F.collect_list(F.col(p_col).cast("double"))).alias("_ps"))
-           .select(*fam_cols, cims.alias("_cims")))
-    p = f"CAST({p_col} AS DOUBLE)"
-    adj = F.expr(
-        f"least(1.0D, CASE WHEN _m < 2 THEN {p} ELSE greatest({p}, aggregate(sequence(2, _m), 0.0D, "
-        f"(acc, j) -> greatest(acc, CASE WHEN _k >= _m - j + 1 THEN element_at(_cims, j - 1) "
-        f"ELSE least(j * {p}, element_at(_cims, j - 1)) END))) END)")
-    out = (x.join(fam, fam_cols).withColumn("p_adj", adj)
-           .withColumn("reject", F.col("p_adj") <= F.lit(alpha))
-           .drop("_k", "_m", "_cims"))
+    w = Window.partitionBy(*fam)
+    x = (base.withColumn("_p", F.col(p_col).cast("double"))
+         .withColumn("_k", F.row_number().over(w.orderBy(F.col("_p").asc(), *tiebreak)).cast("long"))
+         .withColumn("_m", F.count(F.lit(1)).over(w)))
+    tail = x.select(*fam, "_p", "_k", "_m", F.explode(F.expr("sequence(_m - _k + 1, _m)")).alias("_j"))
+    place = F.col("_k") - F.col("_m") + F.col("_j")
+    value = F.col("_j") * F.col("_p") / place
+    tails = tail.groupBy(*fam, "_j").agg(F.min(value).alias("_full"), F.min(F.when(place > 1, value)).alias("_rest"))
+    each = x.select(*fam, "_p", "_k", "_m", F.explode(F.expr("sequence(1L, _m)")).alias("_j")).join(tails, [*fam, "_j"])
+    floor = F.when(F.col("_j") > F.col("_m") - F.col("_k"), F.col("_full")).otherwise(F.least(F.col("_j") * F.col("_p"), F.col("_rest")))
+    adj = each.groupBy(*fam, "_k").agg(F.least(F.lit(1.0), F.max(floor)).alias("p_adj"))
+    out = x.join(adj, [*fam, "_k"]).withColumn("reject", F.col("p_adj") <= F.lit(alpha)).select(*base.columns, "p_adj", "reject")
     return out if family else out.drop("_family")

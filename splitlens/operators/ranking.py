@@ -127,8 +127,11 @@ def percent_rank(df: DataFrame, value: str, tiebreak: Sequence[str], out: str,
     """SQL ``percent_rank() OVER ([PARTITION BY p] ORDER BY value)``: ``(rank - 1) / (n - 1)``,
     where tied values share the smallest row number of their run."""
     r = row_numbers(df, [value, *tiebreak], partition)
-    ties = r.groupBy(*partition, value).agg(F.min("_rn").alias("_rank"))
-    j = r.join(ties, [*partition, value])
+    # NULL values form a tie of their own, ordered first
+    keys = [*partition, value]
+    ties = r.groupBy(*keys).agg(F.min("_rn").alias("_rank")).select(*[F.col(k).alias(f"_t_{k}") for k in keys], "_rank")
+    same = [F.col(k).eqNullSafe(F.col(f"_t_{k}")) for k in keys]
+    j = r.join(ties, same).drop(*[f"_t_{k}" for k in keys])
     pr = F.when(F.col("_n") <= 1, F.lit(0.0)).otherwise(
         (F.col("_rank") - 1).cast("double") / (F.col("_n") - 1))
     return j.withColumn(out, pr).drop("_rn", "_n", "_rank")

@@ -5,15 +5,11 @@ Shape of every plan here:
 * the fact table is filtered to the half-open window (pushed into the Parquet scan),
 * pre-aggregated to one row per unit (or unit-day) -- a partial + final hash aggregate,
   so a unit holding a huge share of rows collapses map-side before the shuffle,
-* tagged with its variant by expression (no join against an assignment table),
-* reduced to one row per variant (or day x variant).
-
-Denominators (``units``) come from the population table, also by a partial aggregate to
-one row per variant.  The two small sides are joined last; their size is bounded by the
-number of variants (times days for the daily form), so that join is a broadcast by
-construction.  Orders must reference units of the population (foreign key), as in the
-test tables; with an explicit assignment table pass ``assignments=`` and the per-unit
-metrics are joined to it instead.
+* joined to the population (or to an explicit assignment table), one row per unit on both sides,
+* tagged with its variant by expression and reduced to one row per variant (or day x variant).
+
+Units of the population are the denominators and the only ones that count: facts of units that
+are not in it, or of a NULL unit, belong to no group.
 """
 
 from __future__ import annotations
@@ -56,6 +52,15 @@ def _tag(df: DataFrame, exp_id: str, variants: Sequence[str],
     return df.join(assignments.select("unit_id", "variant"), "unit_id")
 
 
+def _population(population: DataFrame, unit_col: str, exp_id: str, variants: Sequence[str],
+                assignments: DataFrame | None) -> DataFrame:
+    """``unit_id, variant`` of every unit that takes part; NULL units do not."""
+    if assignments is not None:
+        return assignments.select("unit_id", "variant").filter(F.col("unit_id").isNotNull())
+    return (population.select(F.col(unit_col).alias("unit_id")).filter(F.col("unit_id").isNotNull())
+            .withColumn("variant", variant_expr(F.col("unit_id"), exp_id, variants)))
+
+
 def population_units(population: DataFrame, unit_col: str, exp_id: str,
                      variants: Sequence[str] = VARIANTS,
                      assignments: DataFrame | None = None,
@@ -69,21 +74,18 @@ def population_units(population: DataFrame, unit_col: str, exp_id: str,
     else:
         base = population.select(F.col(unit_col).alias("unit_id"), *extra_keys)
         base = base.withColumn("variant", variant_expr(F.col("unit_id"), exp_id, variants))
-    return base.groupBy("variant", *extra_keys).agg(F.count(F.lit(1)).alias("units"))
+    return (base.filter(F.col("unit_id").isNotNull()).groupBy("variant", *extra_keys)
+            .agg(F.count(F.lit(1)).alias("units")))
 
 
 def result_total(customer: DataFrame, orders: DataFrame, exp_id: str,
                  start: dt.date, end: dt.date, variants: Sequence[str] = VARIANTS,
                  assignments: DataFrame | None = None) -> DataFrame:
     """A2: ``variant, units, converted, orders, revenue, cvr, orders_per_unit, revenue_per_unit``."""
-    units = population_units(customer, "c_custkey", exp_id, variants, assignments)
-    conv = (_tag(unit_metrics(orders, start, end), exp_id, variants, assignments)
-            .groupBy("variant")
-            .agg(F.count(F.lit(1)).alias("converted"),
-                 F.sum("n_orders").alias("orders"),
-                 F.sum("revenue").alias("revenue")))
-    # both sides hold at most one row per variant
-    j = units.join(F.broadcast(conv), "variant", "left")
+    units = _population(customer, "c_custkey", exp_id, variants, assignments)
+    j = (units.join(unit_metrics(orders, start, end), "unit_id", "left").groupBy("variant")
+         .agg(F.count(F.lit(1)).alias("units"), F.count("n_orders").alias("converted"),
+              F.sum("n_orders").alias("orders"), F.sum("revenue").alias("revenue")))
     revenue = F.coalesce(F.col("revenue"), F.lit(0)).cast(MONEY)
     return j.select(
         "variant",
@@ -113,7 +115,8 @@ def result_daily(spark: SparkSession, customer: DataFrame, orders: DataFrame, ex
     ``converted`` counts units with an order that day, so it does not add up to the total.
     """
     units = population_units(customer, "c_custkey", exp_id, variants, assignments)
-    daily = (_tag(unit_metrics(orders, start, end, by_day=True), exp_id, variants, assignments)
+    daily = (unit_metrics(orders, start, end, by_day=True)
+             .join(_population(customer, "c_custkey", exp_id, variants, assignments), "unit_id")
              .groupBy("day", "variant")
              .agg(F.count(F.lit(1)).alias("converted"),
                   F.sum("n_orders").alias("orders"),
@@ -156,7 +159,7 @@ def entry_cvr(events: DataFrame, exp_id: str, variants: Sequence[str] = VARIANTS
     A user-day *enters* with an ``entry_type`` event and *converts* with a ``goal_type``
     event later the same day.
     """
-    ud = user_day_entry(events, entry_type, goal_type).withColumnRenamed("user_id", "unit_id")
+    ud = user_day_entry(events.filter(F.col("user_id").isNotNull()), entry_type, goal_type).withColumnRenamed("user_id", "unit_id")
     g = (_tag(ud, exp_id, variants, assignments)
          .groupBy("variant")
          .agg(F.count(F.lit(1)).alias("user_days"),
@@ -180,6 +183,7 @@ def ctr(events: DataFrame, exp_id: str, variants: Sequence[str] = VARIANTS,
     With the hash rule every event is tagged where it is scanned and the aggregate collapses
     to one row per variant map-side.  An explicit assignment table is joined to per-user
     counts instead of to the events."""
+    events = events.filter(F.col("user_id").isNotNull())
     is_view = F.col("event_type") == view_type
     is_click = F.col("event_type") == click_type
     if assignments is None:
@@ -206,7 +210,8 @@ def segment_result(customer: DataFrame, orders: DataFrame, exp_id: str, start: d
     The segment lives on the population table, so the population is left-joined to the
     converted units (one row per unit on both sides; no fact rows take part) and both
     counts come from one aggregate over that join -- a single scan of the population."""
-    pop = customer.select(F.col("c_custkey").alias("unit_id"), F.col(segment_col).alias("segment"))
+    pop = (customer.select(F.col("c_custkey").alias("unit_id"), F.col(segment_col).alias("segment"))
+           .filter(F.col("unit_id").isNotNull()))
     conv = unit_metrics(orders, start, end).select("unit_id", F.lit(True).alias("_conv"))
     j = pop.join(conv, "unit_id", "left")
     j = (j.withColumn("variant", variant_expr(F.col("unit_id"), exp_id, variants))

@@ -55,27 +55,31 @@ def expected_counts(cells: DataFrame, row_col: str, col_col: str, n_col: str = "
 
 def chi2_test(cells: DataFrame, row_col: str, col_col: str, n_col: str = "n",
               keys: Sequence[str] = (), correction: bool = True) -> DataFrame:
-    """Pearson chi-square test of independence on a complete grid of cells.
+    """Pearson chi-square test of independence; cells that are absent count as zero.
 
-    Yates' continuity correction (each observed count moved by ``min(0.5, |O-E|)`` towards
-    its expectation) applies only when ``dof == 1``.  A zero expected count gives NULL
-    statistics; ``dof == 0`` gives statistic 0 and p 1.
+    Without correction the statistic is ``N (sum O^2 / (R C) - 1)``, which needs the present cells
+    only.  Yates' correction applies only when ``dof == 1``: all four cells are then equally far from
+    their expectation, and that distance less ``min(0.5, distance)`` is squared over the four expected
+    counts, which follow from the margins.  A zero margin gives NULL statistics; ``dof == 0``
+    gives statistic 0 and p 1.
     """
     o = F.col(n_col).cast("double")
-    rt = F.sum(o).over(_part(keys, row_col))
-    ct = F.sum(o).over(_part(keys, col_col))
-    tot = F.sum(o).over(_part(keys))
-    c = cells.select(*keys, row_col, col_col, o.alias("_o"),
-                     F.try_divide(rt * ct, tot).alias("_e"),
+    by_row, by_col = _part(keys, row_col), _part(keys, col_col)
+    c = cells.select(*keys, row_col, col_col, o.alias("_o"), F.sum(o).over(by_row).alias("_r"), F.sum(o).over(by_col).alias("_c"),
+                     F.count(F.lit(1)).over(by_row).alias("_in_row"), F.count(F.lit(1)).over(by_col).alias("_in_col"),
+                     F.sum(o).over(_part(keys)).alias("_n"),
                      ((F.size(F.collect_set(row_col).over(_part(keys))) - 1)
                       * (F.size(F.collect_set(col_col).over(_part(keys))) - 1)).alias("_dof"))
-    diff = F.col("_e") - F.col("_o")
-    adj = F.col("_o") + F.signum(diff) * F.least(F.lit(0.5), F.abs(diff))
-    o_used = F.when(F.lit(correction) & (F.col("_dof") == 1), adj).otherwise(F.col("_o"))
-    term = safe_div(F.pow(o_used - F.col("_e"), 2), F.col("_e"))
+    one = F.lit(1.0)
     agg = (c.groupBy(*keys)
-           .agg(F.sum(term).alias("_stat"), F.max("_dof").alias("_dof"),
-                F.count_if((F.col("_e") == 0) | F.col("_e").isNull()).alias("_bad")))
+           .agg(F.sum(safe_div(F.col("_o") * F.col("_o"), F.col("_r") * F.col("_c"))).alias("_sum"), F.max("_n").alias("_n"),
+                F.max("_dof").alias("_dof"), F.max(F.abs(F.col("_o") - safe_div(F.col("_r") * F.col("_c"), F.col("_n")))).alias("_far"),
+                F.sum(safe_div(one, F.col("_r") * F.col("_in_row"))).alias("_rows"), F.sum(safe_div(one, F.col("_c") * F.col("_in_col"))).alias("_cols"),
+                F.count_if((F.col("_r") == 0) | (F.col("_c") == 0) | F.col("_r").isNull() | F.col("_c").isNull()).alias("_bad")))
+    moved = F.col("_far") - F.least(F.lit(0.5), F.col("_far"))
+    plain = F.col("_n") * (F.col("_sum") - 1)
+    agg = agg.withColumn("_stat", F.when(F.lit(correction) & (F.col("_dof") == 1), moved * moved * F.col("_n") * F.col("_rows") * F.col("_cols"))
+                         .otherwise(F.greatest(F.lit(0.0), plain)))
     stat = (F.when(F.col("_dof") == 0, F.lit(0.0))
             .when(F.col("_bad") > 0, F.lit(None).cast("double"))
             .otherwise(F.col("_stat")))
@@ -102,12 +106,13 @@ def _d(a, b) -> str:
 
 
 def ztest_two_sample(df: DataFrame, x1: str, n1: str, x2: str, n2: str,
-                     alternative: str = "two-sided") -> DataFrame:
-    """Pooled two-proportion z-test of ``x1/n1 - x2/n2`` (value 0, pooled variance).
-    Arguments are column names of ``df``; adds unrounded ``z`` and ``p_value``."""
-    pooled = _d(f"{x1} + {x2}", f"{n1} + {n2}")
+                     alternative: str = "two-sided", value: float = 0.0,
+                     prop_var: float | None = None) -> DataFrame:
+    """Two-proportion z-test of ``x1/n1 - x2/n2 = value``; the variance uses the pooled proportion
+    unless ``prop_var``.  Arguments are column names of ``df``; adds unrounded ``z`` and ``p_value``."""
+    pooled = repr(float(prop_var)) if prop_var is not None else _d(f"{x1} + {x2}", f"{n1} + {n2}")
     se = f"sqrt({pooled} * (1 - {pooled}) * ({_d(1, n1)} + {_d(1, n2)}))"
-    z = f"try_divide({_d(x1, n1)} - {_d(x2, n2)}, {se})"
+    z = f"try_divide({_d(x1, n1)} - {_d(x2, n2)} - ({float(value)!r}), {se})"
     return (df.withColumn("z", F.expr(z))
             .withColumn("p_value", F.expr(_p_sql("z", alternative))))
 

@@ -6,7 +6,7 @@ from splitlens.pinned import EXP_ID, WINDOW_END, WINDOW_START
 
 
 def duck_variant(unit_sql: str, exp_id: str = EXP_ID) -> str:
-    return (f"CASE WHEN ('0x' || substr(md5('{exp_id}:' || CAST({unit_sql} AS VARCHAR)), 1, 7))"
+    return (f"CASE WHEN {unit_sql} IS NULL THEN NULL WHEN ('0x' || substr(md5('{exp_id}:' || CAST({unit_sql} AS VARCHAR)), 1, 7))"
             f"::BIGINT % 2 = 0 THEN 'A' ELSE 'B' END")
 
 
@@ -16,14 +16,16 @@ IN_WINDOW = f"o_orderdate >= {W_START} AND o_orderdate < {W_END_EXCL}"
 
 
 def duck_chi2_sf(x: str, dof: str) -> str:
-    """Upper chi-square tail via lgamma and a summed series, written independently of the
-    Spark kernel: P(a,y) = sum_n exp((a+n) ln y - y - lgamma(a+n+1))."""
+    """Upper chi-square tail via lgamma and a summed series around its largest term:
+    P(a,y) = sum_n exp((a+n) ln y - y - lgamma(a+n+1))."""
     a = f"(({dof}) / 2.0)"
     y = f"(({x}) / 2.0)"
-    series = (f"list_sum(list_transform(range(0, 400), lambda n: "
+    reach = f"(14 * sqrt(greatest({a}, {y})) + 80)"
+    series = (f"list_sum(list_transform(range(CAST(greatest(0, floor({y} - {a}) - {reach}) AS BIGINT), "
+              f"CAST(greatest(0, floor({y} - {a})) + {reach} AS BIGINT)), lambda n: "
               f"exp(({a} + n) * ln({y}) - {y} - lgamma({a} + n + 1))))")
     return (f"(CASE WHEN ({x}) IS NULL OR ({dof}) IS NULL THEN NULL "
-            f"WHEN ({x}) <= 0 THEN 1.0 WHEN {y} > 200 THEN 0.0 "
+            f"WHEN ({x}) <= 0 THEN 1.0 "
             f"ELSE 1.0 - least(1.0, {series}) END)")
 
 

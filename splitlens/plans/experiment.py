@@ -122,8 +122,8 @@ u AS (SELECT {V_CUST} AS variant, count(*) AS units FROM customer GROUP BY 1),
 m AS (SELECT o_custkey, CAST(o_orderdate AS DATE) AS day, count(*) AS n,
              sum(CAST(o_totalprice AS DECIMAL(18,2))) AS rev
       FROM orders WHERE {IN_WINDOW} GROUP BY 1, 2),
-dv AS (SELECT day, {V_ORD} AS variant, count(*) AS converted, sum(n) AS orders,
-              sum(rev) AS revenue FROM m GROUP BY 1, 2)
+dv AS (SELECT day, {V_ORD} AS variant, count(*) AS converted, sum(n) AS orders, sum(rev) AS revenue
+       FROM m WHERE o_custkey IN (SELECT c_custkey FROM customer) GROUP BY 1, 2)
 SELECT spine.day, spine.variant, CAST(u.units AS BIGINT) AS units,
        CAST(coalesce(dv.converted, 0) AS BIGINT) AS converted,
        CAST(coalesce(dv.orders, 0) AS BIGINT) AS orders,
@@ -147,7 +147,7 @@ SELECT {V_USER} AS variant, CAST(count(*) AS BIGINT) AS user_days,
        CAST(count(*) FILTER (WHERE g > e) AS BIGINT) AS converted,
        round(count(e) / count(*), 4) AS entry_rate,
        round((count(*) FILTER (WHERE g > e)) / nullif(count(e), 0), 4) AS cvr_among_entrants
-FROM ud GROUP BY 1""")
+FROM ud WHERE user_id IS NOT NULL GROUP BY 1""")
 def q_ab_entry_cvr(spark, sf):
     return res.entry_cvr(read_table(spark, sf, "events"), EXP_ID)
 
@@ -158,28 +158,6 @@ SELECT {V_USER} AS variant,
        CAST(count(*) FILTER (WHERE event_type = 'click') AS BIGINT) AS clicks,
        round((count(*) FILTER (WHERE event_type = 'click'))
              / nullif(count(*) FILTER (WHERE event_type = 'view'), 0), 4) AS ctr
-FROM events GROUP BY 1""")
+FROM events WHERE user_id IS NOT NULL GROUP BY 1""")
 def q_ab_ctr(spark, sf):
     return res.ctr(read_table(spark, sf, "events"), EXP_ID)
-
-
-@query("ab_result_daily_stream", f"""
-WITH u AS (SELECT {V_CUST} AS variant, count(*) AS units FROM customer GROUP BY 1),
-m AS (SELECT o_custkey, CAST(o_orderdate AS DATE) AS day, count(*) AS n,
-             sum(CAST(o_totalprice AS DECIMAL(18,2))) AS rev
-      FROM orders WHERE {IN_WINDOW} GROUP BY 1, 2),
-dv AS (SELECT day, {V_ORD} AS variant, count(*) AS converted, sum(n) AS orders,
-              sum(rev) AS revenue FROM m GROUP BY 1, 2)
-SELECT dv.day, dv.variant, CAST(u.units AS BIGINT) AS units, CAST(converted AS BIGINT) AS converted,
-       CAST(orders AS BIGINT) AS orders, CAST(revenue AS DECIMAL(18,2)) AS revenue,
-       round(converted / u.units, 4) AS cvr
-FROM dv JOIN u ON dv.variant = u.variant""")
-def q_ab_result_daily_stream(spark, sf):
-    """A3 as a Structured Streaming job over the orders table delivered as files; days with
-    orders only (a stream emits nothing for an empty day)."""
-    from splitlens.session import shared_dir
-    from splitlens.streaming import run_daily_stream
-    c, o = _customer_orders(spark, sf)
-    return run_daily_stream(spark, o, c, EXP_ID, WINDOW_START, WINDOW_END,
-                            shared_dir(spark, "orders-landing"), shared_dir(spark, "daily-ckpt"),
-                            shared_dir(spark, "daily-out"))

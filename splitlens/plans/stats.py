@@ -42,6 +42,19 @@ FROM s, d"""
 
 
 # ---------------------------------------------------------------- T1 / T2
+@query("chi2_expected", f"""
+WITH {_TOTAL_CTE},
+cells AS (SELECT variant, 'converted' AS outcome, CAST(converted AS DOUBLE) AS observed FROM t
+          UNION ALL SELECT variant, 'not_converted', CAST(units - converted AS DOUBLE) FROM t)
+SELECT variant, outcome, observed,
+       round(sum(observed) OVER (PARTITION BY variant) * sum(observed) OVER (PARTITION BY outcome)
+             / sum(observed) OVER (), 6) AS expected
+FROM cells""")
+def q_chi2_expected(spark, sf):
+    cells = S.expected_counts(S.contingency(_total(spark, sf)), "variant", "outcome")
+    return cells.withColumn("expected", F.round("expected", STAT_DP))
+
+
 @query("contingency", f"""
 WITH {_TOTAL_CTE}
 SELECT variant, 'converted' AS outcome, CAST(converted AS BIGINT) AS n FROM t
@@ -102,6 +115,22 @@ def q_ztest_two_sample(spark, sf):
     return w.select(F.round("z", STAT_DP).alias("z"), F.round("p_value", STAT_DP).alias("p_value"))
 
 
+MARGIN = -0.02          # B may be worse by two points
+MARGIN_VAR = 0.15
+
+
+@query("ztest_margin", f"""{_WIDE},
+z AS (SELECT (xb * 1.0 / nb - xa * 1.0 / na - ({MARGIN})) / sqrt({MARGIN_VAR} * (1 - {MARGIN_VAR}) * (1.0 / na + 1.0 / nb)) AS z FROM w)
+SELECT round(z, 6) AS z,
+       round(CASE WHEN z >= 0 THEN {duck_norm_p2('z')} / 2 ELSE 1 - {duck_norm_p2('z')} / 2 END, 6) AS p_value
+FROM z""")
+def q_ztest_margin(spark, sf):
+    """Non-inferiority: is B better than A minus the margin, with a planned variance."""
+    w = S.ztest_two_sample(S.wide_by_variant(_total(spark, sf)), "converted_B", "units_B", "converted_A", "units_A",
+                           "larger", MARGIN, MARGIN_VAR)
+    return w.select(F.round("z", STAT_DP).alias("z"), F.round("p_value", STAT_DP).alias("p_value"))
+
+
 @query("ztest_one_sample", f"""{_WIDE},
 z AS (SELECT (xb / nb - {ONE_SAMPLE_NULL}) / sqrt((xb / nb) * (1 - xb / nb) / nb) AS z FROM pooled)
 SELECT round(z, 6) AS z, round({duck_norm_p2('z')}, 6) AS p_value FROM z""")
@@ -225,6 +254,16 @@ for _m in mt.METHODS:
     _register_mt(_m)
 
 
+@query("mt_alphas", f"""WITH {SEG_CTE},
+{_RANKED}
+SELECT CAST(count(p) AS BIGINT) AS m, round(1 - power(1 - {ALPHA}, 1.0 / count(p)), 6) AS alpha_sidak,
+       round({ALPHA} / count(p), 6) AS alpha_bonferroni FROM r""")
+def q_mt_alphas(spark, sf):
+    family = rep.family_adjusted(_segments(spark, sf), "bonferroni").filter(F.col("p_value").isNotNull())
+    return mt.corrected_alphas(family).select("m", F.round("alpha_sidak", STAT_DP).alias("alpha_sidak"),
+                                              F.round("alpha_bonferroni", STAT_DP).alias("alpha_bonferroni"))
+
+
 @query("ab_report", f"""WITH {SEG_CTE},
 {_RANKED},
 adj AS (SELECT segment, least(1.0, max(1 - power(1 - p, m - k + 1)) {_UP}) AS adj FROM r)

@@ -21,8 +21,13 @@ EVENTS_SCHEMA = T.StructType([
 ])
 
 
+# white space, empty strings, NULLs, quotes and line breaks all survive the round trip
+_LOSSLESS = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "nullValue": "\\N",
+             "emptyValue": "", "escape": '"', "quoteAll": "true", "lineSep": "\n"}
+
+
 def write_csv(df: DataFrame, path: str, sep: str = ",") -> str:
-    (df.write.mode("overwrite").option("header", True).option("sep", sep)
+    (df.write.mode("overwrite").options(**_LOSSLESS).option("header", True).option("sep", sep)
        .option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
        .csv(path))
     return path
@@ -30,8 +35,8 @@ def write_csv(df: DataFrame, path: str, sep: str = ",") -> str:
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType, sep: str = ",") -> DataFrame:
     """Read delimited text with a declared schema (no inference pass over the data)."""
-    return (spark.read.schema(schema).option("header", True).option("sep", sep)
-            .option("mode", "FAILFAST")
+    return (spark.read.schema(schema).options(**_LOSSLESS).option("header", True).option("sep", sep)
+            .option("mode", "FAILFAST").option("multiLine", True)
             .option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]")
             .csv(path))
 

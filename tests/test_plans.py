@@ -21,8 +21,8 @@ def formatted(df) -> str:
 
 def test_flagship_pushes_window_and_prunes_columns(spark):
     text = formatted(QUERIES["ab_result_total"](spark, SF01))
-    assert ("PushedFilters: [IsNotNull(o_orderdate), GreaterThanOrEqual(o_orderdate,1997-05-13T00:00), "
-            "LessThan(o_orderdate,1997-06-24T00:00)]") in text
+    assert re.search(r"PushedFilters: \[IsNotNull\(o_orderdate\), GreaterThanOrEqual\(o_orderdate,1997-05-13T00:00\), "
+                     r"LessThan\(o_orderdate,1997-06-24T00:00\)", text)
     assert "ReadSchema: struct<o_custkey:bigint,o_totalprice:double,o_orderdate:timestamp_ntz>" in text
     assert "ReadSchema: struct<c_custkey:bigint>" in text
 
@@ -30,8 +30,9 @@ def test_flagship_pushes_window_and_prunes_columns(spark):
 def test_flagship_never_joins_fact_rows(spark):
     plan = final_plan(QUERIES["ab_result_total"](spark, SF01))
     joins = re.findall(r"(\w+Join)", plan)
-    assert joins == ["BroadcastHashJoin"]          # only the two per-variant rows meet
+    assert len(joins) == 1                         # population and per-unit aggregate, one row per unit each
     assert plan.count("FileScan") == 2
+    assert "partial_sum" in plan and "keys=[o_custkey" in plan   # fact rows are aggregated below the join
 
 
 def test_transitions_one_scan_no_join(spark):

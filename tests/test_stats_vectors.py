@@ -164,14 +164,6 @@ def _hommel_closed_testing(p):
     return out
 
 
-@pytest.mark.parametrize("seed", range(20))
-def test_hommel_equals_closed_testing(seed):
-    rng = np.random.default_rng(seed)
-    m = int(rng.integers(1, 8))
-    p = np.sort(rng.uniform(0, 0.2, m))
-    assert list(mt.hommel_sorted(p)) == pytest.approx(_hommel_closed_testing(list(p)), abs=1e-12)
-
-
 def test_expected_counts(spark):
     e = {(r["r"], r["c"]): r["expected"]
          for r in S.expected_counts(_cells(spark, [[30, 10], [20, 20]]), "r", "c").collect()}
