@@ -58,7 +58,7 @@ def _nearest_axes(x: np.ndarray, signs: np.ndarray, m: int) -> tuple[np.ndarray,
 def bucket_codes(unit: np.ndarray, tables: int = TABLES, probes: int = PROBES, seed: int = SEED) -> np.ndarray:
     """(rows, tables * (1 + probes)) bucket codes of unit vectors, sorted in each row."""
     n, dim = unit.shape
-    d = 1 << max(0, dim - 1).bit_length()
+    d = 1 << max(probes, dim - 1).bit_length()  # room for every probe, however short the vectors
     padded = np.zeros((n, d))
     padded[:, :dim] = unit
     rng = np.random.default_rng(seed)

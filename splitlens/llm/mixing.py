@@ -118,6 +118,8 @@ def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float],
               tolerance: float = TOLERANCE) -> list[float]:
     """The accumulated projected gradient steps over ``members`` (n_tokens, p_<domain>)."""
     size = len(domains)
+    if not size:
+        return []
 
     def gather(steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         rate, n = _rate(steps.tolist(), domains), F.col("n_tokens")
@@ -152,7 +154,7 @@ def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float],
 
 def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, max_labelled: int = MAX_LABELLED,
                  max_steps: int = MAX_STEPS) -> DataFrame:
-    """Every row of ``docs`` (columns kept but text) with n_tokens, a posterior p_<domain> per domain, ``rate`` (how often to
+    """Every row of ``docs`` (columns kept but text and those of the names below) with n_tokens, a posterior p_<domain> per domain, ``rate`` (how often to
     read the document) and ``copies`` (whole copies with that expectation, by the hash of the id).
 
     Targets of domains that no label shows are left out and the rest scaled up; targets out of
@@ -164,7 +166,8 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] |
     given = docs.select([F.col(c).alias(f"d_{c}") if c != "text" else F.col(c) for c in docs.columns])
     numbered = _numbers(given, posterior.marks if posterior else {})
     domains = posterior.domains if posterior else []
-    kept = [c for c in docs.columns if c != "text"]
+    own = {"text", "n_tokens", "rate", "copies", *(f"p_{k}" for k in domains)}
+    kept = [c for c in docs.columns if c not in own]
     members = materialise(numbered.select(*(f"d_{c}" for c in kept), "n_tokens", *(posterior.columns() if posterior else [])), "mix-members")
     steps = fit_rates(members, domains, targets, max_steps)
     # the hash puts a document's fraction of a copy at random but once for all

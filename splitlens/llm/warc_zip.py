@@ -98,7 +98,7 @@ def zip_members(read: Callable[[int, int], bytes], length: int) -> dict[str, Zip
     tail_at = max(0, length - (22 + 65535 + 20 + 56))
     tail = read(tail_at, length - tail_at)
     at = tail.rfind(b"PK\x05\x06")
-    while at >= 0 and at + 22 + struct.unpack_from("<H", tail, at + 20)[0] != len(tail):
+    while at >= 0 and (at + 22 > len(tail) or at + 22 + struct.unpack_from("<H", tail, at + 20)[0] != len(tail)):
         at = tail.rfind(b"PK\x05\x06", 0, at)
     if at < 0:
         raise ValueError("no end of central directory")
