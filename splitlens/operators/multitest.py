@@ -29,11 +29,11 @@ def _fam(family: Sequence[str]):
 
 def corrected_alphas(df: DataFrame, family: Sequence[str] = (), alpha: float = ALPHA) -> DataFrame:
     """Per family the Sidak- and Bonferroni-corrected significance levels:
-    ``1 - (1 - alpha)^(1/m)`` and ``alpha / m``."""
+    ``1 - (1 - alpha)^(1/m)`` and ``alpha / m``; NULL for a family without tests."""
     g = df.groupBy(*family).agg(F.count(F.lit(1)).alias("m"))
     m = F.col("m").cast("double")
-    return g.select(*family, "m", (1 - F.pow(F.lit(1 - alpha), 1 / m)).alias("alpha_sidak"),
-                    (F.lit(alpha) / m).alias("alpha_bonferroni"))
+    return g.select(*family, "m", (1 - F.pow(F.lit(1 - alpha), F.try_divide(F.lit(1.0), m))).alias("alpha_sidak"),
+                    F.try_divide(F.lit(alpha), m).alias("alpha_bonferroni"))
 
 
 def adjust(df: DataFrame, p_col: str, method: str = "holm_sidak",
