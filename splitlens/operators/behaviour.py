@@ -2,9 +2,8 @@
 next-action transitions inside sessions (N9).
 
 None of these uses a window partitioned by user alone: a single very active user would put
-all of their rows into one task.  Funnels are per-step aggregates joined on the unit key
-(user-day); transitions use windows over ``(user, time bucket)`` with carry rows across
-bucket edges, or global range-partitioned row numbers when one bucket is too large.
+all of their rows into one task.  Both jobs first collapse a user's events by second, then
+work on what is left of each second.  There is one plan at every size.
 """
 
 from __future__ import annotations
@@ -30,92 +29,75 @@ def epoch_micros(ts: Column | str) -> Column:
 
 
 # ---------------------------------------------------------------- N6 / N7 funnel
-# A unit (user-day) with more rows than this is salted across SALTS tasks in the step joins.
-HOT_UNIT_ROWS = 5_000_000
-SALTS = 32
+def funnel_times(events: DataFrame, steps: Sequence[str] = FUNNEL_STEPS,
+                 unit: Sequence[str] = ("user_id", "day")) -> DataFrame:
+    """``unit..., times``: the times ``t_1 .. t_r`` of the steps a unit reached, ``t_k`` being the
+    first time of step k strictly after ``t_{k-1}``.  Units without step 1 have an empty list;
+    rows with a NULL user or time count nowhere.
+
+    One scan and no join.  Events first collapse to ``(unit, second)``: the distinct times of each
+    step (combined map-side; at most a million a second, the resolution of a timestamp), from which
+    follows, for each number of steps done before, which steps that second adds.  A unit then folds
+    its seconds in order: at most 86 400 for a user-day, however many rows it has.
+    """
+    unit = list(unit)
+    ts_list = "array<timestamp_ntz>"
+    matching = F.array_compact(F.array(*[F.when(F.col("event_type") == s, F.lit(k)) for k, s in enumerate(steps, 1)]))
+    rows = (events.filter(F.col("event_type").isin(*steps))
+            .select("user_id", F.to_date("ts").alias("day"), F.col("ts").cast("timestamp_ntz").alias("ts"), F.explode(matching).alias("k"))
+            .filter(F.col("user_id").isNotNull() & F.col("ts").isNotNull()))
+    second = F.floor(epoch_micros("ts") / F.lit(1_000_000))
+    seconds = (rows.groupBy(*unit, second.alias("sec"))
+               .agg(F.sort_array(F.collect_set(F.struct("ts", "k"))).alias("seen")))
+
+    def added(done: int) -> Column:
+        def take(acc, e):
+            fits = (e["k"] == F.size(acc) + done + 1) & ((F.size(acc) == 0) | (e["ts"] > F.element_at(acc, -1)))
+            return F.when(fits, F.concat(acc, F.array(e["ts"]))).otherwise(acc)
+        return F.aggregate("seen", F.array().cast(ts_list), take)
+
+    seconds = seconds.select(*unit, F.struct("sec", *[added(d).alias(f"from{d}") for d in range(len(steps))]).alias("s"))
 
+    def fold(acc, s):
+        more = F.array().cast(ts_list)
+        for d in range(len(steps)):
+            more = F.when(F.size(acc) == d, s[f"from{d}"]).otherwise(more)
+        return F.concat(acc, more)
 
-def hot_units(events: DataFrame, unit: Sequence[str], threshold: int = HOT_UNIT_ROWS,
-              fraction: float = 0.01) -> DataFrame | None:
-    """Units whose row count, estimated from a Bernoulli sample, exceeds ``threshold``;
-    ``None`` when there are none.  At most ``1 / (threshold * fraction)`` of the sampled rows
-    can belong to such units, so the result is small and is broadcast."""
-    counts = (events.sample(False, fraction, seed=23).groupBy(*unit)
-              .agg(F.count(F.lit(1)).alias("_c")).filter(F.col("_c") > threshold * fraction))
-    rows = counts.select(*unit).collect()
-    if not rows:
-        return None
-    return events.sparkSession.createDataFrame(rows, counts.select(*unit).schema) \
-        .withColumn("_hot", F.lit(True))
+    return (seconds.groupBy(*unit).agg(F.sort_array(F.collect_list("s")).alias("s"))
+            .select(*unit, F.aggregate("s", F.array().cast(ts_list), fold).alias("times")))
 
 
 def funnel_reach(events: DataFrame, steps: Sequence[str] = FUNNEL_STEPS,
-                 unit: Sequence[str] = ("user_id", "day"),
-                 hot_threshold: int = HOT_UNIT_ROWS) -> list[DataFrame]:
-    """For each step k, the units that reached it: ``unit..., t_k`` where ``t_k`` is the first
-    time of step k strictly after ``t_{k-1}``.
-
-    Step k is a per-unit ``min`` over the step's events joined to the units of step k-1 (one
-    row per unit), so every stage is a partial aggregate plus an equi-join on the unit key.
-    A unit holding a very large share of the rows (estimated from a sample) is salted: its
-    events are spread over ``SALTS`` join keys and its step-(k-1) row is replicated per salt,
-    so no task receives all of its rows; the per-unit ``min`` then combines the salts.
-    """
-    # explicit not-null keys: the same predicates the step joins would infer, so every
-    # branch plans an identical step-1 aggregate and its shuffle is reused, not recomputed
-    base = (events.select("user_id", "event_id", F.to_date("ts").alias("day"), "ts", "event_type")
-            .filter(F.col("user_id").isNotNull() & F.col("day").isNotNull()
-                    & F.col("ts").isNotNull()))
-    unit = list(unit)
-    hot = hot_units(base, unit, hot_threshold) if len(steps) > 1 else None
-    reached = []
-    prev = None
-    for k, step in enumerate(steps, 1):
-        ev = base.filter(F.col("event_type") == step)
-        if prev is not None and hot is None:
-            ev = ev.join(prev, unit).filter(F.col("ts") > F.col("_prev_ts"))
-        elif prev is not None:
-            salted = (ev.join(F.broadcast(hot), unit, "left")
-                      .withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64("event_id"), F.lit(SALTS)))
-                                  .otherwise(F.lit(0))))
-            spread = (prev.join(F.broadcast(hot), unit, "left")
-                      .withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1)))
-                                                      .otherwise(F.array(F.lit(0)))))
-                      .drop("_hot"))
-            ev = (salted.drop("_hot").join(spread, [*unit, "_salt"])
-                  .filter(F.col("ts") > F.col("_prev_ts")))
-        cur = ev.groupBy(*unit).agg(F.min("ts").alias(f"t{k}"))
-        reached.append(cur)
-        prev = cur.withColumnRenamed(f"t{k}", "_prev_ts")
-    return reached
+                 unit: Sequence[str] = ("user_id", "day")) -> list[DataFrame]:
+    """For each step k, the units that reached it: ``unit..., t_k``."""
+    times = funnel_times(events, steps, unit)
+    return [times.filter(F.size("times") >= k).select(*unit, F.element_at("times", k).alias(f"t{k}"))
+            for k in range(1, len(steps) + 1)]
 
 
 def funnel(events: DataFrame, steps: Sequence[str] = FUNNEL_STEPS, exp_id: str | None = None,
            variants: Sequence[str] = VARIANTS, assignments: DataFrame | None = None) -> DataFrame:
     """``[variant,] step, step_no, user_days, step_rate, total_rate``.  With ``exp_id`` the
     user-days are split by variant (hash rule, or an explicit ``assignments`` table joined
-    to the per-user-day reach tables)."""
+    to the per-user-day times)."""
     group = ["variant"] if exp_id else []
-    parts = []
-    for k, r in enumerate(funnel_reach(events, steps), 1):
-        if exp_id and assignments is None:
-            r = r.withColumn("variant", variant_expr(F.col("user_id"), exp_id, variants))
-        elif exp_id:
-            r = r.join(assignments.select(F.col("unit_id").alias("user_id"), "variant"), "user_id")
-        # count(t_k), not count(*): keeps this branch's aggregate identical to the one the
-        # next step joins against, so the shuffle is computed once and reused
-        parts.append(r.groupBy(*group).agg(F.count(f"t{k}").alias("user_days"))
-                     .withColumn("step", F.lit(steps[k - 1])).withColumn("step_no", F.lit(k)))
-    counts = parts[0]
-    for p in parts[1:]:
-        counts = counts.unionByName(p)
+    r = funnel_times(events, steps)
+    if exp_id and assignments is None:
+        r = r.withColumn("variant", variant_expr(F.col("user_id"), exp_id, variants))
+    elif exp_id:
+        r = r.join(assignments.select(F.col("unit_id").alias("user_id"), "variant"), "user_id")
+    wide = r.groupBy(*group).agg(*[F.count_if(F.size("times") >= k).alias(f"n{k}") for k in range(1, len(steps) + 1)])
+    counts = wide.select(*group, F.explode(F.array(*[
+        F.struct(F.lit(s).alias("step"), F.lit(k).alias("step_no"), F.col(f"n{k}").alias("user_days"))
+        for k, s in enumerate(steps, 1)])).alias("c")).select(*group, "c.*")
     # at most len(steps) rows per group: a window over them is trivially small
     if exp_id:
         # every variant x step, so a step nobody reached in a variant still shows 0
         spine = counts.sparkSession.range(1).select(F.explode(F.array(*[
             F.struct(F.lit(v).alias("variant"), F.lit(s).alias("step"), F.lit(k).alias("step_no"))
             for v in variants for k, s in enumerate(steps, 1)])).alias("c")).select("c.*")
-        counts = F.broadcast(spine).join(counts, ["variant", "step", "step_no"], "left")
+        counts = spine.join(counts, ["variant", "step", "step_no"], "left")
     counts = counts.withColumn("user_days", F.coalesce("user_days", F.lit(0)).cast("bigint"))
     w = (Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))).orderBy("step_no")
     prev = F.lag("user_days").over(w)
@@ -138,38 +120,16 @@ def heatmap(events: DataFrame, ts: str = "ts") -> DataFrame:
 
 
 # ---------------------------------------------------------------- N9 transitions
-# Largest (user, time bucket) group the bucketed plan may put into one window task.
-MAX_BUCKET_ROWS = 20_000_000
-
-
 def transitions(events: DataFrame, gap_seconds: int = SESSION_GAP_SECONDS,
-                bucket_gaps: int = 4, method: str = "auto",
-                max_bucket_rows: int = MAX_BUCKET_ROWS) -> DataFrame:
-    """``from_type, to_type, n`` for in-session consecutive events.
-
-    ``method="bucketed"`` is the one-shuffle plan below.  ``"ranked"`` numbers all events
-    globally in (user, time) order with range partitioning and joins each row to its
-    predecessor, so not even a single burst of one user can overload a task.  ``"auto"``
-    measures the largest (user, bucket) group with a partial aggregate (one scalar to the
-    driver) and takes the bucketed plan unless that group exceeds ``max_bucket_rows``.
-    """
-    if method == "auto":
-        method = ("ranked" if _max_bucket_rows(events, gap_seconds * bucket_gaps) > max_bucket_rows
-                  else "bucketed")
+                bucket_gaps: int = 4, method: str = "bucketed") -> DataFrame:
+    """``from_type, to_type, n`` for in-session consecutive events, by the one plan of
+    ``transitions_bucketed`` at every size; ``method="ranked"`` asks for the plan that numbers all
+    events globally."""
     if method == "ranked":
         return transitions_ranked(events, gap_seconds)
     return transitions_bucketed(events, gap_seconds, bucket_gaps)
 
 
-def _max_bucket_rows(events: DataFrame, width_seconds: int, fraction: float = 0.01) -> int:
-    """Estimated size of the largest (user, bucket) group, scaled up from a Bernoulli sample."""
-    b = F.floor(epoch_micros("ts") / F.lit(width_seconds * 1_000_000))
-    top = (events.select("user_id", "ts").sample(False, fraction, seed=17)
-           .groupBy("user_id", b.alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
-           .agg(F.max("_n")).collect()[0][0])
-    return int((top or 0) / fraction)
-
-
 def transitions_ranked(events: DataFrame, gap_seconds: int = SESSION_GAP_SECONDS) -> DataFrame:
     """Skew-proof transitions: a global row number over ``(user, ts, event_id)``
     (``ranking.row_numbers``) and a 1:1 equi-join of row ``rn`` to row ``rn - 1``."""
@@ -192,31 +152,34 @@ def transitions_bucketed(events: DataFrame, gap_seconds: int = SESSION_GAP_SECON
     """``from_type, to_type, n``: consecutive events of a user at most ``gap_seconds`` apart
     (i.e. inside one session; a longer gap starts a new session).
 
-    Events are bucketed by time, ``W = bucket_gaps * gap`` wide, and the window runs over
-    ``(user, bucket)`` -- never over a user alone, so one very active user is spread over
-    many tasks.  An event in the last ``gap`` of its bucket is also emitted as a *carry* row
-    into the next bucket: a predecessor within ``gap`` of a bucket's first event can only
-    lie there, and the latest carry row is the previous bucket's last event.  So ``lag``
-    inside ``(user, bucket)`` yields every event's true in-session predecessor in one
-    shuffle (about ``1 + 1/bucket_gaps`` times the rows), with no join.
+    A first window over ``(user, second)`` gives every event but the second's first its predecessor.
+    Only the first and last event of each second go on: they are bucketed by time,
+    ``W = bucket_gaps * gap`` wide, and those in the last ``gap`` (and a second) of a bucket are also
+    emitted as *carry* rows into the next one, so ``lag`` inside ``(user, bucket)`` finds the
+    predecessor of each second's first event.  A bucket holds at most two rows a second, so a very
+    active user is spread over many tasks whatever the number of rows; one scan, no join.
     """
     gap_us = gap_seconds * 1_000_000
-    width_us = gap_us * bucket_gaps
+    width_us = max(1_000_000, gap_us * bucket_gaps)
     us = epoch_micros("ts")
+    order = ["ts", "event_id"]
+    inside = Window.partitionBy("user_id", "_sec").orderBy(*order)
+    apart = F.timestamp_diff("MICROSECOND", F.col("_prev_ts"), F.col("ts")) <= F.lit(gap_us)
+    rows = (events.select("user_id", "event_id", "ts", "event_type", F.floor(us / F.lit(1_000_000)).alias("_sec"))
+            .withColumn("from_type", F.lag("event_type").over(inside)).withColumn("_prev_ts", F.lag("ts").over(inside))
+            .withColumn("_first", F.row_number().over(inside) == 1).withColumn("_last", ~F.lead(F.lit(True), 1, False).over(inside)))
+    within = rows.filter(~F.col("_first") & apart).select("from_type", "event_type")
+
     b = F.floor(us / F.lit(width_us))
-    carry = us >= (b + 1) * F.lit(width_us) - F.lit(gap_us)
+    carry = us >= (b + 1) * F.lit(width_us) - F.lit(gap_us + 1_000_000)
     own = F.struct(b.alias("b"), F.lit(True).alias("own"))
     nxt = F.struct((b + 1).alias("b"), F.lit(False).alias("own"))
-    rows = (events.select("user_id", "event_id", "ts", "event_type",
-                          F.explode(F.when(carry, F.array(own, nxt)).otherwise(F.array(own)))
-                          .alias("_k"))
-            .select("user_id", "event_id", "ts", "event_type",
-                    F.col("_k.b").alias("_b"), F.col("_k.own").alias("_own")))
-    w = Window.partitionBy("user_id", "_b").orderBy("ts", "event_id")
-    pairs = (rows.withColumn("from_type", F.lag("event_type").over(w))
-             .withColumn("_prev_ts", F.lag("ts").over(w))
-             .filter(F.col("_own") & F.col("_prev_ts").isNotNull()
-                     & (F.timestamp_diff("MICROSECOND", F.col("_prev_ts"), F.col("ts"))
-                        <= F.lit(gap_us))))
-    return (pairs.groupBy("from_type", F.col("event_type").alias("to_type"))
+    edges = (rows.filter(F.col("_first") | F.col("_last"))
+             .select("user_id", "event_id", "ts", "event_type", "_first",
+                     F.explode(F.when(carry, F.array(own, nxt)).otherwise(F.array(own))).alias("_k")))
+    w = Window.partitionBy("user_id", "_k.b").orderBy(*order)
+    across = (edges.withColumn("from_type", F.lag("event_type").over(w)).withColumn("_prev_ts", F.lag("ts").over(w))
+              .filter(F.col("_k.own") & F.col("_first") & F.col("_prev_ts").isNotNull() & apart)
+              .select("from_type", "event_type"))
+    return (within.unionByName(across).groupBy("from_type", F.col("event_type").alias("to_type"))
             .agg(F.count(F.lit(1)).alias("n")))

@@ -125,13 +125,21 @@ def ntile(df: DataFrame, order: Sequence[Column | str], buckets: int, out: str,
 def percent_rank(df: DataFrame, value: str, tiebreak: Sequence[str], out: str,
                  partition: Sequence[str] = ()) -> DataFrame:
     """SQL ``percent_rank() OVER ([PARTITION BY p] ORDER BY value)``: ``(rank - 1) / (n - 1)``,
-    where tied values share the smallest row number of their run."""
-    r = row_numbers(df, [value, *tiebreak], partition)
-    # NULL values form a tie of their own, ordered first
-    keys = [*partition, value]
-    ties = r.groupBy(*keys).agg(F.min("_rn").alias("_rank")).select(*[F.col(k).alias(f"_t_{k}") for k in keys], "_rank")
-    same = [F.col(k).eqNullSafe(F.col(f"_t_{k}")) for k in keys]
-    j = r.join(ties, same).drop(*[f"_t_{k}" for k in keys])
+    where tied values share the smallest row number of their run (NULLs tie and come first).
+
+    The rank is the running maximum of the row numbers at which the value changes, so no rows are
+    joined on a value that a third of them may share."""
+    numbered = numbered_partitions(df, [value, *tiebreak], partition)
+    row = F.struct(*partition, value)
+    ends = numbered.groupBy("_pid").agg(F.max_by(row, "_idx").alias("_end"))
+    ends = ends.select(F.col("_pid").alias("_epid"), F.lag("_end").over(_window(()).orderBy("_pid")).alias("_end"),
+                       (~F.lag(F.lit(True), 1, False).over(_window(()).orderBy("_pid"))).alias("_top"))
+    before = F.lag(row).over(Window.partitionBy("_pid").orderBy("_idx"))
+    x = with_row_numbers(numbered, partition).withColumn("_before", before)
+    x = x.join(ends, F.col("_pid") == F.col("_epid"))
+    same = F.when(F.col("_idx") > 0, row.eqNullSafe(F.col("_before"))).otherwise(~F.col("_top") & row.eqNullSafe(F.col("_end")))
+    x = x.withColumn("_start", F.when(~same, F.col("_rn"))).drop("_before", "_end", "_top", "_epid")
+    j = running(x, "_start", "_rank", "max", partition)
     pr = F.when(F.col("_n") <= 1, F.lit(0.0)).otherwise(
         (F.col("_rank") - 1).cast("double") / (F.col("_n") - 1))
-    return j.withColumn(out, pr).drop("_rn", "_n", "_rank")
+    return j.withColumn(out, pr).select(*df.columns, out)

@@ -44,7 +44,7 @@ def test_ntile_and_percent_rank_match_sql(spark):
 
 
 @pytest.mark.parametrize("method,bucket_gaps", [("bucketed", 1), ("bucketed", 3),
-                                                ("bucketed", 4), ("ranked", 4), ("auto", 4)])
+                                                ("bucketed", 4), ("ranked", 4)])
 def test_transitions_match_naive_lag(spark, method, bucket_gaps):
     base = dt.datetime(2024, 1, 1)
     rnd = random.Random(5)
@@ -57,8 +57,7 @@ def test_transitions_match_naive_lag(spark, method, bucket_gaps):
             data.append((eid, t, user, rnd.choice(["view", "click", "purchase"])))
             eid += 1
     ev = spark.createDataFrame(data, "event_id long, ts timestamp_ntz, user_id long, event_type string")
-    got = B.transitions(ev, bucket_gaps=bucket_gaps, method=method,
-                        max_bucket_rows=10)
+    got = B.transitions(ev, bucket_gaps=bucket_gaps, method=method)
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     naive = (ev.withColumn("pt", F.lag("event_type").over(w)).withColumn("pts", F.lag("ts").over(w))
              .filter(F.col("pts").isNotNull()
@@ -108,13 +107,53 @@ def test_hot_group_is_split_across_range_partitions(spark):
     assert max(per_pid.values()) < 0.3 * sum(per_pid.values())
 
 
-def test_hot_user_is_split_across_time_buckets(spark):
-    """One user with most of the events: the bucketed transitions window partitions are small."""
+def test_transitions_of_a_burst_and_of_ties(spark):
+    """Many events of one user inside single seconds, with equal times: same as one lag over the user."""
     base = dt.datetime(2024, 1, 1)
-    data = [(i, base + dt.timedelta(seconds=60 * i), 0 if i % 10 else 1 + i % 7, "view")
-            for i in range(5000)]
+    rnd = random.Random(8)
+    data = [(i, base + dt.timedelta(microseconds=rnd.choice([0, 500_000, 1_500_000, 1_801_000_000]) * (i // 400)), i % 10 // 9,
+             rnd.choice(["view", "click", "purchase"])) for i in range(4000)]
     ev = spark.createDataFrame(data, "event_id long, ts timestamp_ntz, user_id long, event_type string")
-    width = 4 * 1800 * 1_000_000
-    sizes = (ev.groupBy("user_id", F.floor(B.epoch_micros("ts") / width).alias("b"))
-             .count().filter("user_id = 0").agg(F.max("count")).collect()[0][0])
-    assert sizes <= 2 * 60 + 30          # at most one 2.5-hour span of a user's events per window task
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    exp = (ev.withColumn("from_type", F.lag("event_type").over(w)).withColumn("p", F.lag("ts").over(w))
+           .filter(F.expr("timestampdiff(MICROSECOND, p, ts) <= 1800000000"))
+           .groupBy("from_type", F.col("event_type").alias("to_type")).count().withColumnRenamed("count", "n"))
+    cols = ["from_type", "to_type", "n"]
+    assert _rows(B.transitions(ev), cols) == _rows(exp, cols)
+
+
+@pytest.mark.parametrize("steps", [("view", "click", "purchase"), ("view", "view", "click"), ("click", "view", "click", "purchase")])
+def test_funnel_times_match_a_walk_over_each_user_day(spark, steps):
+    """A hot user-day, equal times, sub-second gaps, repeated rows, NULL users and times."""
+    base = dt.datetime(2024, 1, 1, 22)
+    rnd = random.Random(11)
+    data = [(i, base + dt.timedelta(microseconds=rnd.randint(0, 40) * 250_000 + rnd.choice([0, 0, 7200_000_000])),
+             rnd.choice([1, 1, 1, *range(2, 60)]), rnd.choice(["view", "click", "purchase", "other"])) for i in range(700)]
+    data += data[:50] + [(9000, None, 1, "view"), (9001, base, None, "view")]
+    ev = spark.createDataFrame(data, "event_id long, ts timestamp_ntz, user_id long, event_type string")
+    want = {}
+    for _, ts, user, kind in sorted((d for d in data if d[1] is not None and d[2] is not None), key=lambda d: d[1]):
+        want.setdefault((user, ts.date()), []).append((ts, kind))
+    reached = {k: set() for k in range(1, len(steps) + 1)}
+    for unit, seen in want.items():
+        last = None
+        for k, step in enumerate(steps, 1):
+            later = [t for t, kind in seen if kind == step and (last is None or t > last)]
+            if not later:
+                break
+            last = min(later)
+            reached[k].add((*unit, last))
+    for k, got in enumerate(B.funnel_reach(ev, steps), 1):
+        assert {tuple(r) for r in got.collect()} == reached[k]
+
+
+def test_percent_rank_when_nearly_all_tie(spark):
+    rnd = random.Random(4)
+    data = [(rnd.choice(["a", "b"]), None if rnd.random() < 0.02 else (7 if rnd.random() < 0.9 else rnd.randint(0, 20)), i) for i in range(3000)]
+    df = spark.createDataFrame(data, "g string, v int, k long")
+    for part in ([], ["g"]):
+        w = Window.partitionBy(*(part or [F.lit(0)])).orderBy("v")
+        got = R.percent_rank(df.repartition(6), "v", ["k"], "pr", part)
+        assert _rows(got, ["k", "pr"]) == _rows(df.withColumn("pr", F.percent_rank().over(w)), ["k", "pr"])
+    numbered = R.numbered_partitions(df, ["v", "k"], (), 6)
+    assert numbered.select("_pid").distinct().count() == 6       # the tied value spans several partitions
