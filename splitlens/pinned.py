@@ -32,4 +32,4 @@ ALPHA = 0.05
 MONEY = "decimal(18,2)"
 RATE_DP = 4      # ratios (the 4-decimal display rule)
 STAT_DP = 6      # statistics and p-values
-INTERVAL_DP = 5  # Beta credible-interval ends sit on a 1e-4 grid ending in 5
+INTERVAL_DP = 5  # ends of Beta credible intervals

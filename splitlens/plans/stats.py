@@ -181,16 +181,17 @@ def q_beta_prob(spark, sf):
 
 
 @query("beta_interval", f"""{_POST},
-g AS (SELECT variant, a, b, (j + 0.5) / 10000 AS p FROM post, range(0, 10000) r(j)),
-l AS (SELECT variant, p, (a - 1) * ln(p) + (b - 1) * ln(1 - p) AS ld FROM g),
-d AS (SELECT variant, p, exp(ld - max(ld) OVER (PARTITION BY variant)) AS dn FROM l),
-c AS (SELECT variant, p,
-             sum(dn) OVER (PARTITION BY variant ORDER BY p
-                           ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
-             / sum(dn) OVER (PARTITION BY variant) AS cdf FROM d)
-SELECT variant, round(min(p) FILTER (WHERE cdf >= 0.025), 5) AS lo,
-       round(min(p) FILTER (WHERE cdf >= 0.975), 5) AS hi
-FROM c GROUP BY variant""")
+w AS (SELECT variant, a, b, a / (a + b) AS m, sqrt(a * b / ((a + b) * (a + b) * (a + b + 1.0))) AS sd FROM post),
+e AS (SELECT variant, a, b, greatest(0.0, m - 12 * sd) AS l, least(1.0, m + 12 * sd) AS u FROM w),
+g AS (SELECT variant, a, b, (u - l) / 200000 AS h, l + (j + 0.5) * (u - l) / 200000 AS p FROM e, range(0, 200000) r(j)),
+l AS (SELECT variant, p, h, (a - 1) * ln(p) + (b - 1) * ln(1 - p) AS ld FROM g),
+d AS (SELECT variant, p, h, exp(ld - max(ld) OVER (PARTITION BY variant)) AS dn FROM l),
+n AS (SELECT variant, p, h, dn / sum(dn) OVER (PARTITION BY variant) AS dn FROM d),
+c AS (SELECT variant, p, h, dn, sum(dn) OVER (PARTITION BY variant ORDER BY p
+                                              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cdf FROM n)
+SELECT variant, round(arg_min(p + h / 2 - h * (cdf - 0.025) / dn, p) FILTER (WHERE cdf >= 0.025), 5) AS lo,
+       round(arg_min(p + h / 2 - h * (cdf - 0.975) / dn, p) FILTER (WHERE cdf >= 0.975), 5) AS hi
+FROM c WHERE dn > 1e-300 GROUP BY variant""")
 def q_beta_interval(spark, sf):
     return S.beta_interval(S.beta_posterior(_total(spark, sf)))
 

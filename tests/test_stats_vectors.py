@@ -89,11 +89,27 @@ def test_prob_b_beats_a(spark):
     assert one(S.prob_b_beats_a(_post(spark, 1179, 7510, 1218, 7490)))["prob"] == 0.826418
 
 
-def test_beta_interval(spark):
-    rows = {r["variant"]: (r["lo"], r["hi"])
-            for r in S.beta_interval(_post(spark, 115, 744, 133, 756)).collect()}
-    assert rows["A"] == (0.13045, 0.18235)
-    assert rows["B"] == (0.15045, 0.20475)
+def _beta_density(a, b, n=400_000):
+    """(p, weight) of a Beta posterior over a fine log-odds grid."""
+    x = np.linspace(np.log(a / b) - 12 * np.sqrt(1 / a + 1 / b) - 30 / a, np.log(a / b) + 12 * np.sqrt(1 / a + 1 / b) + 30 / b, n)
+    d = -a * np.log1p(np.exp(-x)) - b * np.log1p(np.exp(x))
+    d = np.exp(d - d.max())
+    return 1 / (1 + np.exp(-x)), d / d.sum()
+
+
+@pytest.mark.parametrize("xa,na,xb,nb,prior", [(115, 744, 133, 756, 1), (115, 744, 133, 756, 0.5), (0, 30, 2, 40, 0.5), (160, 1000, 162_000_000, 1_000_000_000, 1)])
+def test_beta_against_quadrature(spark, xa, na, xb, nb, prior):
+    res = spark.createDataFrame([("A", na, xa), ("B", nb, xb)], "variant string, units long, converted long")
+    post = S.beta_posterior(res, prior, prior)
+    grids = {"A": _beta_density(xa + prior, na - xa + prior), "B": _beta_density(xb + prior, nb - xb + prior)}
+    for r in S.beta_interval(post).collect():
+        p, w = grids[r["variant"]]
+        lo, hi = np.interp([0.025, 0.975], np.cumsum(w) - w / 2, p)
+        assert (r["lo"], r["hi"]) == pytest.approx((lo, hi), abs=6e-6)
+    (pa, wa), (pb, wb) = grids["A"], grids["B"]
+    want = np.sum(wb * np.interp(pb, pa, np.cumsum(wa) - wa / 2, 0, 1)) if na < nb * 100 and nb < na * 100 else \
+        np.interp(np.sum(pb * wb), pa, np.cumsum(wa) - wa / 2)
+    assert one(S.prob_b_beats_a(post))["prob"] == pytest.approx(want, abs=2e-6)
 
 
 PV = [0.01, 0.04, 0.03, 0.005, 0.5]
@@ -203,7 +219,7 @@ def test_prob_b_beats_a_large_counts_matches_normal_limit(spark):
     """~200k successes: the exact sum runs over many chunks; at this size the Beta posteriors
     are close to normal, so Phi((muB - muA) / sqrt(varA + varB)) is a tight check."""
     xa, na, xb, nb = 200_000, 1_000_000, 201_000, 1_000_000
-    got = one(S.prob_b_beats_a(_post(spark, xa, na, xb, nb), chunks=16))["prob"]
+    got = one(S.prob_b_beats_a(_post(spark, xa, na, xb, nb)))["prob"]
 
     def mv(x, n):
         a, b = 1 + x, 1 + n - x
