@@ -10,35 +10,56 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 SEED = 42
 CHURN_FEATURES = ("recency_days", "frequency", "monetary")
 
 
+def held_out(key: str) -> Column:
+    """Whether a row is kept out of the fit: one fifth of the rows, by the md5 of their key."""
+    return F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 7), 16, 10).cast("bigint") % 5 == 0
+
+
 def churn_model(features: DataFrame, max_iter: int = 10, max_depth: int = 3) -> DataFrame:
-    """Fit a GBT on ``churn_features`` and score the same customers:
-    ``c_custkey, churned, prediction``.  Features end before the label window (see
-    ``cohorts.churn_features``), so the label cannot leak into them."""
-    x = features.select("c_custkey", "churned",
-                        *[F.col(c).cast("double").alias(c) for c in CHURN_FEATURES])
-    out_cols = ["c_custkey", "churned", F.lit(None).cast("int").alias("prediction")]
-    if x.isEmpty():                       # nothing to learn from: no predictions
-        return x.select(*out_cols)
-    pipe = Pipeline(stages=[
-        VectorAssembler(inputCols=list(CHURN_FEATURES), outputCol="features"),
-        GBTClassifier(labelCol="churned", featuresCol="features", maxIter=max_iter,
-                      maxDepth=max_depth, seed=SEED),
-    ])
-    model = pipe.fit(x)
-    return model.transform(x).select("c_custkey", "churned",
-                                     F.col("prediction").cast("int").alias("prediction"))
+    """Fit a GBT on four fifths of ``churn_features`` and score all customers:
+    ``c_custkey, churned, prediction, held_out``; rows with ``held_out`` took no part in the fit, so
+    their confusion counts are an honest evaluation (``churn_confusion``).  Features end before the
+    label window (see ``cohorts.churn_features``), so the label cannot leak into them.  A NULL
+    feature counts as 0; a NULL label is scored but not learned from.  With no row, or only one
+    class, to learn from the prediction is that class (NULL without any)."""
+    x = (features.select("c_custkey", "churned", held_out("c_custkey").alias("held_out"),
+                         *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in CHURN_FEATURES])
+         .persist(StorageLevel.DISK_ONLY))
+    try:
+        train = x.filter("churned IS NOT NULL AND NOT coalesce(held_out, false)")
+        seen = train.agg(F.min("churned").alias("lo"), F.max("churned").alias("hi")).first()
+        if seen["lo"] == seen["hi"]:
+            return features.select("c_custkey", "churned", F.lit(seen["lo"]).cast("int").alias("prediction"),
+                                   held_out("c_custkey").alias("held_out"))
+        pipe = Pipeline(stages=[
+            VectorAssembler(inputCols=list(CHURN_FEATURES), outputCol="features"),
+            GBTClassifier(labelCol="churned", featuresCol="features", maxIter=max_iter,
+                          maxDepth=max_depth, seed=SEED),
+        ])
+        model = pipe.fit(train)
+    finally:
+        x.unpersist()
+    # not the persisted frame: the result is lazy and outlives it
+    return model.transform(x).select("c_custkey", "churned", F.col("prediction").cast("int").alias("prediction"), "held_out")
+
+
+def churn_confusion(scored: DataFrame) -> DataFrame:
+    """``churned, prediction, n`` over the held-out rows of ``churn_model``."""
+    return scored.filter("held_out AND churned IS NOT NULL").groupBy("churned", "prediction").agg(F.count(F.lit(1)).alias("n"))
 
 
 def price_model(part: DataFrame) -> DataFrame:
     """Linear regression of ``p_retailprice`` on brand, type (one-hot) and size:
-    ``p_partkey, prediction``."""
+    ``p_partkey, prediction``.  A NULL brand or type is a level of its own, a NULL size counts as 0;
+    rows without a price are predicted but not learned from."""
     cats = ["p_brand", "p_type"]
     pipe = Pipeline(stages=[
         StringIndexer(inputCols=cats, outputCols=[f"{c}_ix" for c in cats],
@@ -47,9 +68,10 @@ def price_model(part: DataFrame) -> DataFrame:
         VectorAssembler(inputCols=[f"{c}_oh" for c in cats] + ["p_size"], outputCol="features"),
         LinearRegression(labelCol="p_retailprice", featuresCol="features", regParam=0.0),
     ])
-    x = part.select("p_partkey", "p_brand", "p_type", F.col("p_size").cast("double").alias("p_size"),
-                    "p_retailprice")
-    if x.isEmpty():                       # nothing to learn from: no predictions
+    x = part.select("p_partkey", "p_brand", "p_type", F.coalesce(F.col("p_size").cast("double"), F.lit(0.0)).alias("p_size"),
+                    F.col("p_retailprice").cast("double").alias("p_retailprice"))
+    priced = x.filter("p_retailprice IS NOT NULL")
+    if priced.isEmpty():                       # nothing to learn from: no predictions
         return x.select("p_partkey", F.lit(None).cast("double").alias("prediction"))
-    model = pipe.fit(x)
+    model = pipe.fit(priced)
     return model.transform(x).select("p_partkey", F.round("prediction", 4).alias("prediction"))
