@@ -1,7 +1,7 @@
-"""Personal data: pattern spans, and information-theoretic sanitisation of the words around them.
+"""Personal data: pattern spans, and information-theoretic sanitisation of the words in the same texts.
 
 Base spans are e-mail addresses, IP addresses, card numbers and phone numbers.  Each value found is
-a protected entity.  Words that stand near an entity may reveal it: with document counts over the
+a protected entity.  Words of a text that holds an entity may reveal it, wherever they stand: with document counts over the
 whole corpus, a word t and an entity e that occur in n(t) and n(e) of N documents, and together in
 n(e, t), the disclosure of t is
 
@@ -24,7 +24,6 @@ from splitlens.llm.common import materialise
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
-CONTEXT = 80          # code points looked at on either side of an entity
 REMOVE_AT = 0.95
 GENERALISE_AT = 0.8
 WORD = r"[\p{L}\p{N}_]++"
@@ -93,44 +92,63 @@ def _entity() -> Column:
     return F.concat_ws(":", F.col("span.kind"), value)
 
 
-def _near_words(rows: DataFrame) -> DataFrame:
-    """(rid, entity, term, start, end): words near an entity that lie in no base span."""
-    one = rows.select("rid", "text", "spans", F.explode("spans").alias("span"))
-    left_from = F.greatest(F.lit(0), F.col("span.start") - CONTEXT)
-    sides = one.select("rid", "spans", _entity().alias("entity"), F.explode(F.array(
-        F.struct(left_from.alias("at"), F.substring(F.col("text"), left_from + 1, F.col("span.start") - left_from).alias("part"),
-                 (left_from > 0).alias("cut_left"), F.lit(False).alias("cut_right")),
-        F.struct(F.col("span.end").alias("at"), F.substring(F.col("text"), F.col("span.end") + 1, F.lit(CONTEXT)).alias("part"),
-                 F.lit(False).alias("cut_left"), (F.length("text") > F.col("span.end") + CONTEXT).alias("cut_right")))).alias("side"))
-    words = sides.select("rid", "spans", "entity", "side", F.explode(_located(F.col("side.part"), "", WORD)).alias("w"))
-    words = words.filter(~(F.col("side.cut_left") & (F.col("w.start") == 0)) & ~(F.col("side.cut_right") & (F.col("w.end") == F.length("side.part"))))
-    words = words.select("rid", "spans", "entity", F.lower("w.value").alias("term"), (F.col("side.at") + F.col("w.start")).alias("start"), (F.col("side.at") + F.col("w.end")).alias("end"))
-    apart = ~F.exists("spans", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start")))
-    return words.filter(apart).select("rid", "entity", "term", "start", "end")
+def _keys(text: Column) -> Column:
+    """The distinct words of a text in lower case, by their 64-bit hash."""
+    words = F.filter(F.split(text, r"[^\p{L}\p{N}_]+"), lambda w: w != "")
+    return F.array_distinct(F.transform(words, lambda w: F.xxhash64(F.lower(w))))
 
 
 def _document_counts(docs: DataFrame) -> DataFrame:
-    """(key, n): in how many documents each word occurs, over all documents; words by their 64-bit hash."""
-    words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}_]+"))
-    return docs.filter("text IS NOT NULL").select(F.explode(words).alias("term")).select(F.xxhash64("term").alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+    """(key, n): in how many documents each word occurs, over all documents."""
+    return docs.filter("text IS NOT NULL").select(F.explode(_keys(F.col("text"))).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+
+
+def _disclosure(n_both: Column, n_entity: Column, n: Column, total: float) -> Column:
+    return F.log(n_both * total / (n_entity * n)) / F.log(total / n_entity)
+
+
+def _places(text: Column, gone: Column, vague: Column) -> Column:
+    """(start, end, action) of every word of a text whose hash is in ``gone`` or ``vague``."""
+    find = r"\G([^\p{L}\p{N}_]*+)(" + WORD + ")"
+    both = F.arrays_zip(F.regexp_extract_all(text, F.lit(find), F.lit(1)).alias("gap"), F.regexp_extract_all(text, F.lit(find), F.lit(2)).alias("hit"))
+    empty = F.expr("named_struct('at', 0, 'out', cast(array() as array<struct<start:int,end:int,action:string>>))")
+
+    def step(acc, m):
+        begin = acc["at"] + F.length(m["gap"])
+        end = begin + F.length(m["hit"])
+        key = F.xxhash64(F.lower(m["hit"]))
+        action = F.when(F.array_contains(gone, key), "remove").otherwise("generalise")
+        longer = F.concat(acc["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), action.alias("action"))))
+        return F.struct(end.alias("at"), F.when(F.array_contains(gone, key) | F.array_contains(vague, key), longer).otherwise(acc["out"]).alias("out"))
+    return F.aggregate(both, empty, step)["out"]
 
 
 def disclosing_words(rows: DataFrame, docs: DataFrame, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT) -> DataFrame:
     """(rid, extra): the spans of disclosing words of each row of ``rows`` (rid, text, spans), ordered.
 
-    Pairs of one row count once.  The joins are between written tables or plain exchanges, so an
-    entity that a third of all documents name can be split."""
-    near = materialise(_near_words(rows), "pii-near")
-    total = docs.count()
-    together = near.select("rid", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both"))
-    single = rows.select("rid", F.explode("spans").alias("span")).select("rid", _entity().alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    scored = (together.join(single, "entity").withColumn("key", F.xxhash64("term")).join(_document_counts(docs), "key")
-              .withColumn("disclosure", F.when(F.col("n_entity") < total, F.log(F.col("n_both") * float(total) / (F.col("n_entity") * F.col("n")))
-                                               / F.log(float(total) / F.col("n_entity")))))
-    told = materialise(scored.filter(F.col("disclosure") >= generalise_at).select("entity", "term", "disclosure"), "pii-told")
-    hits = near.join(told, ["entity", "term"]).groupBy("rid", "start", "end").agg(F.max("disclosure").alias("disclosure"))
-    span = F.struct("start", "end", F.lit(len(KINDS)).alias("rank"), F.when(F.col("disclosure") >= remove_at, "remove").otherwise("generalise").alias("action"))
-    return materialise(hits.groupBy("rid").agg(F.array_sort(F.collect_list(span)).alias("extra")), "pii-extra")
+    Every word of a text that holds an entity counts, wherever it stands, and every occurrence outside the
+    base spans is listed.  Pairs of one row count once.  With n(e, t) at most the lesser of n(e) and n(t),
+    pairs that cannot reach ``generalise_at`` are left out before they are counted, which loses none.  The joins
+    are between written tables or plain exchanges, so an entity that a third of all documents name can be split."""
+    total = float(docs.count())
+    named = rows.select("rid", F.explode("spans").alias("span")).select("rid", _entity().alias("entity")).distinct()
+    single = named.groupBy("entity").agg(F.count("*").alias("n_entity")).filter(F.col("n_entity") < total)
+    named = materialise(named.join(single, "entity"), "pii-named")
+    most = named.agg(F.max("n_entity")).first()[0] or 1
+    reach = lambda n_entity: _disclosure(F.least(n_entity, F.col("n")), n_entity, F.col("n"), total) >= generalise_at
+    # the bound grows with n(e), so words that fail it with the most frequent entity fail with all
+    counts = _document_counts(docs).filter(reach(F.lit(most)))
+    words = materialise(rows.select("rid", F.explode(_keys(F.col("text"))).alias("key")).join(counts, "key"), "pii-words")
+    pairs = materialise(words.join(named, "rid").filter(reach(F.col("n_entity"))).select("rid", "entity", "key", "n_entity", "n"), "pii-pairs")
+    told = pairs.groupBy("entity", "key").agg(_disclosure(F.count("*"), F.first("n_entity"), F.first("n"), total).alias("disclosure"))
+    told = materialise(told.filter(F.col("disclosure") >= generalise_at), "pii-told")
+    hits = pairs.join(told, ["entity", "key"]).groupBy("rid", "key").agg(F.max("disclosure").alias("disclosure"))
+    remove = F.col("disclosure") >= remove_at
+    hits = materialise(hits.groupBy("rid").agg(F.collect_list(F.when(remove, F.col("key"))).alias("gone"), F.collect_list(F.when(~remove, F.col("key"))).alias("vague")), "pii-hits")
+    found = rows.join(hits, "rid").select("rid", "spans", _places(F.col("text"), F.col("gone"), F.col("vague")).alias("places"))
+    apart = F.filter("places", lambda w: ~F.exists("spans", lambda s: (s["start"] < w["end"]) & (s["end"] > w["start"])))
+    extra = F.transform(apart, lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), F.lit(len(KINDS)).alias("rank"), w["action"].alias("action")))
+    return materialise(found.select("rid", extra.alias("extra")).filter(F.size("extra") > 0), "pii-extra")
 
 
 def _joined(spans: Column, kind) -> Column:

@@ -122,6 +122,33 @@ def test_words_that_give_an_entity_away(spark):
     assert pii.personal_data(docs).filter("doc_id = 100").first()["n_term"] >= 1
 
 
+def test_words_far_from_the_entity_count(spark):
+    far = "usual things " * 60
+    rows = [(i, "usual things today") for i in range(60)]
+    rows += [(100, "Zebulon " + far + "mail a@b.cd " + far + "zebulon, mail"), (101, "mail a@b.cd " + far + "zebulon"), (102, far + "quagga mail a@b.cd"),
+             (103, "x" * 500 + "mail c@d.ef"), (104, "mail c@d.ef zebu"), (105, "zebu"), (106, "zebu"), (107, "mail today"), (108, "mail c@d.ef\u00e9"), (109, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    # brute force: the words of whole texts
+    texts = {i: t or "" for i, t in rows}
+    words = {i: set(re.findall(r"\w+", t.lower())) for i, t in texts.items()}
+    named = {i: {t[a:b] for a, _, b, _ in base(t)} for i, t in texts.items()}
+    want = {}
+    for i, t in texts.items():
+        spans = base(t)
+        for m in re.finditer(r"\w+", t):
+            term = m[0].lower()
+            n = sum(term in w for w in words.values())
+            best = max((np.log(len(rows) * sum(term in words[j] and e in named[j] for j in words) / (sum(e in x for x in named.values()) * n))
+                        / np.log(len(rows) / sum(e in x for x in named.values())) for e in named[i]), default=-1)
+            if best >= pii.GENERALISE_AT and not any(a < m.end() and b > m.start() for a, _, b, _ in spans):
+                want.setdefault(i, []).append(f"term:{m.start()}:{m.end()}")
+    got = {r["doc_id"]: [s for s in r["spans"].split(",") if s.startswith("term")] for r in pii.personal_data(docs).collect()}
+    assert {i: s for i, s in got.items() if s} == want
+    assert len(want[100]) >= 2 and 101 in want and 102 in want and "term:0:504" in want[103]
+    out = {r["doc_id"]: r["text"] for r in pii.sanitise(docs).collect()}
+    assert all("ebulon" not in out[i] for i in (100, 101)) and "quagga" not in out[102] and "usual things" in out[100] and out[109] is None
+
+
 def test_pii_odd_rows(odd_docs, no_docs):
     assert pii.personal_data(odd_docs).count() == odd_docs.count() and pii.personal_data(no_docs).count() == 0
     clean = pii.sanitise(odd_docs)
