@@ -83,16 +83,15 @@ class Posterior:
         return [(F.exp(logit[k] - top) / total).alias(f"p_{k}") for k in self.domains]
 
 
-def fit_posterior(docs: DataFrame, labels: DataFrame, targets: dict[str, float], max_labelled: int = MAX_LABELLED, max_terms: int = MAX_TERMS) -> Posterior | None:
+def fit_posterior(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_terms: int = MAX_TERMS) -> Posterior | None:
     """Fitted on about ``max_labelled`` labelled documents at most, chosen by the hash of their id; None without any.
-    Labelled documents of a domain without a target are not used."""
+    Every domain of the labels is fitted, with or without a target."""
     known = (labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
              .agg(F.max("quality").alias("q"), F.max("toxic").alias("t")))
     share = min(1.0, max_labelled / max(1, known.count()))
     known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
     sample = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-              .join(known, "doc_id").select("text", F.format_string("q%dt%d", "q", "t").alias("domain"))
-              .filter(F.col("domain").isin(*targets)))
+              .join(known, "doc_id").select("text", F.format_string("q%dt%d", "q", "t").alias("domain")))
     sample = materialise(sample, "mix-sample")
     domains = sorted(r["domain"] for r in sample.select("domain").distinct().collect())
     if not domains:
@@ -157,12 +156,13 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] |
     """Every row of ``docs`` (columns kept but text and those of the names below) with n_tokens, a posterior p_<domain> per domain, ``rate`` (how often to
     read the document) and ``copies`` (whole copies with that expectation, by the hash of the id).
 
-    Targets of domains that no label shows are left out and the rest scaled up; targets out of
+    Targets of domains that no label shows are left out and the rest scaled up; a domain of the labels
+    without a target has the target 0, unless all are (then every rate is 1).  Targets out of
     reach are met as nearly as least squares allow.  Null and empty texts have no tokens; null ids and
     repeated rows are rated like others.  Without labels every rate is 1; empty ``docs`` give an
     empty result."""
     targets = targets or TARGETS
-    posterior = fit_posterior(docs, labels, targets, max_labelled)
+    posterior = fit_posterior(docs, labels, max_labelled)
     given = docs.select([F.col(c).alias(f"d_{c}") if c != "text" else F.col(c) for c in docs.columns])
     numbered = _numbers(given, posterior.marks if posterior else {})
     domains = posterior.domains if posterior else []

@@ -169,6 +169,19 @@ def test_mixing_meets_targets(spark):
     assert np.abs(grad).max() < 1e-4
 
 
+def test_mixing_knows_domains_without_a_target(spark):
+    kinds = {(1, 0): "plain good text here", (0, 0): "click buy now", (1, 1): "fine prose with slur", (0, 1): "junk rant filth"}
+    rows = [(i, f"{kinds[k]} w{i} v{i % 7}", *k) for i, k in enumerate(list(kinds) * 50)]
+    both = spark.createDataFrame(rows, "doc_id long, text string, quality int, toxic int")
+    got = mixing.mixing_rates(both.select("doc_id", "text"), both.select("doc_id", "quality", "toxic")).collect()
+    domains = [c for c in got[0].asDict() if c.startswith("p_")]
+    assert domains == ["p_q0t0", "p_q0t1", "p_q1t0", "p_q1t1"]
+    assert all(max(domains, key=lambda c: r[c]) == f"p_q{q}t{t}" for r, (_, _, q, t) in zip(sorted(got), rows))
+    n = np.array([r["rate"] * r["n_tokens"] for r in got])
+    share = n @ np.array([[r[c] for c in domains] for r in got]) / sum(r["n_tokens"] for r in got)
+    assert share == pytest.approx([0.08, 0.0, 0.90, 0.02], abs=1e-3)
+
+
 def test_mixing_odd_rows(odd_docs, no_docs, docs, labels):
     got = mixing.mixing_rates(odd_docs, labels)
     assert got.count() == odd_docs.count() and got.filter("rate IS NULL OR rate < 0").count() == 0
