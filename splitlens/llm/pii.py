@@ -189,7 +189,7 @@ def personal_data(docs: DataFrame, generalise_at: float = GENERALISE_AT, remove_
 
 def sanitise(docs: DataFrame, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT) -> DataFrame:
     """All rows and columns of ``docs`` with personal data replaced in ``text``: base spans by [KIND], generalised
-    words by [word] or [number], removed words by nothing.  Of overlapping spans the first counts.
+    words by [word] or [number], removed words by nothing.  Overlapping spans are replaced as one, by the kind of the first.
     Rows without personal data pass unchanged and are not shuffled."""
     rid, spans = "_pii_rid", "_pii_spans"
     marked = docs.withColumn(spans, base_spans(F.col("text").cast("string")))
@@ -202,12 +202,16 @@ def sanitise(docs: DataFrame, generalise_at: float = GENERALISE_AT, remove_at: f
         F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("put"))),
         F.transform(F.coalesce("_pii_extra", none), lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), F.when(s["action"] == "remove", F.lit("")).alias("put")))))
 
+    def union(acc, e):
+        last = F.get(acc, F.size(acc) - 1)
+        longer = F.struct(last["start"].alias("start"), last["rank"].alias("rank"), F.greatest(last["end"], e["end"]).alias("end"), last["put"].alias("put"))
+        return F.when(e["start"] < last["end"], F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(longer))).otherwise(F.concat(acc, F.array(e)))
+
     def put(acc, e):
         old = F.substring(F.col("text"), e["start"] + 1, e["end"] - e["start"])
         new = F.coalesce(e["put"], F.when(old.rlike("^[0-9]+$"), F.lit("[number]")).otherwise(F.lit("[word]")))
-        return (F.when(e["start"] < acc["at"], acc)
-                .otherwise(F.struct(e["end"].alias("at"), F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, e["start"] - acc["at"]), new).alias("out"))))
+        return F.struct(e["end"].alias("at"), F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, e["start"] - acc["at"]), new).alias("out"))
     done = F.aggregate("_pii_edits", F.expr("named_struct('at', 0, 'out', '')"), put,
                        lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    cleaned = found.join(extra, rid, "left").withColumn("_pii_edits", edits).withColumn("text", done)
+    cleaned = found.join(extra, rid, "left").withColumn("_pii_edits", F.aggregate(edits, F.array().cast("array<struct<start:int,rank:int,end:int,put:string>>"), union)).withColumn("text", done)
     return marked.filter(F.size(spans) == 0).select(docs.columns).union(cleaned.select(docs.columns))

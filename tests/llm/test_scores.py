@@ -149,6 +149,12 @@ def test_words_far_from_the_entity_count(spark):
     assert all("ebulon" not in out[i] for i in (100, 101)) and "quagga" not in out[102] and "usual things" in out[100] and out[109] is None
 
 
+def test_overlapping_spans_are_replaced_whole(spark):
+    rows = [(i, "mail or card") for i in range(30)] + [(100, "mail a@b.4111 1111 1111 1111 or card"), (101, "mail or card or mail")]
+    out = {r["doc_id"]: r["text"] for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[100] == "mail [EMAIL] or card" and out[101] == rows[-1][1]
+
+
 def test_pii_odd_rows(odd_docs, no_docs):
     assert pii.personal_data(odd_docs).count() == odd_docs.count() and pii.personal_data(no_docs).count() == 0
     clean = pii.sanitise(odd_docs)
