@@ -153,6 +153,7 @@ def contained_items(docs: DataFrame, items: DataFrame, percent: int = PERCENT,
 
 
 def clean(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` that contain no item; rows with a null doc_id are judged too."""
-    found = contained_items(docs, items, percent).select(F.col("doc_id").alias("_bad")).distinct()
+    """The rows of ``docs`` that contain no item; rows with a null doc_id are judged too, and items without an id count."""
+    known = items.select(F.lit(0).alias("item_id"), "text")  # which item it is does not matter here
+    found = contained_items(docs, known, percent).select(F.col("doc_id").alias("_bad")).distinct()
     return docs.join(found, docs["doc_id"].eqNullSafe(found["_bad"]), "left_anti").select(docs.columns)

@@ -118,6 +118,12 @@ def test_decontamination_odd_rows(spark, odd_docs, no_docs):
     assert clean(odd_docs, items).columns == odd_docs.columns and clean(odd_docs, items.limit(0)).count() == odd_docs.count()
 
 
+def test_items_without_an_id_are_cleaned(spark):
+    docs = spark.createDataFrame([(1, "a b c one two three four five d"), (2, "nothing of that kind"), (None, "one two three four five")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "one two three four five"), (None, None)], "item_id long, text string")
+    assert [r["doc_id"] for r in clean(docs, items).collect()] == [2]
+
+
 def removed(rows):
     seen, out = {}, []
     for i, text in sorted(rows):
