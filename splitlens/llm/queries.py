@@ -10,9 +10,11 @@ from splitlens.llm.common import table
 from splitlens.llm.decontam import contained_items
 from splitlens.llm.embed_dedup import embedding_links
 from splitlens.llm.jaccard_join import jaccard_components
+from splitlens.llm.line_rules import line_rules
 from splitlens.llm.mixing import mixing_rates
 from splitlens.llm.pii import personal_data
 from splitlens.llm.quality import quality_scores
+from splitlens.llm.spelling import spelling_variants
 from splitlens.llm.suffix_dedup import repeated_strings
 from splitlens.llm.token_count import token_counts
 from splitlens.llm.toxicity import toxicity
@@ -59,9 +61,18 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_links(table(spark, sf_dir, "embeddings"))
 
 
+def op11_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_rules(table(spark, sf_dir, "documents")).drop("removed_lines")
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_toxicity, op2_quality, op3_pii, op4_decontamination, op5_suffix_dedup, op6_mixing,
-                            op7_token_counts, op8_warc_zip, op9_jaccard_join, op10_embedding_dedup)}
+                            op7_token_counts, op8_warc_zip, op9_jaccard_join, op10_embedding_dedup,
+                            op11_line_rules, op12_spelling)}
 
 # SQL over whole tables is given where DuckDB can say the same thing in one query
 ORACLE: dict[str, str] = {
@@ -77,4 +88,51 @@ ORACLE: dict[str, str] = {
                CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to
         FROM b
     """,
+    "op11_line_rules": r"""
+        WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS body,
+                          regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        win AS (SELECT rid, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+        rep AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, a, b, c) AS k FROM win) WHERE k > 1),
+        cov AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM rep) GROUP BY rid),
+        ln AS (SELECT rid, source, body, raw, norm, len(norm) AS nw FROM (
+                 SELECT rid, source, body, raw, regexp_extract_all(translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS norm
+                 FROM (SELECT rid, source, body, unnest(string_split(body, chr(10))) AS raw FROM d)) WHERE len(norm) > 0),
+        dup AS (SELECT rid, count(*) - count(DISTINCT raw) AS n FROM ln GROUP BY rid),
+        hosts AS (SELECT source, count(DISTINCT body) AS size FROM d GROUP BY source),
+        held AS (SELECT source, norm, count(DISTINCT body) AS k FROM ln GROUP BY ALL),
+        over_limit AS (SELECT held.source, norm FROM held JOIN hosts ON held.source IS NOT DISTINCT FROM hosts.source WHERE k > 10 AND k > 0.005 * size),
+        gone AS (SELECT rid, count(*) AS n_lines, sum(nw) AS n FROM ln JOIN over_limit o ON ln.source IS NOT DISTINCT FROM o.source AND ln.norm = o.norm GROUP BY rid),
+        r AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+                     length(body) - length(translate(body, '#*$%&|<>', '')) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines,
+                     coalesce(cov.n, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines_removed, len(w) - coalesce(gone.n, 0) AS n_words_left
+              FROM d LEFT JOIN cov USING (rid) LEFT JOIN dup USING (rid) LEFT JOIN gone USING (rid)),
+        f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM r)
+        SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+               CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+               NOT base_failed AND 100 * n_words_left >= 30 * n_words AS kept, CAST(n_lines_removed AS BIGINT) AS n_lines_removed, CAST(n_words_left AS BIGINT) AS n_words_left
+        FROM f
+    """,
+    # crc32 by its table, one step a byte
+    "op12_spelling": r"""
+        WITH RECURSIVE tab AS (SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, i) ORDER BY i) AS t
+                               FROM range(256) r(i)),
+        raw AS (SELECT doc_id, run, count(*) AS n FROM (
+                  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents)
+                WHERE length(run) >= 5 GROUP BY ALL),
+        bytes AS (SELECT run, n, list_transform(range(1, strlen(hex(encode(k))) // 2 + 1), lambda i: CAST('0x' || substr(hex(encode(k)), 2 * i - 1, 2) AS BIGINT)) AS b
+                  FROM (SELECT run, n, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS k FROM raw)),
+        crc AS (SELECT run, n, xor(4294967295, list_reduce(b, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), CAST(4294967295 AS BIGINT))) AS h FROM bytes, tab),
+        dmg AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word, n FROM crc),
+        v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM dmg WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+        del AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS short FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+        pair AS (SELECT a.word, b.word AS near, b.n AS k FROM del a JOIN del b ON a.short = b.short AND a.i = b.i AND a.word <> b.word
+                 UNION SELECT a.word, v.word, v.n FROM del a JOIN v ON a.short = v.word
+                 UNION SELECT v.word, a.word, a.n FROM del a JOIN v ON a.short = v.word),
+        best AS (SELECT word, count(*) AS n_near, first(near ORDER BY k DESC, encode(near)) AS near, max(k) AS k FROM pair GROUP BY word),
+        f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN k >= 2 * v.n THEN near END AS form, CASE WHEN k >= 2 * v.n THEN k END AS form_n
+              FROM v LEFT JOIN best USING (word)),
+        walk AS (SELECT word, word AS at, form AS ahead FROM f UNION ALL SELECT walk.word, f.word, f.form FROM walk JOIN f ON f.word = walk.ahead)
+        SELECT f.word, f.form, walk.at AS root, f.n, CAST(f.n_near AS BIGINT) AS n_near, CAST(f.form_n AS BIGINT) AS form_n
+        FROM f JOIN walk ON walk.word = f.word AND walk.ahead IS NULL
+    """,
 }
