@@ -12,6 +12,7 @@ from splitlens.llm.embed_dedup import embedding_links
 from splitlens.llm.jaccard_join import jaccard_components
 from splitlens.llm.line_rules import line_rules
 from splitlens.llm.mixing import mixing_rates
+from splitlens.llm.phrases import collocations
 from splitlens.llm.pii import personal_data
 from splitlens.llm.quality import quality_scores
 from splitlens.llm.spelling import spelling_variants
@@ -69,10 +70,14 @@ def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(table(spark, sf_dir, "documents"))
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_toxicity, op2_quality, op3_pii, op4_decontamination, op5_suffix_dedup, op6_mixing,
                             op7_token_counts, op8_warc_zip, op9_jaccard_join, op10_embedding_dedup,
-                            op11_line_rules, op12_spelling)}
+                            op11_line_rules, op12_spelling, op13_phrases)}
 
 # SQL over whole tables is given where DuckDB can say the same thing in one query
 ORACLE: dict[str, str] = {
@@ -135,4 +140,25 @@ ORACLE: dict[str, str] = {
         SELECT f.word, f.form, walk.at AS root, f.n, CAST(f.n_near AS BIGINT) AS n_near, CAST(f.form_n AS BIGINT) AS form_n
         FROM f JOIN walk ON walk.word = f.word AND walk.ahead IS NULL
     """,
+    "op13_phrases": r"""
+        WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                          '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+        w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+        tot AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+        g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, w[i:i + k - 1] AS ws
+              FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, range(1, 4) t(k) WHERE len(w) >= k)),
+        f AS (SELECT lang, k, phrase, any_value(ws) AS ws, count(*) AS a FROM g GROUP BY lang, k, phrase),
+        c AS (SELECT * FROM f WHERE k > 1 AND a >= 10),
+        cut AS (SELECT c.lang, c.k, c.phrase, c.ws, c.a, j, array_to_string(c.ws[1:j], ' ') AS head, array_to_string(c.ws[j + 1:], ' ') AS tail
+                FROM c, range(1, 3) t(j) WHERE j < c.k),
+        s AS (SELECT cut.*, l.a AS l, r.a AS r, CAST(CAST(1000000 AS HUGEINT) * cut.a * cut.a // (CAST(l.a AS HUGEINT) * r.a) AS BIGINT) AS score
+              FROM cut JOIN f l ON l.lang = cut.lang AND l.k = cut.j AND l.phrase = cut.head
+                       JOIN f r ON r.lang = cut.lang AND r.k = cut.k - cut.j AND r.phrase = cut.tail),
+        low AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+        inner_ AS (SELECT lang, phrase, max(a) AS big FROM (SELECT lang, array_to_string(ws[1:2], ' ') AS phrase, a FROM c WHERE k = 3
+                   UNION ALL SELECT lang, array_to_string(ws[2:3], ' '), a FROM c WHERE k = 3) GROUP BY ALL),
+        kept AS (SELECT low.* FROM low LEFT JOIN inner_ USING (lang, phrase) WHERE NOT coalesce(100 * big >= 50 * low.a, false)),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept)
+        SELECT ranked.lang, rank, phrase, a, l, r, tot.n, score FROM ranked JOIN tot USING (lang) WHERE rank <= 2000
+    """,
 }
