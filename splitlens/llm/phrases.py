@@ -120,8 +120,8 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """(ids, piece numbers, number of suffixes) of about CHUNK words at a time; the last DEPTH - 1 words of a chunk only
+def _chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """(ids, piece numbers, number of suffixes) of about ``size`` words at a time; the last DEPTH - 1 words of a chunk only
     complete its suffixes and begin the next one."""
     ids, pieces, held, base = [], [], 0, 0
     for batch in batches:
@@ -131,7 +131,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
             pieces.append(piece + base)
             top = max(top, int(piece[-1]) + base) if len(piece) else top
             held += len(some)
-            if held >= CHUNK:
+            if held >= size:
                 whole, place = np.concatenate(ids), np.concatenate(pieces)
                 yield whole, place, held + 1 - DEPTH
                 ids, pieces, held = [whole[1 - DEPTH:]], [place[1 - DEPTH:]], DEPTH - 1
@@ -179,11 +179,11 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
     return names[out[0]], names[out[1]], ended[out[2]], np.frombuffer(body, np.uint32, n, at + 3 * n * width).astype(np.int64)
 
 
-def _pairs_below(hot: Shipped) -> Callable:
+def _pairs_below(hot: Shipped, chunk: int) -> Callable:
     """Counts of the two-word extensions of the prefixes over the budget."""
     def run(batches):
         hot_words = hot.value
-        for ids, pieces, starts in _chunks(batches):
+        for ids, pieces, starts in _chunks(batches, chunk):
             first, second, _, count, names = _windows(ids, pieces, starts)
             live = np.isin(names, hot_words)[first]
             first, second, count = first[live], second[live], count[live]
@@ -193,11 +193,11 @@ def _pairs_below(hot: Shipped) -> Callable:
     return run
 
 
-def _to_groups(hot: Shipped, groups: int) -> Callable:
+def _to_groups(hot: Shipped, groups: int, chunk: int) -> Callable:
     """Packed leaves, one row for each group a chunk has suffixes of.  Groups from ``groups`` on hold full-depth prefixes."""
     def run(batches):
         hot_words, hot_pairs = hot.value
-        for ids, pieces, starts in _chunks(batches):
+        for ids, pieces, starts in _chunks(batches, chunk):
             first, second, third, count, names = _windows(ids, pieces, starts)
             prefix = K.mix(names[first])
             deeper = np.isin(names, hot_words)[first]
@@ -240,7 +240,7 @@ def _ids(df: DataFrame, *columns: str) -> list[np.ndarray]:
     return [np.asarray(got.column(c)).astype(np.int64).view(np.uint64) for c in columns]
 
 
-def phrase_nodes(docs: DataFrame, least: int = MIN_COUNT, budget: int = BUDGET) -> tuple[DataFrame, DataFrame]:
+def phrase_nodes(docs: DataFrame, least: int = MIN_COUNT, budget: int = BUDGET, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
     """(words: ``id, lang, word, n``; nodes: ``w1, w2, w3, n`` of the phrases of two words (w3 null) and three with at least
     ``least`` occurrences, as ids)."""
     spark = docs.sparkSession
@@ -254,10 +254,10 @@ def phrase_nodes(docs: DataFrame, least: int = MIN_COUNT, budget: int = BUDGET)
     pairs = None
     hot_pairs = np.zeros(0, np.uint64)
     if len(hot_words):
-        pairs = materialise(texts.mapInArrow(_pairs_below(Shipped(spark, hot_words)), "w1 long, w2 long, n long")
+        pairs = materialise(texts.mapInArrow(_pairs_below(Shipped(spark, hot_words), chunk), "w1 long, w2 long, n long")
                             .groupBy("w1", "w2").agg(F.sum("n").alias("n")).filter(F.col("n") > budget), "phrase-pairs")
         hot_pairs = _extended(*_ids(pairs, "w1", "w2"))
-    leaves = texts.mapInArrow(_to_groups(Shipped(spark, (hot_words, hot_pairs)), groups), "slot long, leaves binary")
+    leaves = texts.mapInArrow(_to_groups(Shipped(spark, (hot_words, hot_pairs)), groups, chunk), "slot long, leaves binary")
     nodes = leaves.groupBy("slot").applyInArrow(_subtree(groups, least), "w1 long, w2 long, w3 long, n long")
     if pairs is not None:
         nodes = nodes.unionByName(pairs.filter(F.col("n") >= least).select("w1", "w2", F.lit(None).cast("long").alias("w3"), "n"))
@@ -271,9 +271,9 @@ def _score(a: str, left: str, right: str) -> Column:
 
 
 def collocations(docs: DataFrame, top: int = TOP, least: int = MIN_COUNT, covered_percent: int = COVERED_PERCENT,
-                 budget: int = BUDGET) -> DataFrame:
+                 budget: int = BUDGET, chunk: int = CHUNK) -> DataFrame:
     """``lang, rank, phrase, a, l, r, n, score``: the ``top`` phrases of each language by score."""
-    words, nodes = phrase_nodes(docs, least, budget)
+    words, nodes = phrase_nodes(docs, least, budget, chunk)
     single = words.select("id", "n").filter(F.col("n") >= least)
     double = nodes.filter("w3 IS NULL").select("w1", "w2", "n")
     triple = nodes.filter("w3 IS NOT NULL")
