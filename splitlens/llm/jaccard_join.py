@@ -8,21 +8,27 @@ at the threshold share one of their rarest ``n - ceil(t n) + 1`` tokens, whateve
 "rare" means, as long as all documents use the same one).  In each block an R-tree over the points
 prunes node pairs and point pairs by the bound, and survivors are verified on the whole sets.
 
+Where the point is as good as unrelated documents can get, it is refined: ``bits`` is a count vector of at least eight
+groups per token with counts cut at one; a count above one is added back as surplus, so that tokens of one document
+in groups the other lacks bound the overlap.
+
 Steps, all on Spark:
 
-1. One row per document: set size, 128-bit set digest, count vector; and counts of hashed token
+1. One row per document: set size, 128-bit set digest, count vector and bits; and counts of hashed token
    cells, summed to a fixed-size table of commonness levels.
 2. Prefix tokens, packed by hash slot and shuffled; blocks with two different sets remain, blocks
    of the same members once.
-3. Star rounds: the R-tree of each block gives the pairs within the bound; each set keeps one
-   partner, the one with the most partners.  These few pairs are pruned again with a finer count
-   vector and verified; the links found give components.
-4. Last round: all pairs within the bound of the blocks that still span several components.
+3. Star round: two members of each block are its pivots, the one with the most company and one by hash, and every
+   other member is paired with them.  These pairs, few for each member, are pruned by both bounds and
+   verified; the links found give components.
+4. Last round: in the blocks that still span several components, an R-tree over the points gives the pairs of
+   different components within the bound; the bits prune them before they leave the task, and survivors are verified.
+   A block of more than ``TILE`` members is dealt by hash into tiles, and each two tiles are a group of their own.
 
 Sets in one component need no further comparison, so a group of near copies costs a few
 verifications per member, and equal sets cost none.  Skew: equal sets collapse to one class
-before verification, common tokens come last in every prefix, and the joins are between plain
-exchanges of written tables, which adaptive execution splits.
+before verification, common tokens come last in every prefix, no group holds more than two tiles of a block, and the joins
+are between plain exchanges of written tables, which adaptive execution splits.
 """
 
 from __future__ import annotations
@@ -44,7 +50,7 @@ GROUPS = 64            # coordinates of a point
 CELL_BITS = 20         # hashed cells of the commonness table (fixed size: one byte each)
 SLICES = 64            # the cell counts travel in so many pieces
 FANOUT = 16            # children of an R-tree node
-STAR_ROUNDS = 1
+TILE = 2048            # members of a block that meet in one group, twice
 _MEMBER = np.dtype([("token", "<i8"), ("cls", "<i8")])
 
 
@@ -62,31 +68,63 @@ def count_vector(s: np.ndarray, groups: int = GROUPS) -> np.ndarray:
     return np.bincount(((s >> np.uint64(CELL_BITS)) % np.uint64(groups)).astype(np.int64), minlength=groups).astype("<u4")
 
 
-def fine_vector(s: np.ndarray) -> np.ndarray:
-    """A count vector with about four tokens in a group; halving it adds its halves."""
-    return count_vector(s, max(GROUPS, 1 << max(0, len(s) // 4).bit_length()))
+def group_bits(s: np.ndarray) -> np.ndarray:
+    """Which of 8 n to 16 n groups hold a token, as 64-bit words; folding the halves together halves the groups."""
+    size = 1 << max(6, (8 * len(s) - 1).bit_length())
+    held = np.zeros(size, dtype=bool)
+    held[((s >> np.uint64(24)) & np.uint64(size - 1)).astype(np.int64)] = True
+    return np.packbits(held, bitorder="little").view("<u8")
+
+
+class BitRows:
+    """Bits of several sets, to bound overlaps of pairs of them."""
 
+    def __init__(self, words: list[np.ndarray], sizes: np.ndarray):
+        self.sizes, self.length = sizes, np.array([len(w) for w in words], dtype=np.int64)
+        self.place = np.zeros(len(words), dtype=np.int64)
+        self.rows = {}
+        for k in np.unique(self.length):
+            at = np.flatnonzero(self.length == k)
+            self.place[at] = np.arange(len(at))
+            self.rows[int(k), int(k)] = np.stack([words[i] for i in at])
 
-def fine_bound(x: np.ndarray, y: np.ndarray) -> int:
-    """Summed coordinate minima of two fine vectors, the longer folded to the shorter."""
-    k = min(len(x), len(y))
-    return int(np.minimum(x.reshape(-1, k).sum(axis=0), y.reshape(-1, k).sum(axis=0)).sum())
+    def _folded(self, length: int, to: int) -> np.ndarray:
+        if (length, to) not in self.rows:
+            rows = self.rows[length, length]
+            self.rows[length, to] = np.bitwise_or.reduce(rows.reshape(len(rows), -1, to), axis=1)
+        return self.rows[length, to]
 
+    def bounds(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """For each pair an upper bound of the overlap: the tokens of one whose group the other lacks are not shared."""
+        out = np.zeros(len(i), dtype=np.int64)
+        for x, y in np.unique(np.stack([self.length[i], self.length[j]], axis=1), axis=0).tolist():
+            which = np.flatnonzero((self.length[i] == x) & (self.length[j] == y))
+            k = min(x, y)
+            left, right = self._folded(x, k), self._folded(y, k)
+            step = max(1, (1 << 18) // k)
+            for at in range(0, len(which), step):
+                w = which[at:at + step]
+                a, b = left[self.place[i[w]]], right[self.place[j[w]]]
+                lack_a, lack_b = (np.bitwise_count(m).sum(axis=1, dtype=np.int64) for m in (a & ~b, b & ~a))
+                out[w] = np.minimum(self.sizes[i[w]] - lack_a, self.sizes[j[w]] - lack_b)
+        return out
 
-_POINTS = "doc_id long, n long, cls long, cls2 long, point binary, slice int, cells binary"
+
+_POINTS = "doc_id long, n long, cls long, cls2 long, point binary, bits binary, slice int, cells binary"
 
 
 def _points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cells = np.zeros(1 << CELL_BITS, dtype=np.int64)
     seen = False
     for batch in batches:
-        n, d1, d2, points = [], [], [], []
+        n, d1, d2, points, bits = [], [], [], [], []
         for s in shingle_sets(*utf8(batch.column("text"))):
             a, b = _digest(s)
             n.append(len(s))
             d1.append(a)
             d2.append(b)
             points.append(count_vector(s).tobytes() if len(s) else None)
+            bits.append(group_bits(s).tobytes() if len(s) else None)
             if len(s):
                 seen = True
                 if len(s) > 20_000:
@@ -96,14 +134,14 @@ def _points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = batch.num_rows
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()),
-             pa.array(points, pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())],
-            names=["doc_id", "n", "cls", "cls2", "point", "slice", "cells"])
+             pa.array(points, pa.binary()), pa.array(bits, pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())],
+            names=["doc_id", "n", "cls", "cls2", "point", "bits", "slice", "cells"])
     if seen:
         part = cells.reshape(SLICES, -1)
         yield pa.RecordBatch.from_arrays(
-            [pa.nulls(SLICES, pa.int64())] * 4 + [pa.nulls(SLICES, pa.binary()), pa.array(range(SLICES), pa.int32()),
-             pa.array([p.astype("<i8").tobytes() for p in part], pa.binary())],
-            names=["doc_id", "n", "cls", "cls2", "point", "slice", "cells"])
+            [pa.nulls(SLICES, pa.int64())] * 4 + [pa.nulls(SLICES, pa.binary())] * 2
+            + [pa.array(range(SLICES), pa.int32()), pa.array([p.astype("<i8").tobytes() for p in part], pa.binary())],
+            names=["doc_id", "n", "cls", "cls2", "point", "bits", "slice", "cells"])
 
 
 def _sum_cells(rows: pa.Table) -> pa.Table:
@@ -250,52 +288,73 @@ class CountTree:
             stack.append((level - 1, ca[ok], cb[ok]))
 
 
-def _best(tree: CountTree, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each point with a partner: (point, its partner of most partners, their number)."""
-    degree = np.zeros(len(sizes), dtype=np.int64)
-    for i, j in tree.pairs(percent):
-        degree += np.bincount(i, minlength=len(sizes)) + np.bincount(j, minlength=len(sizes))
-    rank = np.argsort(np.argsort(degree, kind="stable"), kind="stable")  # position by degree, no ties
-    best = np.full(len(sizes), -1, dtype=np.int64)
-    for i, j in tree.pairs(percent):
-        np.maximum.at(best, i, rank[j])
-        np.maximum.at(best, j, rank[i])
-    at = np.flatnonzero(best >= 0)
-    by_rank = np.empty(len(sizes), dtype=np.int64)
-    by_rank[rank] = np.arange(len(sizes))
-    partner = by_rank[best[at]]
-    return at, partner, degree[partner]
-
-
-def _candidates(percent: int, every: bool):
-    """Candidate pairs of the blocks of a slot: all of them, or one for each member."""
+def _words(column: pa.ChunkedArray) -> list[np.ndarray]:
+    return [np.frombuffer(v.as_buffer(), dtype="<u8") for v in column]
+
+
+def _candidates(percent: int):
+    """Pairs of sets of different components in the groups of a slot, within both bounds."""
     def run(rows: pa.Table) -> pa.Table:
-        block = rows.column("block").to_numpy()
-        order = np.argsort(block, kind="stable")
-        bounds = runs(block[order])
+        group = rows.column("group").to_numpy()
+        order = np.argsort(group, kind="stable")
+        bounds = runs(group[order])
         cls, n, comp = (rows.column(c).to_numpy()[order] for c in ("cls", "n", "component"))
         points = unpack(rows.column("point"), "<u4").reshape(-1, GROUPS)[order]
-        left, right, rank = [], [], []
+        bits = _words(rows.column("bits"))
+        found = [np.zeros((0, 2), dtype=np.int64)]
         for a, b in zip(bounds[:-1], bounds[1:]):
-            tree = CountTree(points[a:b], n[a:b], comp[a:b])
-            if every:
-                found = [(i, j, np.zeros(len(i), np.int64)) for i, j in tree.pairs(percent)]
-            else:
-                found = [_best(tree, n[a:b], percent)]
-            for i, j, r in found:
-                left.append(cls[a:b][i])
-                right.append(cls[a:b][j])
-                rank.append(r)
-        if not left:
-            return pa.table({c: pa.array([], pa.int64()) for c in ("a", "b", "rank")})
-        x, y, r = map(np.concatenate, (left, right, rank))
-        if every:
-            pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
-            x, y, r = pairs[:, 0], pairs[:, 1], np.zeros(len(pairs), np.int64)
-        return pa.table({"a": x, "b": y, "rank": r})
+            fine = None
+            for i, j in CountTree(points[a:b], n[a:b], comp[a:b]).pairs(percent):
+                apart = comp[a:b][i] != comp[a:b][j]
+                i, j = i[apart], j[apart]
+                fine = fine or BitRows([bits[k] for k in order[a:b]], n[a:b])
+                close = linked(fine.bounds(i, j), n[a:b][i], n[a:b][j], percent)
+                found.append(np.sort(np.stack([cls[a:b][i[close]], cls[a:b][j[close]]], axis=1), axis=1))
+        pairs = np.unique(np.concatenate(found), axis=0)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+    return run
+
+
+def _prune(percent: int):
+    """The pairs within both bounds."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m = batch.num_rows
+            n = np.concatenate([batch.column(f"n_{x}").to_numpy() for x in "ab"])
+            point = [unpack(batch.column(f"point_{x}"), "<u4").reshape(-1, GROUPS) for x in "ab"]
+            keep = linked(np.minimum(*point).sum(axis=1), n[:m], n[m:], percent)
+            i = np.flatnonzero(keep)
+            if len(i):
+                fine = BitRows([w for x in "ab" for w in _words(batch.column(f"bits_{x}"))], n)
+                keep[i] = linked(fine.bounds(i, i + m), n[i], n[i + m], percent)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
     return run
 
 
+def _star_pairs(blocks: DataFrame) -> DataFrame:
+    """Each member of a block with the block's two pivots: the member that meets the most others over all its blocks (of a
+    group of edited copies that is the text they were made from), and one by hash."""
+    sizes = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("size"))
+    company = blocks.join(materialise(sizes, "jj-sizes"), "block").groupBy("cls").agg(F.sum(F.col("size") - 1).alias("company"))
+    ranked = blocks.join(materialise(company, "jj-company"), "cls")
+    most, hashed = F.max(F.struct("company", "cls")), F.max(F.struct(F.xxhash64("cls"), "cls"))
+    pivots = ranked.groupBy("block").agg(F.array_distinct(F.array(most.getField("cls"), hashed.getField("cls"))).alias("pivots"))
+    pairs = blocks.join(materialise(pivots, "jj-pivots"), "block").select("cls", F.explode("pivots").alias("pivot")).filter("cls <> pivot")
+    return pairs.select(F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b")).distinct()
+
+
+def _tiles(blocks: DataFrame) -> DataFrame:
+    """(group, cls, component): blocks of at most ``TILE`` members are a group; larger ones are dealt into tiles by hash, and each
+    two tiles are a group, so that every two members still meet."""
+    sizes = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("size"))
+    tiles = F.ceil(F.col("size") / TILE).cast("int")
+    own = F.pmod(F.xxhash64("cls", F.lit(5)), F.col("tiles")).cast("int")
+    dealt = (blocks.join(materialise(sizes, "jj-mixed-sizes"), "block").withColumn("tiles", tiles).withColumn("tile", own)
+             .withColumn("other", F.explode(F.when(F.col("tiles") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("tiles") - 1)))))
+    one = F.when(F.col("tiles") == 1, F.col("block")).otherwise(F.xxhash64("block", F.least("tile", "other"), F.greatest("tile", "other")))
+    return dealt.select(one.alias("group"), "cls", "component")
+
+
 # ---------------------------------------------------------------- verification
 
 def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,27 +370,15 @@ def _open_set(blob: bytes) -> np.ndarray:
 
 
 def _own_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keep the rows whose text has the set they were asked for (ids may repeat); add its fine vector."""
+    """Keep the rows whose text has the set they were asked for (ids may repeat)."""
     for batch in batches:
         rows = []
         for body, cls in zip(batch.column("body"), batch.column("cls").to_pylist()):
             s = _open_set(body.as_buffer())
             if _digest(s)[0] == cls:
-                rows.append((cls, len(s), fine_vector(s).tobytes(), body.as_py()))
+                rows.append((cls, body.as_py()))
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))],
-                                             names=["cls", "n", "fine", "body"])
-
-
-def _prune(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = batch.column("fine_a"), batch.column("fine_b")
-            bound = np.array([fine_bound(np.frombuffer(x[i].as_buffer(), "<u4"), np.frombuffer(y[i].as_buffer(), "<u4"))
-                              for i in range(batch.num_rows)], dtype=np.int64)
-            keep = linked(bound, batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy(), percent)
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-    return run
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary()))], names=["cls", "body"])
 
 
 def _verify(percent: int):
@@ -355,14 +402,12 @@ def _sides(bodies: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
     return tuple(bodies.select(F.col("cls").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in columns)) for x in "ab")
 
 
-def _links(pairs: DataFrame, known: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The candidate pairs that reach the threshold: fine bound first, then the whole sets."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+def _links(close: DataFrame, known: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs ``close`` whose whole sets reach the threshold."""
+    ids = close.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
     wanted = materialise(ids.join(classes.select("cls", "rep"), "cls").select("cls", F.col("rep").alias("doc_id")), "jj-wanted")
     bodies = materialise(known.mapInArrow(_squeeze, "doc_id long, body binary").join(wanted, "doc_id").select("cls", "body")
-                         .mapInArrow(_own_digest, "cls long, n long, fine binary, body binary").dropDuplicates(["cls"]), "jj-bodies")
-    fine_a, fine_b = _sides(bodies, "n", "fine")
-    close = materialise(pairs.join(fine_a, "a").join(fine_b, "b").mapInArrow(_prune(percent), "a long, b long"), "jj-close")
+                         .mapInArrow(_own_digest, "cls long, body binary").dropDuplicates(["cls"]), "jj-bodies")
     body_a, body_b = _sides(bodies, "body")
     return materialise(close.join(body_a, "a").join(body_b, "b").mapInArrow(_verify(percent), "a long, b long"), "jj-links")
 
@@ -382,32 +427,26 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     members = points.filter("slice IS NULL").select("doc_id", "n", "cls", "cls2")
     levels = spark.sparkContext.broadcast(commonness_levels(points).tobytes())
     classes = materialise(points.filter("slice IS NULL AND n > 0 AND doc_id IS NOT NULL").groupBy("n", "cls", "cls2")
-                          .agg(F.min("doc_id").alias("rep"), F.first("point").alias("point")), "jj-classes")
+                          .agg(F.min("doc_id").alias("rep"), F.first("point").alias("point"), F.first("bits").alias("bits")), "jj-classes")
 
     known = docs.filter("text IS NOT NULL AND doc_id IS NOT NULL")
     blocks = materialise(known.mapInArrow(_prefixes(levels, n_slots, percent), "slot int, data binary")
                          .groupBy("slot").applyInArrow(_blocks, "block long, cls long").distinct(), "jj-blocks")
 
-    links, part = None, None
-    for turn in range(STAR_ROUNDS + 1):
-        every = turn == STAR_ROUNDS
-        if part is None:
-            open_blocks = blocks.withColumn("component", F.col("cls"))
-        else:
-            labelled = materialise(blocks.join(part, "cls", "left").select("block", "cls", F.coalesce("component", "cls").alias("component")), "jj-labelled")
-            mixed = labelled.groupBy("block").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("block")
-            open_blocks = labelled.join(materialise(mixed, "jj-mixed"), "block")
-        pairs = (open_blocks.join(classes.select("cls", "n", "point"), "cls").select("block", "cls", "n", "point", "component")
-                 .withColumn("slot", F.pmod(F.xxhash64("block"), F.lit(n_slots)).cast("int"))
-                 .groupBy("slot").applyInArrow(_candidates(percent, every), "a long, b long, rank long"))
-        if every:
-            pairs = pairs.select("a", "b").distinct()
-        else:
-            pairs = (pairs.groupBy("a").agg(F.max(F.struct("rank", "b")).alias("best"))
-                     .select(F.least("a", "best.b").alias("a"), F.greatest("a", "best.b").alias("b")).distinct())
-        found = _links(materialise(pairs, "jj-pairs"), known, classes, percent)
-        links = found if links is None else links.union(found)
-        part = materialise(connected_components(links).withColumnRenamed("node", "cls"), "jj-part")
+    vectors = classes.select("cls", "n", "point", "bits")
+    a, b = _sides(vectors, "n", "point", "bits")
+    close = materialise(_star_pairs(blocks).join(a, "a").join(b, "b").mapInArrow(_prune(percent), "a long, b long"), "jj-star")
+    links = _links(close, known, classes, percent)
+    part = materialise(connected_components(links).withColumnRenamed("node", "cls"), "jj-part")
+
+    labelled = materialise(blocks.join(part, "cls", "left").select("block", "cls", F.coalesce("component", "cls").alias("component")), "jj-labelled")
+    mixed = labelled.groupBy("block").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("block")
+    open_blocks = labelled.join(materialise(mixed, "jj-mixed"), "block")
+    pairs = (_tiles(open_blocks).join(vectors, "cls").select("group", "cls", "component", "n", "point", "bits")
+             .withColumn("slot", F.pmod(F.xxhash64("group"), F.lit(n_slots)).cast("int"))
+             .groupBy("slot").applyInArrow(_candidates(percent), "a long, b long"))
+    more = _links(materialise(pairs.distinct(), "jj-pairs"), known, classes, percent)
+    part = materialise(connected_components(links.union(more)).withColumnRenamed("node", "cls"), "jj-part")
 
     named = materialise(classes.select("n", "cls", "cls2", "rep").join(part, "cls", "left")
                         .withColumn("component", F.coalesce("component", "cls")), "jj-named")

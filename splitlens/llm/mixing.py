@@ -8,16 +8,22 @@ of the domains meet their targets:
 
     minimise  sum_k (E(k) - T(k))^2,  E(k) = sum_d r(d) n(d) p(k|d),  r >= 0.
 
-The gradient of a document is n(d) times its posterior dotted with the K residuals, so a step is K
-numbers, however many documents there are: the accumulated steps are a vector c, and the projected
-rate is r(d) = max(0, 1 - p(.|d) c), computed where the document is.  Each step gathers E and the K x K
-curvature of the documents with a positive rate in one aggregate, scales the gradient by it, and is
-halved while it does not lower the residual.  Only DataFrame and SQL functions.
+The gradient of a document is n(d) times its posterior dotted with the K residuals E - T, so a step is
+K numbers, however many documents there are, and is taken where the document is:
+r(d) <- max(0, r(d) - p(.|d) . s).  A document at rate 0 whose gradient would lower it stays there (it is *bound*).  The
+step s is the residual scaled by the K x K curvature of the documents that are not bound, or the residual itself, each
+at several lengths; one pass over the documents sums the expected tokens after every trial and the best is
+taken.  The rates are the accumulated projected steps: a list of K-vectors, replayed on each document, and
+written out as a column every ``REPLAYED`` steps.  Only DataFrame and SQL functions.
+
+When targets are out of reach the least residual may need few documents at high rates; ``MAX_STEPS`` bounds the
+search, and the residual that was reached is part of the result.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -29,8 +35,11 @@ from splitlens.llm.labelled import MAX_LABELLED
 TARGETS = {"q1t0": 0.90, "q0t0": 0.08, "q1t1": 0.02}
 MAX_TERMS = 64
 MIN_GAIN = 15.0
-MAX_STEPS = 30
+MAX_STEPS = 120
 TOLERANCE = 1e-7
+REPLAYED = 16
+SCALED = (1.0, 0.5, 0.25, 1 / 16, 1 / 64, 1 / 256)   # lengths tried of the curvature-scaled step
+PLAIN = (1.0, 4.0, 16.0, 64.0)                       # and of the gradient, in units of 1 / the largest curvature
 _WORDS = r"[^\p{L}\p{N}_]+"
 
 
@@ -107,54 +116,93 @@ def fit_posterior(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LA
     return Posterior(domains, features, marks, {k: (rows[k]["n"] + 1) / (total + len(domains)) for k in domains}, mean, var)
 
 
-def _rate(steps: list[float], domains: list[str]) -> Column:
-    """max(0, 1 - p c): the projected rate after the accumulated steps c."""
-    moved = sum((F.col(f"p_{k}") * float(c) for k, c in zip(domains, steps)), F.lit(0.0))
-    return F.greatest(F.lit(0.0), 1.0 - moved)
+@dataclass
+class Rates:
+    """Fitted rates: the projected steps ``(s, residual)`` from rate 1, the expected share of each domain after them, and the
+    squared distance of the shares from the targets (None without domains or targets)."""
+
+    domains: list[str]
+    steps: list[tuple[list[float], list[float]]] = field(default_factory=list)
+    shares: list[float] = field(default_factory=list)
+    residual: float | None = None
+
+    def column(self) -> Column:
+        return _stepped(F.lit(1.0), self.steps, self.domains)
+
+
+def _dot(values, domains: list[str]) -> Column:
+    return sum((F.col(f"p_{k}") * v for k, v in zip(domains, values)), F.lit(0.0))
+
+
+def _step(rate: Column, move: Column, gradient: Column) -> Column:
+    return F.when((rate > 0) | (gradient < 0), F.greatest(F.lit(0.0), rate - move)).otherwise(rate)
+
+
+def _stepped(rate: Column, steps: list[tuple[list[float], list[float]]], domains: list[str]) -> Column:
+    """``rate`` after the steps, one after the other."""
+    if not steps:
+        return rate
+    every = F.array(*[F.struct(F.array(*map(F.lit, move)).alias("move"), F.array(*map(F.lit, residual)).alias("residual")) for move, residual in steps])
+    each = range(len(domains))
+    return F.aggregate(every, rate, lambda r, s: _step(r, _dot([s["move"][i] for i in each], domains), _dot([s["residual"][i] for i in each], domains)))
 
 
 def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float], max_steps: int = MAX_STEPS,
-              tolerance: float = TOLERANCE) -> list[float]:
-    """The accumulated projected gradient steps over ``members`` (n_tokens, p_<domain>)."""
-    size = len(domains)
+              tolerance: float = TOLERANCE) -> Rates:
+    """Projected gradient least squares over ``members`` (n_tokens, p_<domain>), from rate 1.
+
+    The search ends when every share is within ``tolerance`` of its target, when no trial lowers the squared residual, or when
+    five steps in a row lower it by less than a ten thousandth."""
+    out, size = Rates(domains), len(domains)
     if not size:
-        return []
+        return out
+    n, p = F.col("n_tokens"), [F.col(f"p_{k}") for k in domains]
+    held, pending = members.select("n_tokens", *p, F.lit(1.0).alias("_rate")), []
 
-    def gather(steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        rate, n = _rate(steps.tolist(), domains), F.col("n_tokens")
-        p = [F.col(f"p_{k}") for k in domains]
-        row = members.agg(*(F.sum(rate * n * x) for x in p), *(F.sum(F.when(rate > 0, n * x * y)) for x in p for y in p)).first()
-        values = np.array([float(x or 0.0) for x in row])
-        return values[:size], values[size:].reshape(size, size)
+    def now() -> DataFrame:
+        return held.withColumn("_now", _stepped(F.col("_rate"), pending, domains))
 
-    steps = np.zeros(size)
-    reached, curvature = gather(steps)
+    def sums(frame: DataFrame, columns: list[Column]) -> np.ndarray:
+        return np.array([float(x or 0.0) for x in frame.agg(*map(F.sum, columns)).first()])
+
+    reached = sums(held, [n * x for x in p])
     total, wanted = reached.sum(), sum(targets.get(k, 0.0) for k in domains)
     if not total or not wanted:
-        return steps.tolist()
-    goal = np.array([total * targets.get(k, 0.0) / wanted for k in domains])
-    length = 1.0
+        return out
+    goal = np.array([targets.get(k, 0.0) / wanted for k in domains])
+    shares, idle = reached / total, 0
     for _ in range(max_steps):
-        residual = reached - goal
-        if np.abs(residual).max() <= tolerance * total or length < 1e-3:
+        residual = shares - goal
+        if np.abs(residual).max() <= tolerance or idle == 5:
+            break
+        loose = (F.col("_now") > 0) | (_dot(residual.tolist(), domains) < 0)
+        curvature = sums(now().filter(loose), [n * x * y for x in p for y in p]).reshape(size, size) / total
+        largest = np.linalg.eigvalsh(curvature)[-1]
+        if largest <= 0:
+            break
+        scaled = np.linalg.lstsq(curvature, residual, rcond=1e-10)[0]
+        moves = [scaled * a for a in SCALED] + [residual / largest * a for a in PLAIN]
+        tried = [_step(F.col("_now"), _dot(m.tolist(), domains), _dot(residual.tolist(), domains)) for m in moves]
+        ends = sums(now(), [n * x * rate for rate in tried for x in p]).reshape(len(moves), size) / total
+        errors = np.square(ends - goal).sum(axis=1)
+        best, error = int(errors.argmin()), np.square(residual).sum()
+        if errors[best] >= error * (1 - 1e-9):
             break
-        move = np.linalg.lstsq(curvature, residual, rcond=1e-10)[0]
-        trial = steps + length * move
-        there, bent = gather(trial)
-        if np.square(there - goal).sum() < np.square(residual).sum():
-            slow = np.abs(there - goal).max() > 0.99 * np.abs(residual).max()
-            steps, reached, curvature, length = trial, there, bent, min(1.0, 2 * length)
-            if slow and length < 1e-2:
-                break
-        else:
-            length /= 2
-    return steps.tolist()
+        idle = idle + 1 if errors[best] > error * (1 - 1e-4) else 0
+        shares = ends[best]
+        out.steps.append((moves[best].tolist(), residual.tolist()))
+        pending.append(out.steps[-1])
+        if len(pending) == REPLAYED:
+            held, pending = materialise(now().select("n_tokens", *p, F.col("_now").alias("_rate")), "mix-rates"), []
+    out.shares, out.residual = shares.tolist(), float(np.square(shares - goal).sum())
+    return out
 
 
 def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, max_labelled: int = MAX_LABELLED,
                  max_steps: int = MAX_STEPS) -> DataFrame:
     """Every row of ``docs`` (columns kept but text and those of the names below) with n_tokens, a posterior p_<domain> per domain, ``rate`` (how often to
-    read the document) and ``copies`` (whole copies with that expectation, by the hash of the id).
+    read the document), ``copies`` (whole copies with that expectation, by the hash of the id) and ``residual`` (the squared distance of
+    the expected domain shares from the targets, the same in every row; null when nothing was fitted).
 
     Targets of domains that no label shows are left out and the rest scaled up; a domain of the labels
     without a target has the target 0, unless all are (then every rate is 1).  Targets out of
@@ -166,11 +214,12 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] |
     given = docs.select([F.col(c).alias(f"d_{c}") if c != "text" else F.col(c) for c in docs.columns])
     numbered = _numbers(given, posterior.marks if posterior else {})
     domains = posterior.domains if posterior else []
-    own = {"text", "n_tokens", "rate", "copies", *(f"p_{k}" for k in domains)}
+    own = {"text", "n_tokens", "rate", "copies", "residual", *(f"p_{k}" for k in domains)}
     kept = [c for c in docs.columns if c not in own]
     members = materialise(numbered.select(*(f"d_{c}" for c in kept), "n_tokens", *(posterior.columns() if posterior else [])), "mix-members")
-    steps = fit_rates(members, domains, targets, max_steps)
+    fitted = fit_rates(members, domains, targets, max_steps)
     # the hash puts a document's fraction of a copy at random but once for all
     chance = F.pmod(F.xxhash64("d_doc_id", F.lit(17)), F.lit(1 << 30)) / float(1 << 30)
-    return (members.withColumn("rate", _rate(steps, domains)).withColumn("copies", F.floor(F.col("rate") + chance).cast("long"))
-            .select(*(F.col(f"d_{c}").alias(c) for c in kept), "n_tokens", *(f"p_{k}" for k in domains), "rate", "copies"))
+    return (members.withColumn("rate", fitted.column()).withColumn("copies", F.floor(F.col("rate") + chance).cast("long"))
+            .select(*(F.col(f"d_{c}").alias(c) for c in kept), "n_tokens", *(f"p_{k}" for k in domains), "rate", "copies",
+                    F.lit(fitted.residual).cast("double").alias("residual")))

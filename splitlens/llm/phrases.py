@@ -38,8 +38,8 @@ COVERED_PERCENT = 50
 DEPTH = 3
 BUDGET = 1_000_000      # occurrences below one prefix, at least
 MAX_HOT = 1 << 20       # prefixes of one length that may be over the budget
-CHUNK = 1_500_000       # words whose leaves a task adds up at once; with a part's words under 2 ** 21
-HELD_WORDS = 300_000    # distinct words a task holds before it passes counts on
+CHUNK = 1_000_000       # words whose leaves a task adds up at once; with a part's words under 2 ** 21
+HELD_WORDS = 150_000    # distinct words a task holds before it passes counts on
 
 _LOWER = K.lower_table()
 _BREAK = np.isin(np.arange(256), np.frombuffer(b".,;:!?\n\x0b\x0c\r", np.uint8))
@@ -94,30 +94,28 @@ def _word_runs(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray,
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: dict[int, int] = {}
-    names: dict[int, tuple[str, str]] = {}
-
-    def flush() -> pa.RecordBatch:
-        keys = list(counts)
-        out = pa.RecordBatch.from_pydict({
-            "id": pa.array(np.array(keys, dtype=np.uint64).view(np.int64)), "lang": pa.array([names[k][0] for k in keys], type=pa.string()),
-            "word": pa.array([names[k][1] for k in keys], type=pa.string()), "n": pa.array([counts[k] for k in keys], type=pa.int64())})
-        counts.clear()
-        names.clear()
-        return out
+    held: dict[str, tuple[dict[int, int], dict[int, str]]] = {}  # by language: counts and words by id
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        for lang, (counts, names) in held.items():
+            yield pa.RecordBatch.from_pydict({
+                "id": pa.array(np.fromiter(counts, np.uint64, len(counts)).view(np.int64)), "lang": pa.array([lang] * len(counts), type=pa.string()),
+                "word": pa.array(names.values(), type=pa.string()), "n": pa.array(np.fromiter(counts.values(), np.int64, len(counts)))})
+        held.clear()
 
     for batch in batches:
         for part, starts, ends, ids, _, langs in _word_runs(batch):
             some, at, n = np.unique(ids, return_index=True, return_counts=True)
             for key, k, c in zip(some.tolist(), at.tolist(), n.tolist()):
+                counts, names = held.setdefault(langs[k], ({}, {}))
                 if key in counts:
                     counts[key] += c
                 else:
                     counts[key] = c
-                    names[key] = (langs[k], part[starts[k]:ends[k]].tobytes().lower().decode())
-            if len(counts) > HELD_WORDS:
-                yield flush()
-    yield flush()
+                    names[key] = part[starts[k]:ends[k]].tobytes().lower().decode()
+            if sum(len(counts) for counts, _ in held.values()) > HELD_WORDS:
+                yield from flush()
+    yield from flush()
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
@@ -144,16 +142,29 @@ def _windows(ids: np.ndarray, pieces: np.ndarray, starts: int) -> tuple[np.ndarr
     """The distinct truncated suffixes of at least two words beginning at the first ``starts`` words, with their counts:
     (first, second, third + 1 or 0 at a piece's end) as places in the sorted distinct ids, count, distinct ids."""
     names, code = np.unique(ids, return_inverse=True)
-    code = code.astype(np.int64)
+    code = code.astype(np.int32)
     two = np.flatnonzero(pieces[1:] == pieces[:-1])
     two = two[two < starts]
-    third = np.zeros(len(two), np.int64)
-    more = two + 2 < len(ids)
-    more[more] = pieces[two[more] + 2] == pieces[two[more]]
-    third[more] = code[two[more] + 2] + 1
     v = len(names) + 1
-    key, count = np.unique((code[two] * v + code[two + 1]) * v + third, return_counts=True)  # v ** 3 < 2 ** 63 by the size of a chunk
-    return key // (v * v), key // v % v, key % v, count, names
+    # v ** 3 < 2 ** 63 by the size of a chunk
+    key = code[two].astype(np.int64)
+    key *= v
+    key += code[two + 1]
+    key *= v
+    more = two[two + 2 < len(ids)]
+    more = more[pieces[more + 2] == pieces[more]]
+    key[np.searchsorted(two, more)] += code[more + 2] + 1
+    key, count = _counted(key)
+    third = (key % v).astype(np.int32)
+    key //= v
+    return (key // v).astype(np.int32), (key % v).astype(np.int32), third, count, names
+
+
+def _counted(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of ``key``, ascending, and how often each occurs; ``key`` is sorted in place."""
+    key.sort()
+    bounds = runs(key)
+    return key[bounds[:-1]], np.diff(bounds)
 
 
 def _pack(first: np.ndarray, second: np.ndarray, third: np.ndarray, count: np.ndarray, names: np.ndarray) -> bytes:
@@ -203,14 +214,16 @@ def _to_groups(hot: Shipped, groups: int, chunk: int) -> Callable:
             deeper = np.isin(names, hot_words)[first]
             pair = _extended(names[first[deeper]], names[second[deeper]])
             prefix[deeper] = pair
-            group = (prefix % np.uint64(groups)).astype(np.int64)
+            group = (prefix % np.uint64(groups)).astype(np.int64 if 2 * groups >= 1 << 31 else np.int32)
             deepest = np.flatnonzero(deeper)[np.isin(pair, hot_pairs)]
             last = np.r_[np.uint64(0), names][third[deepest]]
-            group[deepest] = groups + (_extended(prefix[deepest], last) % np.uint64(groups)).astype(np.int64)
+            group[deepest] = groups + (_extended(prefix[deepest], last) % np.uint64(groups)).astype(group.dtype)
+            del prefix, deeper, pair
             order = np.argsort(group, kind="stable")
-            bounds = runs(group[order])
+            group = group[order]
+            bounds = runs(group)
             blobs = [_pack(first[rows], second[rows], third[rows], count[rows], names) for rows in np.split(order, bounds[1:-1])] if len(order) else []
-            yield pa.RecordBatch.from_pydict({"slot": pa.array(group[order][bounds[:-1]] if len(order) else [], type=pa.int64()), "leaves": pa.array(blobs, type=pa.binary())})
+            yield pa.RecordBatch.from_pydict({"slot": pa.array(group[bounds[:-1]] if len(order) else [], type=pa.int64()), "leaves": pa.array(blobs, type=pa.binary())})
     return run
 
 

@@ -15,9 +15,11 @@ first q bytes and buckets are refined by what stands at other offsets, until 100
    is put together from those of q bytes at later offsets by prefix sums, and of windows in one
    bucket all but the first are covered.
 
-Identifiers are 64-bit hashes.  Entries travel packed by hash slot; an entry whose context was
-already seen in the same batch goes to a slot of its document instead, so a passage that stands in a
-third of all documents does not flood one slot.
+Contexts and windows that make bytes go are identified by two 64-bit hashes, so that even among 1e14 windows no two
+different ones are expected to be taken for equal; the hashes that only bring entries together are shorter.  Entries
+travel packed by hash slot; an entry whose context was already seen in the same batch goes to a slot of its document
+instead, so a passage that stands in a third of all documents does not flood one slot.  What is found goes back to the
+documents as plain rows, as many as there are ranges.
 """
 
 from __future__ import annotations
@@ -37,19 +39,22 @@ from splitlens.llm.textkernel import PIECE, mix, power_tables, utf8
 LENGTH = 100
 Q = 24
 SIDE = (LENGTH - Q) // 2  # every window agrees on so many bytes before or behind its anchor
-_ENTRY = np.dtype([("gram", "<u4"), ("ctx", "<u8"), ("doc", "<i8"), ("at", "<u4"), ("lo", "u1"), ("hi", "u1"),
+_ENTRY = np.dtype([("gram", "<u4"), ("ctx", "<u8"), ("ctx2", "<u8"), ("doc", "<i8"), ("at", "<u4"), ("lo", "u1"), ("hi", "u1"),
                    ("left", "<u2"), ("right", "<u2"), ("again", "u1")])
-_WINDOW = np.dtype([("id", "<u8"), ("doc", "<i8"), ("at", "<u4"), ("again", "u1")])
-_RANGE = np.dtype([("doc", "<i8"), ("a", "<u4"), ("b", "<u4")])
+_WINDOW = np.dtype([("id", "<u8"), ("id2", "<u8"), ("doc", "<i8"), ("at", "<u4"), ("again", "u1")])
 _PAIR = np.dtype([("a", "<u4"), ("b", "<u4")])
 _COVERED, _OPEN = 0, 1
 _POS = np.uint64(PIECE - 1)
 
 
-def prefix_sums(part: np.ndarray) -> np.ndarray:
+# the value of a byte in the first and in the second hash
+_BYTES = (np.arange(1, 257, dtype=np.uint64), mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+
+
+def prefix_sums(part: np.ndarray, which: int = 0) -> np.ndarray:
     up, _ = power_tables(len(part) + 1)
     out = np.zeros(len(part) + 1, dtype=np.uint64)
-    np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[:len(part)], out=out[1:])
+    np.cumsum(_BYTES[which][part] * up[:len(part)], out=out[1:])
     return out
 
 
@@ -98,7 +103,9 @@ def _part_entries(part: np.ndarray, row_start: np.ndarray, row_end: np.ndarray,
     out = np.zeros(len(first), dtype=_ENTRY)
     out["gram"] = (gram[at] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
     out["lo"], out["hi"] = at - end, at - first
-    out["ctx"] = mix(identifiers(sums, first, end + LENGTH) + (out["lo"].astype(np.uint64) << np.uint64(8)) + out["hi"])
+    place = (out["lo"].astype(np.uint64) << np.uint64(8)) + out["hi"]
+    out["ctx"] = mix(identifiers(sums, first, end + LENGTH) + place)
+    out["ctx2"] = mix(identifiers(prefix_sums(part, 1), first, end + LENGTH) + place)
     out["doc"], out["at"] = ids[row], at + base[row]
     before = at - SIDE >= row_start[row]
     behind = at + Q + SIDE <= row_end[row]
@@ -146,19 +153,27 @@ def _by_id(batch: pa.RecordBatch) -> pa.RecordBatch:
     return batch.take(pa.array(np.argsort(ids, kind="stable")))
 
 
-def _again(key: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Rows (in document order) whose key was there before at another place."""
-    order = np.argsort(key, kind="stable")
-    k = key[order]
-    first = order[np.repeat(runs(k)[:-1], np.diff(runs(k)))] if len(k) else order
-    out = np.zeros(len(key), dtype=bool)
+def _same_runs(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Boundaries of the runs of equal pairs."""
+    if not len(one):
+        return np.zeros(1, dtype=np.int64)
+    return np.r_[0, np.flatnonzero((one[1:] != one[:-1]) | (two[1:] != two[:-1])) + 1, len(one)]
+
+
+def _again(one: np.ndarray, two: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Rows (in document order) whose two identifiers were there before at another place."""
+    order = np.lexsort((two, one))
+    bounds = _same_runs(one[order], two[order])
+    first = order[np.repeat(bounds[:-1], np.diff(bounds))]
+    out = np.zeros(len(one), dtype=bool)
     out[order] = (doc[first] != doc[order]) | (at[first] != at[order])
     return out
 
 
-def _route(rows: np.ndarray, key: np.ndarray, n_slots: int) -> tuple[pa.Array, pa.Array]:
-    rows["again"] = _again(key, rows["doc"], rows["at"])
-    by = np.where(rows["again"] > 0, mix(rows["doc"].astype(np.uint64)), mix(key))
+def _route(rows: np.ndarray, one: str, two: str, slot: str, n_slots: int) -> tuple[pa.Array, pa.Array]:
+    """Packed by the hash of field ``slot``; rows that repeat identifiers ``one`` and ``two`` of this batch by their document."""
+    rows["again"] = _again(rows[one], rows[two], rows["doc"], rows["at"])
+    by = np.where(rows["again"] > 0, mix(rows["doc"].astype(np.uint64)), mix(rows[slot].astype(np.uint64)))
     return pack_by_slot(rows, (by % np.uint64(n_slots)).astype(np.int32))
 
 
@@ -169,35 +184,38 @@ def _entries(n_slots: int):
             found = list(entries(*utf8(batch.column("text")), batch.column("doc_id").to_numpy()))
             rows = np.concatenate(found) if found else np.zeros(0, dtype=_ENTRY)
             if len(rows):
-                rows["again"] = _again(rows["ctx"], rows["doc"], rows["at"])
-                by = np.where(rows["again"] > 0, mix(rows["doc"].astype(np.uint64)), mix(rows["gram"].astype(np.uint64)))
-                slot, data = pack_by_slot(rows, (by % np.uint64(n_slots)).astype(np.int32))
+                slot, data = _route(rows, "ctx", "ctx2", "gram", n_slots)
                 yield pa.RecordBatch.from_arrays([slot, data], names=["slot", "data"])
     return run
 
 
-def _by_document(doc: np.ndarray, kind: int, a: np.ndarray, b: np.ndarray, n_slots: int) -> pa.Table:
-    """Pairs packed by the slot of their document: (slot, kind, data)."""
-    rows = np.empty(len(doc), dtype=_RANGE)
-    rows["doc"], rows["a"], rows["b"] = doc, a, b
-    slot, data = pack_by_slot(rows, (mix(rows["doc"].astype(np.uint64)) % np.uint64(n_slots)).astype(np.int32))
-    return pa.table({"slot": slot, "kind": pa.array(np.full(len(slot), kind), pa.int32()), "data": data})
+_FOUND = "doc_id long, kind int, a long, b long"
+
+
+def _by_document(doc: np.ndarray, kind: int, a: np.ndarray, b: np.ndarray) -> pa.Table:
+    return pa.table({"doc_id": pa.array(doc.astype(np.int64)), "kind": pa.array(np.full(len(doc), kind), pa.int32()),
+                     "a": pa.array(a.astype(np.int64)), "b": pa.array(b.astype(np.int64))})
 
 
 def _gather(rows: pa.Table) -> pa.Table:
     """One row per document of a slot: its pairs, those of covered ranges merged."""
-    r = unpack(rows.column("data"), _RANGE)
+    doc, a, b = (rows.column(c).to_numpy() for c in ("doc_id", "a", "b"))
     if rows.column("kind")[0].as_py() == _COVERED:
-        doc, a, b = _merged(r["doc"], r["a"], r["b"])
+        doc, a, b = _merged(doc, a, b)
     else:
-        order = np.argsort(r["doc"], kind="stable")
-        doc, a, b = r["doc"][order], r["a"][order], r["b"][order]
+        order = np.argsort(doc, kind="stable")
+        doc, a, b = doc[order], a[order], b[order]
     pairs = np.empty(len(doc), dtype=_PAIR)
     pairs["a"], pairs["b"] = a, b
     bounds = runs(doc)
     return pa.table({"doc_id": pa.array(doc[bounds[:-1]], pa.int64()), "parts": binary_array(pairs, bounds)})
 
 
+def _by_slot(found: DataFrame, kind: int, n_slots: int) -> DataFrame:
+    return (found.filter(F.col("kind") == kind).withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(n_slots)))
+            .groupBy("slot").applyInArrow(_gather, "doc_id long, parts binary"))
+
+
 def _merged(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Union of byte ranges per document; ranges that touch become one."""
     if not len(doc):
@@ -213,13 +231,15 @@ def _merged(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray
     return doc[at], lo[at], np.maximum.reduceat(hi, at)
 
 
-def _refine(rows: pa.Table, n_slots: int) -> pa.Table:
+def _refine(rows: pa.Table) -> pa.Table:
     """Buckets of one slot: byte ranges that are covered, and entries whose windows stay open."""
     e = unpack(rows.column("data"), _ENTRY)
     known = e[e["again"] > 0]
     e = e[e["again"] == 0]
-    e = e[np.lexsort((e["at"], e["doc"], e["ctx"], e["gram"]))]
-    same = np.r_[False, (e["gram"][1:] == e["gram"][:-1]) & (e["ctx"][1:] == e["ctx"][:-1])] if len(e) else np.zeros(0, bool)
+    e = e[np.lexsort((e["at"], e["doc"], e["ctx2"], e["ctx"], e["gram"]))]
+    same = np.zeros(len(e), bool)
+    for c in ("gram", "ctx", "ctx2"):
+        same[1:] = (same[1:] if c != "gram" else True) & (e[c][1:] == e[c][:-1])
     first = np.maximum.accumulate(np.where(same, 0, np.arange(len(e)))) if len(e) else np.zeros(0, np.int64)
     later = same & ((e["doc"] != e["doc"][first]) | (e["at"] != e["at"][first]))
     covered = np.concatenate([known, e[later]])
@@ -242,8 +262,7 @@ def _refine(rows: pa.Table, n_slots: int) -> pa.Table:
     heads, lo, hi = heads[live], lo[live], hi[live]
     first_window, last_window = heads["at"].astype(np.int64) - hi, heads["at"].astype(np.int64) - lo
     doc, start, stop = _merged(covered["doc"], start, stop)
-    return pa.concat_tables([_by_document(doc, _COVERED, start, stop, n_slots),
-                             _by_document(heads["doc"], _OPEN, first_window, last_window, n_slots)])
+    return pa.concat_tables([_by_document(doc, _COVERED, start, stop), _by_document(heads["doc"], _OPEN, first_window, last_window)])
 
 
 def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,29 +295,30 @@ def _windows(n_slots: int):
                 for a in range(0, len(text), PIECE):
                     here = at[(at >= a) & (at < a + PIECE)]
                     if len(here):
-                        sums = prefix_sums(text[a:a + PIECE + LENGTH])
                         rows = np.zeros(len(here), dtype=_WINDOW)
-                        rows["id"], rows["doc"], rows["at"] = identifiers(sums, here - a, here - a + LENGTH), doc, here
+                        rows["doc"], rows["at"] = doc, here
+                        for which, name in enumerate(("id", "id2")):
+                            rows[name] = identifiers(prefix_sums(text[a:a + PIECE + LENGTH], which), here - a, here - a + LENGTH)
                         found.append(rows)
             if found:
                 rows = np.concatenate(found)
-                slot, data = _route(rows, rows["id"], n_slots)
+                slot, data = _route(rows, "id", "id2", "id", n_slots)
                 yield pa.RecordBatch.from_arrays([slot, data], names=["slot", "data"])
     return run
 
 
-def _first_windows(rows: pa.Table, n_slots: int) -> pa.Table:
+def _first_windows(rows: pa.Table) -> pa.Table:
     w = unpack(rows.column("data"), _WINDOW)
     known, w = w[w["again"] > 0], w[w["again"] == 0]
-    w = w[np.lexsort((w["at"], w["doc"], w["id"]))]
+    w = w[np.lexsort((w["at"], w["doc"], w["id2"], w["id"]))]
     if len(w):
-        bounds = runs(w["id"])
+        bounds = _same_runs(w["id"], w["id2"])
         first = np.repeat(bounds[:-1], np.diff(bounds))
         w = w[(w["doc"] != w["doc"][first]) | (w["at"] != w["at"][first])]
     covered = np.concatenate([known, w])
     at = covered["at"].astype(np.int64)
     doc, lo, hi = _merged(covered["doc"], at, at + LENGTH)
-    return _by_document(doc, _COVERED, lo, hi, n_slots)
+    return _by_document(doc, _COVERED, lo, hi)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,14 +349,10 @@ def repeated_strings(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     n_slots = slots(docs.sparkSession)
     long_enough = docs.filter("doc_id IS NOT NULL").filter(F.octet_length("text") >= LENGTH)
-    packed = "slot int, kind int, data binary"
-    found = materialise(long_enough.mapInArrow(_entries(n_slots), "slot int, data binary").groupBy("slot")
-                        .applyInArrow(lambda rows: _refine(rows, n_slots), packed), "sd-entries")
-    still_open = found.filter(F.col("kind") == _OPEN).groupBy("slot").applyInArrow(_gather, "doc_id long, parts binary")
+    found = materialise(long_enough.mapInArrow(_entries(n_slots), "slot int, data binary").groupBy("slot").applyInArrow(_refine, _FOUND), "sd-entries")
     bodies = long_enough.mapInArrow(squeeze, "doc_id long, body binary")
-    more = materialise(bodies.join(materialise(still_open, "sd-open"), "doc_id").mapInArrow(_windows(n_slots), "slot int, data binary")
-                       .groupBy("slot").applyInArrow(lambda rows: _first_windows(rows, n_slots), packed), "sd-windows")
-    ranges = found.filter(F.col("kind") == _COVERED).union(more).groupBy("slot").applyInArrow(_gather, "doc_id long, parts binary")
-    ranges = materialise(ranges, "sd-ranges")
+    more = materialise(bodies.join(materialise(_by_slot(found, _OPEN, n_slots), "sd-open"), "doc_id").mapInArrow(_windows(n_slots), "slot int, data binary")
+                       .groupBy("slot").applyInArrow(_first_windows, _FOUND), "sd-windows")
+    ranges = materialise(_by_slot(found.unionByName(more), _COVERED, n_slots), "sd-ranges")
     return (docs.mapInArrow(squeeze, "doc_id long, body binary").join(ranges, "doc_id", "left")
             .mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed binary"))

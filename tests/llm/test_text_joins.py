@@ -73,10 +73,59 @@ def test_count_tree_bound_loses_no_pair():
             inter = len(np.intersect1d(sets[a], sets[b]))
             if J.linked(inter, sizes[a], sizes[b]):
                 assert (b, a) in found
-                assert J.linked(J.fine_bound(J.fine_vector(sets[a]), J.fine_vector(sets[b])), sizes[a], sizes[b])
     assert len(found) < 200  # most pairs are pruned
 
 
+def test_bits_bound_the_overlap_of_sets_of_any_sizes():
+    rng = np.random.default_rng(8)
+    sets = [np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (1, 3, 9, 60, 64, 65, 200, 1500)]
+    sets += [np.unique(np.r_[s[:-1], rng.integers(0, 1 << 63, 2, dtype=np.uint64)]) for s in sets]
+    rows = J.BitRows([J.group_bits(s) for s in sets], np.array([len(s) for s in sets]))
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(len(sets)), np.arange(len(sets))))
+    real = np.array([len(np.intersect1d(sets[a], sets[b])) for a, b in zip(i, j)])
+    bound = rows.bounds(i, j)
+    assert (bound >= real).all() and (bound - real)[real == 0].max() < 400 and np.abs((bound - real)[i == j]).max() == 0
+
+
+def template_group(seed, n, own):
+    """Texts of one template with ``own`` words of 60 replaced at fixed places: alike, but none at the threshold."""
+    rng = random.Random(seed)
+    template = [f"t{k}" for k in range(60)]
+    rows = []
+    for i in range(n):
+        text = list(template)
+        for k in range(own):
+            text[k * (60 // own)] = f"own{i}x{k}"
+        rows.append((i, " ".join(text)))
+    return rows + [(n + i, rng.choice(rows)[1] + (" tail" if i % 2 else "")) for i in range(n // 4)]
+
+
+def test_a_template_group_below_the_threshold_makes_few_pairs(spark, monkeypatch):
+    rows = template_group(4, 300, 2)  # Jaccard of two originals about 0.7
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    made = []
+    links = J._links
+    monkeypatch.setattr(J, "_links", lambda close, *rest: made.append(close.count()) or links(close, *rest))
+    assert sorted(map(tuple, jaccard_components(frame).collect())) == components(rows)
+    assert sum(made) < 5 * len(rows)
+
+
+@pytest.mark.parametrize("tile", [1, 7])
+def test_blocks_dealt_into_tiles_lose_no_link(spark, monkeypatch, tile):
+    monkeypatch.setattr(J, "TILE", tile)
+    rng = random.Random(tile)
+    base = [f"w{k}" for k in range(50)]
+    rows = []
+    for i in range(80):  # a third of all documents: edited copies that do not all link with one another
+        text = list(base)
+        for _ in range(rng.randrange(0, 3)):
+            text[rng.randrange(50)] = f"e{rng.randrange(9)}"
+        rows.append((i, " ".join(text)))
+    rows += near_copies(3, 160)[80:]
+    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sorted(map(tuple, got.collect())) == components(rows)
+
+
 def test_jaccard_odd_rows(odd_docs, no_docs):
     got = sorted(map(tuple, jaccard_components(odd_docs).collect()), key=str)
     assert len(got) == odd_docs.count()
