@@ -61,5 +61,36 @@ def experiment_filter(assignments: DataFrame, exp_id: str) -> DataFrame:
     return assignments.filter(F.col("experiment_id") == F.lit(exp_id))
 
 
+def _per_unit(assignments: DataFrame, exp_id: str) -> DataFrame:
+    """One row per unit of the experiment: ``unit_id, n_rows, lo, hi`` (least and greatest variant).  A unit that fills a third
+    of the table is combined on the map side."""
+    return (experiment_filter(assignments, exp_id).groupBy("unit_id")
+            .agg(F.count(F.lit(1)).alias("n_rows"), F.min("variant").alias("lo"), F.max("variant").alias("hi"),
+                 F.count_if(F.col("variant").isNull()).alias("n_null")))
+
+
 def from_table(assignments: DataFrame, exp_id: str) -> DataFrame:
-    return experiment_filter(assignments, exp_id).select("unit_id", "variant")
+    """``unit_id, variant`` of a given assignment table, one row per usable unit: repeated rows count once; units in two
+    variants, without a variant or without an id belong to no group (``assignment_problems`` reports them)."""
+    return (_per_unit(assignments, exp_id).filter("unit_id IS NOT NULL AND lo = hi")
+            .select("unit_id", F.col("lo").alias("variant")))
+
+
+def assignment_problems(assignments: DataFrame, exp_id: str) -> DataFrame:
+    """``unit_id, problem, n_rows, variants``: units whose assignment cannot be used (``conflict``: several variants,
+    ``no variant``, ``no unit``) and ``repeated`` ones, which count once.  ``variants`` lists the least and greatest."""
+    conflict = F.col("lo") < F.col("hi")
+    problem = (F.when(F.col("unit_id").isNull(), "no unit").when(F.col("lo").isNull(), "no variant")
+               .when(conflict, "conflict").when(F.col("n_rows") > 1, "repeated"))
+    return (_per_unit(assignments, exp_id).withColumn("problem", problem).filter(F.col("problem").isNotNull())
+            .select("unit_id", "problem", F.col("n_rows").cast("long").alias("n_rows"),
+                    F.when(conflict, F.concat_ws(",", "lo", "hi")).otherwise(F.col("lo")).alias("variants")))
+
+
+def assignment_audit(assignments: DataFrame, exp_id: str) -> DataFrame:
+    """``status, units, rows``: the units of the experiment by ``ok`` or kind of problem."""
+    problems = assignment_problems(assignments, exp_id).groupBy(F.col("problem").alias("status")).agg(
+        F.count(F.lit(1)).alias("units"), F.sum("n_rows").alias("rows"))
+    fine = (_per_unit(assignments, exp_id).filter("unit_id IS NOT NULL AND lo = hi AND n_rows = 1")
+            .agg(F.lit("ok").alias("status"), F.count(F.lit(1)).alias("units"), F.count(F.lit(1)).alias("rows")))
+    return fine.unionByName(problems)

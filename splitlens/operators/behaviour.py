@@ -121,65 +121,45 @@ def heatmap(events: DataFrame, ts: str = "ts") -> DataFrame:
 
 # ---------------------------------------------------------------- N9 transitions
 def transitions(events: DataFrame, gap_seconds: int = SESSION_GAP_SECONDS,
-                bucket_gaps: int = 4, method: str = "bucketed") -> DataFrame:
-    """``from_type, to_type, n`` for in-session consecutive events, by the one plan of
-    ``transitions_bucketed`` at every size; ``method="ranked"`` asks for the plan that numbers all
-    events globally."""
-    if method == "ranked":
-        return transitions_ranked(events, gap_seconds)
-    return transitions_bucketed(events, gap_seconds, bucket_gaps)
-
-
-def transitions_ranked(events: DataFrame, gap_seconds: int = SESSION_GAP_SECONDS) -> DataFrame:
-    """Skew-proof transitions: a global row number over ``(user, ts, event_id)``
-    (``ranking.row_numbers``) and a 1:1 equi-join of row ``rn`` to row ``rn - 1``."""
-    from splitlens.operators.ranking import row_numbers
-
-    gap_us = gap_seconds * 1_000_000
-    r = row_numbers(events.select("user_id", "event_id", "ts", "event_type"),
-                    ["user_id", "ts", "event_id"]).drop("_n")
-    prev = r.select((F.col("_rn") + 1).alias("_rn"), F.col("user_id").alias("_pu"),
-                    F.col("ts").alias("_pts"), F.col("event_type").alias("from_type"))
-    pairs = (r.join(prev, "_rn")
-             .filter(F.col("user_id").eqNullSafe(F.col("_pu"))
-                     & (F.timestamp_diff("MICROSECOND", F.col("_pts"), F.col("ts")) <= F.lit(gap_us))))
-    return (pairs.groupBy("from_type", F.col("event_type").alias("to_type"))
-            .agg(F.count(F.lit(1)).alias("n")))
-
-
-def transitions_bucketed(events: DataFrame, gap_seconds: int = SESSION_GAP_SECONDS,
-                         bucket_gaps: int = 4) -> DataFrame:
+                bucket_gaps: int = 4, id_block: int = 1 << 16) -> DataFrame:
     """``from_type, to_type, n``: consecutive events of a user at most ``gap_seconds`` apart
-    (i.e. inside one session; a longer gap starts a new session).
-
-    A first window over ``(user, second)`` gives every event but the second's first its predecessor.
-    Only the first and last event of each second go on: they are bucketed by time,
-    ``W = bucket_gaps * gap`` wide, and those in the last ``gap`` (and a second) of a bucket are also
-    emitted as *carry* rows into the next one, so ``lag`` inside ``(user, bucket)`` finds the
-    predecessor of each second's first event.  A bucket holds at most two rows a second, so a very
-    active user is spread over many tasks whatever the number of rows; one scan, no join.
+    (i.e. inside one session; a longer gap starts a new session).  Events without a user or time are nobody's
+    session and do not count.
+
+    Events in the order (ts, event_id) are folded in three steps, each a window that gives every
+    event but its group's first a predecessor, and passes on only the first and last event of the group:
+
+    1. groups ``(user, ts, event_id block)``: the events of one instant, ``id_block`` ids at a time, so even
+       a flood with one time stamp is spread over tasks;
+    2. groups ``(user, second)``: two rows for each instant and id block;
+    3. groups ``(user, bucket)``, ``bucket_gaps * gap`` wide: two rows a second.  Those in the last ``gap``
+       (and a second) of a bucket are also emitted as *carry* rows into the next one, so ``lag`` finds the
+       predecessor of each second's first event.  One scan, no join, one plan at every size.
     """
     gap_us = gap_seconds * 1_000_000
     width_us = max(1_000_000, gap_us * bucket_gaps)
     us = epoch_micros("ts")
     order = ["ts", "event_id"]
-    inside = Window.partitionBy("user_id", "_sec").orderBy(*order)
     apart = F.timestamp_diff("MICROSECOND", F.col("_prev_ts"), F.col("ts")) <= F.lit(gap_us)
-    rows = (events.select("user_id", "event_id", "ts", "event_type", F.floor(us / F.lit(1_000_000)).alias("_sec"))
-            .withColumn("from_type", F.lag("event_type").over(inside)).withColumn("_prev_ts", F.lag("ts").over(inside))
-            .withColumn("_first", F.row_number().over(inside) == 1).withColumn("_last", ~F.lead(F.lit(True), 1, False).over(inside)))
-    within = rows.filter(~F.col("_first") & apart).select("from_type", "event_type")
+    columns = ["user_id", "event_id", "ts", "event_type"]
+    rows = events.filter(F.col("user_id").isNotNull() & F.col("ts").isNotNull()).select(*columns, F.lit(True).alias("_open"))
+    pairs = []
+    for group in (["ts", F.floor(F.col("event_id") / F.lit(id_block))], [F.floor(us / F.lit(1_000_000))]):
+        # _open: the event has no predecessor yet (only a group's first keeps that)
+        inside = Window.partitionBy("user_id", *group).orderBy(*order)
+        rows = (rows.withColumn("from_type", F.lag("event_type").over(inside)).withColumn("_prev_ts", F.lag("ts").over(inside))
+                .withColumn("_first", F.row_number().over(inside) == 1).withColumn("_last", ~F.lead(F.lit(True), 1, False).over(inside)))
+        pairs.append(rows.filter(F.col("_open") & ~F.col("_first") & apart).select("from_type", "event_type"))
+        rows = rows.filter(F.col("_first") | F.col("_last")).select(*columns, (F.col("_open") & F.col("_first")).alias("_open"))
 
     b = F.floor(us / F.lit(width_us))
     carry = us >= (b + 1) * F.lit(width_us) - F.lit(gap_us + 1_000_000)
     own = F.struct(b.alias("b"), F.lit(True).alias("own"))
     nxt = F.struct((b + 1).alias("b"), F.lit(False).alias("own"))
-    edges = (rows.filter(F.col("_first") | F.col("_last"))
-             .select("user_id", "event_id", "ts", "event_type", "_first",
-                     F.explode(F.when(carry, F.array(own, nxt)).otherwise(F.array(own))).alias("_k")))
+    edges = rows.withColumn("_k", F.explode(F.when(carry, F.array(own, nxt)).otherwise(F.array(own))))
     w = Window.partitionBy("user_id", "_k.b").orderBy(*order)
-    across = (edges.withColumn("from_type", F.lag("event_type").over(w)).withColumn("_prev_ts", F.lag("ts").over(w))
-              .filter(F.col("_k.own") & F.col("_first") & F.col("_prev_ts").isNotNull() & apart)
-              .select("from_type", "event_type"))
-    return (within.unionByName(across).groupBy("from_type", F.col("event_type").alias("to_type"))
+    pairs.append(edges.withColumn("from_type", F.lag("event_type").over(w)).withColumn("_prev_ts", F.lag("ts").over(w))
+                 .filter(F.col("_k.own") & F.col("_open") & F.col("_prev_ts").isNotNull() & apart)
+                 .select("from_type", "event_type"))
+    return (pairs[0].unionByName(pairs[1]).unionByName(pairs[2]).groupBy("from_type", F.col("event_type").alias("to_type"))
             .agg(F.count(F.lit(1)).alias("n")))

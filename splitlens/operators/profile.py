@@ -2,8 +2,8 @@
 
 Global quantities (min/max of a column) are scalar subqueries (``DataFrame.scalar()``):
 Catalyst evaluates them once and inlines the value, with no join against a one-row frame.
-Ranks and quantiles come from ``ranking.row_numbers`` (range partitioning, no single-task
-window).
+Quantiles, tiles and ranks come from ``operators.selection``: positions found by counting, ranks from
+the counts of distinct values; rows are neither sorted nor numbered.
 """
 
 from __future__ import annotations
@@ -14,8 +14,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from splitlens.operators import ranking as R
+from splitlens.operators import selection as S
+from splitlens.operators.behaviour import epoch_micros
 from splitlens.pinned import MONEY, RATE_DP, STAT_DP
+from splitlens.session import written
 
 
 # ---------------------------------------------------------------- N10 profile
@@ -74,31 +76,30 @@ def histogram(df: DataFrame, col: str, bins: int = 20) -> DataFrame:
                     F.coalesce("n", F.lit(0)).cast("bigint").alias("n")))
 
 
-def box_stats(df: DataFrame, value: str, group: str, tiebreak: str) -> DataFrame:
+def box_stats(df: DataFrame, value: str, group: str) -> DataFrame:
     """``<group>, q1, median, q3, lo_whisker, hi_whisker``: linearly interpolated quartiles
     (as ``percentile`` / ``quantile_cont``) and Tukey whiskers (most extreme values inside
-    1.5 IQR of the box)."""
-    r = R.row_numbers(df.select(group, value, tiebreak).filter(F.col(value).isNotNull()),
-                      [value, tiebreak], [group])
-    aggs = []
-    for name, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75)):
-        pos = 1 + p * (F.col("_n") - 1)
-        lo_i, hi_i = F.floor(pos), F.ceil(pos)
-        aggs += [F.max(F.when(F.col("_rn") == lo_i, F.col(value))).alias(f"{name}_lo"),
-                 F.max(F.when(F.col("_rn") == hi_i, F.col(value))).alias(f"{name}_hi"),
-                 F.max(pos - lo_i).alias(f"{name}_f")]
-    q = r.groupBy(group).agg(*aggs)
-    q = q.select(group, *[(F.col(f"{n}_lo") + F.col(f"{n}_f") * (F.col(f"{n}_hi") - F.col(f"{n}_lo")))
-                          .alias(n) for n in ("q1", "median", "q3")])
-    iqr = F.col("q3") - F.col("q1")
-    fences = q.select(group, "q1", "median", "q3", (F.col("q1") - 1.5 * iqr).alias("_lf"),
-                      (F.col("q3") + 1.5 * iqr).alias("_hf"))
-    j = r.select(group, value).join(fences, group)
-    w = (j.groupBy(group, "q1", "median", "q3")
-         .agg(F.min(F.when(F.col(value) >= F.col("_lf"), F.col(value))).alias("lo_whisker"),
-              F.max(F.when(F.col(value) <= F.col("_hf"), F.col(value))).alias("hi_whisker")))
-    return w.select(group, *[F.round(c, RATE_DP).alias(c)
-                             for c in ("q1", "median", "q3", "lo_whisker", "hi_whisker")])
+    1.5 IQR of the box).  Rows without a group or value (NULL, NaN) do not count."""
+    rows = df.select(group, value).filter(F.col(group).isNotNull() & S.finite(df, value))
+    sizes = S.group_ranges(rows, [group], value)
+    quartiles = (("q1", 0.25), ("median", 0.5), ("q3", 0.75))
+    pos = {name: p * (F.col("n") - 1) for name, p in quartiles}
+    wanted = F.array(*[F.struct(F.lit(f"{name}_{end}").alias("i"), (near(pos[name]) + 1).cast("long").alias("at"))
+                       for name, _ in quartiles for end, near in (("lo", F.floor), ("hi", F.ceil))])
+    wanted = sizes.select(group, "lo", "hi", F.explode(wanted).alias("w")).select(group, "lo", "hi", "w.i", "w.at")
+    found = S.order_statistics(rows, [group], value, wanted)
+    ends = found.groupBy(group).agg(*[F.max(F.when(F.col("i") == f"{name}_{end}", F.col(value))).alias(f"{name}_{end}")
+                                      for name, _ in quartiles for end in ("lo", "hi")])
+    box = ends.join(sizes.select(group, "n"), group).select(
+        group, *[(F.col(f"{name}_lo") + (pos[name] - F.floor(pos[name])) * (F.col(f"{name}_hi") - F.col(f"{name}_lo"))).alias(name)
+                 for name, _ in quartiles])
+    box = written(box, "box")
+    reach = 1.5 * (F.col("q3") - F.col("q1"))
+    near = rows.join(S.small(box, box.count()), group).groupBy(group, "q1", "median", "q3").agg(
+        F.min(F.when(F.col(value) >= F.col("q1") - reach, F.col(value))).alias("lo_whisker"),
+        F.max(F.when(F.col(value) <= F.col("q3") + reach, F.col(value))).alias("hi_whisker"))
+    return near.select(group, *[F.round(c, RATE_DP).alias(c)
+                                for c in ("q1", "median", "q3", "lo_whisker", "hi_whisker")])
 
 
 # ---------------------------------------------------------------- N12 scatter / corr
@@ -116,26 +117,45 @@ def correlation(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- N13 RFM
+def tile_ends(per: DataFrame, key: str, metrics: Sequence[str], buckets: int) -> dict[str, list[tuple]]:
+    """For each metric the (value, key) of the last row of every ``ntile(buckets)`` tile but the last, rows in the order
+    (metric, key): ``buckets - 1`` pairs a metric.  The value at each cut comes from one selection over all metrics,
+    the key from a second one over the rows that share a cut's value."""
+    rows = S.long_form(per, key, metrics)
+    q, rest = F.floor(F.col("n") / buckets), F.col("n") % buckets
+    ends = F.array(*[F.struct(F.lit(i).alias("i"), (i * q + F.least(F.lit(i), rest)).cast("long").alias("at")) for i in range(1, buckets)])
+    wanted = S.group_ranges(rows, ["metric"], "value").withColumn("w", F.explode(ends)).select("metric", "lo", "hi", "w.i", "w.at")
+    cuts = S.order_statistics(rows, ["metric"], "value", wanted)
+    tied = rows.join(F.broadcast(cuts.select("metric", "value").distinct()), ["metric", "value"])
+    places = cuts.select("metric", "value", "i", (F.col("at") - F.col("before")).alias("at"))
+    wanted = places.join(S.group_ranges(tied, ["metric", "value"], key).drop("n"), ["metric", "value"])
+    last = S.order_statistics(tied, ["metric", "value"], key, wanted)
+    out: dict[str, list[tuple]] = {m: [] for m in metrics}
+    for r in last.select("metric", "i", "value", key).orderBy("metric", "i").collect():
+        out[r["metric"]].append((r["value"], r[key]))
+    return out
+
+
 def rfm_segments(orders: DataFrame, buckets: int = 5) -> DataFrame:
     """``c_custkey, r, f, m, segment``: quintiles of last-order date (5 = most recent),
-    order count and spend, each ``ntile`` over all customers with ties broken by key."""
-    per = (orders.groupBy("o_custkey")
-           .agg(F.max("o_orderdate").alias("_last"), F.count(F.lit(1)).alias("_freq"),
-                F.sum(F.col("o_totalprice").cast(MONEY)).alias("_mon"))
-           .withColumnRenamed("o_custkey", "c_custkey"))
-    x = R.ntile(per, ["_last", "c_custkey"], buckets, "r")
-    x = R.ntile(x, ["_freq", "c_custkey"], buckets, "f")
-    x = R.ntile(x, ["_mon", "c_custkey"], buckets, "m")
-    return x.select("c_custkey", "r", "f", "m",
-                    F.concat(F.col("r").cast("string"), F.col("f").cast("string"),
-                             F.col("m").cast("string")).alias("segment"))
+    order count and spend, each ``ntile`` over all customers with ties broken by key.
+    Orders without a customer do not count; a NULL price counts as 0, a customer without any date as the earliest.
+
+    The customers are never sorted: a tile is how many of the ``buckets - 1`` selected cuts a customer lies beyond."""
+    per = (orders.filter(F.col("o_custkey").isNotNull()).groupBy(F.col("o_custkey").alias("c_custkey"))
+           .agg(F.coalesce(epoch_micros(F.max("o_orderdate")), F.lit(-(1 << 52))).alias("r"), F.count(F.lit(1)).alias("f"),
+                F.coalesce(F.sum(F.col("o_totalprice").cast(MONEY)) * 100, F.lit(0)).cast("bigint").alias("m")))
+    per = written(per, "customers")
+    cuts = tile_ends(per, "c_custkey", ["r", "f", "m"], buckets)
+    tiles = [sum(((F.col(m) > v) | ((F.col(m) == v) & (F.col("c_custkey") > k))).cast("int") for v, k in cuts[m]) + F.lit(1)
+             for m in ("r", "f", "m")]
+    return (per.select("c_custkey", *[t.cast("int").alias(m) for m, t in zip(("r", "f", "m"), tiles)])
+            .withColumn("segment", F.concat(*[F.col(m).cast("string") for m in ("r", "f", "m")])))
 
 
 # ---------------------------------------------------------------- N19 user score
 def user_score(per_user: DataFrame, metrics: Sequence[str], unit: str = "user_id") -> DataFrame:
-    """``<unit>, score``: mean over ``metrics`` of ``percent_rank`` among all units."""
-    x = per_user.select(unit, *metrics)
-    for m in metrics:
-        x = R.percent_rank(x, m, [unit], f"_pr_{m}")
-    score = sum(F.col(f"_pr_{m}") for m in metrics) / float(len(metrics))
+    """``<unit>, score``: mean over ``metrics`` of ``percent_rank`` among all units (``unit`` is unique)."""
+    x = S.percent_ranks(per_user.select(unit, *metrics), unit, metrics)
+    score = sum(F.col(m) for m in metrics) / float(len(metrics))
     return x.select(unit, F.round(score, STAT_DP).alias("score"))

@@ -62,7 +62,7 @@ WITH l AS (
   SELECT event_type,
          lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev_type,
          lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev_ts, ts
-  FROM events)
+  FROM events WHERE user_id IS NOT NULL)
 SELECT prev_type AS from_type, event_type AS to_type, CAST(count(*) AS BIGINT) AS n
 FROM l
 WHERE prev_ts IS NOT NULL AND date_diff('microsecond', prev_ts, ts) <= {SESSION_GAP_SECONDS * 1_000_000}

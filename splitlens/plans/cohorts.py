@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from splitlens.operators import cohorts as C
 from splitlens.operators import modeling as M
+from splitlens.operators import selection as S
 from splitlens.pinned import CHURN_CUTOFF, CHURN_HORIZON_DAYS, CHURN_REF_DATE
 from splitlens.plans.registry import query
 from splitlens.sources.tables import read_table
@@ -55,7 +58,7 @@ def q_churn_by_segment(spark, sf):
 _CUT = f"TIMESTAMP '{CHURN_CUTOFF.isoformat()}'"
 
 
-@query("churn_features", f"""
+_FEATURES_SQL = f"""
 WITH f AS (
   SELECT o_custkey,
          max(o_orderdate) FILTER (WHERE o_orderdate < {_CUT}) AS last_ts,
@@ -67,7 +70,10 @@ SELECT o_custkey AS c_custkey,
        CAST(date_diff('day', CAST(last_ts AS DATE), DATE '{CHURN_CUTOFF.isoformat()}') AS INTEGER) AS recency_days,
        CAST(frequency AS BIGINT) AS frequency, CAST(monetary AS DECIMAL(18,2)) AS monetary,
        CAST(CASE WHEN after_n = 0 THEN 1 ELSE 0 END AS INTEGER) AS churned
-FROM f WHERE frequency > 0""")
+FROM f WHERE frequency > 0"""
+
+
+@query("churn_features", _FEATURES_SQL)
 def q_churn_features(spark, sf):
     return C.churn_features(read_table(spark, sf, "orders"), CHURN_CUTOFF)
 
@@ -78,6 +84,28 @@ def q_churn_model(spark, sf):
     return M.churn_model(feats)
 
 
+@query("churn_evaluation")
+def q_churn_evaluation(spark, sf):
+    return M.churn_evaluation(M.churn_scores(C.churn_features(read_table(spark, sf, "orders"), CHURN_CUTOFF)))
+
+
+def _feature_auc_sql(feature: str) -> str:
+    # Mann-Whitney by average ranks, independent of the counting in the engine
+    return f"""SELECT '{feature}' AS score, CAST(sum(churned) AS BIGINT) AS positives, CAST(sum(1 - churned) AS BIGINT) AS negatives,
+       round((sum(CASE WHEN churned = 1 THEN (lo + hi) / 2.0 END) - sum(churned) * (sum(churned) + 1) / 2.0)
+             / nullif(sum(churned) * sum(1 - churned), 0), 6) AS auc
+FROM (SELECT churned, rank() OVER (ORDER BY {feature}) AS lo,
+             rank() OVER (ORDER BY {feature}) + count(*) OVER (PARTITION BY {feature}) - 1 AS hi FROM h)"""
+
+
+@query("churn_feature_auc", f"""WITH g AS ({_FEATURES_SQL}),
+h AS (SELECT * FROM g WHERE ('0x' || substr(md5(CAST(c_custkey AS VARCHAR)), 1, 7))::BIGINT % 5 = 0)
+""" + "\nUNION ALL\n".join(_feature_auc_sql(c) for c in M.CHURN_FEATURES))
+def q_churn_feature_auc(spark, sf):
+    feats = C.churn_features(read_table(spark, sf, "orders"), CHURN_CUTOFF).filter(M.held_out("c_custkey"))
+    return S.rank_auc(feats, "churned", M.CHURN_FEATURES).withColumn("auc", F.round("auc", 6))
+
+
 def _kpi_sql(grain: str) -> str:
     return f"""
 WITH pc AS (SELECT CAST(date_trunc('{grain}', o_orderdate) AS DATE) AS period, o_custkey,

@@ -161,3 +161,52 @@ SELECT {V_USER} AS variant,
 FROM events WHERE user_id IS NOT NULL GROUP BY 1""")
 def q_ab_ctr(spark, sf):
     return res.ctr(read_table(spark, sf, "events"), EXP_ID)
+
+
+# a delivered assignment table with planted faults: every seventh unit twice, every eleventh also in the other group, every
+# thirteenth without a group, and rows without a unit
+_GIVEN_CTE = f"""
+a AS (SELECT c_custkey AS unit_id, {V_CUST} AS variant FROM customer),
+given AS (SELECT unit_id, CASE WHEN unit_id % 13 = 0 THEN NULL ELSE variant END AS variant FROM a
+          UNION ALL SELECT unit_id, CASE WHEN unit_id % 13 = 0 THEN NULL ELSE variant END FROM a WHERE unit_id % 7 = 0
+          UNION ALL SELECT unit_id, CASE WHEN variant = 'A' THEN 'B' ELSE 'A' END FROM a WHERE unit_id % 11 = 0
+          UNION ALL SELECT NULL, variant FROM a WHERE unit_id % 17 = 0),
+u AS (SELECT unit_id, count(*) AS n_rows, count(DISTINCT variant) AS n_variants, min(variant) AS lo, max(variant) AS hi FROM given GROUP BY unit_id),
+st AS (SELECT *, CASE WHEN unit_id IS NULL THEN 'no unit' WHEN n_variants = 0 THEN 'no variant' WHEN n_variants > 1 THEN 'conflict'
+                      WHEN n_rows > 1 THEN 'repeated' ELSE 'ok' END AS status FROM u)"""
+
+
+def _given(spark, sf):
+    a = asg.assign(read_table(spark, sf, "customer"), "c_custkey", EXP_ID)
+    unit = F.col("unit_id")
+    named = F.when(unit % 13 == 0, F.lit(None)).otherwise(F.col("variant"))
+    other = F.when(F.col("variant") == "A", "B").otherwise("A")
+    return (a.withColumn("variant", named)
+            .unionByName(a.filter(unit % 7 == 0).withColumn("variant", named))
+            .unionByName(a.filter(unit % 11 == 0).withColumn("variant", other))
+            .unionByName(a.filter(unit % 17 == 0).withColumn("unit_id", F.lit(None).cast(a.schema["unit_id"].dataType))))
+
+
+@query("ab_assignment_audit", f"""WITH {_GIVEN_CTE}
+SELECT status, CAST(count(*) AS BIGINT) AS units, CAST(sum(n_rows) AS BIGINT) AS rows FROM st GROUP BY status""")
+def q_ab_assignment_audit(spark, sf):
+    return asg.assignment_audit(_given(spark, sf), EXP_ID)
+
+
+@query("ab_assignment_problems", f"""WITH {_GIVEN_CTE}
+SELECT unit_id, status AS problem, CAST(n_rows AS BIGINT) AS n_rows, CASE WHEN n_variants > 1 THEN lo || ',' || hi ELSE lo END AS variants
+FROM st WHERE status <> 'ok'""")
+def q_ab_assignment_problems(spark, sf):
+    return asg.assignment_problems(_given(spark, sf), EXP_ID)
+
+
+@query("ab_result_given", f"""WITH {_GIVEN_CTE},
+o AS (SELECT o_custkey, count(*) AS n, sum(CAST(o_totalprice AS DECIMAL(18,2))) AS rev FROM orders WHERE {IN_WINDOW} GROUP BY 1),
+g AS (SELECT st.lo AS variant, count(*) AS units, count(n) AS converted, coalesce(sum(n), 0) AS orders, coalesce(sum(rev), 0) AS revenue
+      FROM st JOIN customer ON st.unit_id = c_custkey LEFT JOIN o ON st.unit_id = o.o_custkey WHERE status IN ('ok', 'repeated') GROUP BY 1)
+SELECT variant, CAST(units AS BIGINT) AS units, CAST(converted AS BIGINT) AS converted, CAST(orders AS BIGINT) AS orders,
+       CAST(revenue AS DECIMAL(18,2)) AS revenue, round(converted / units, 4) AS cvr, round(orders / units, 4) AS orders_per_unit,
+       round(CAST(revenue AS DOUBLE) / units, 4) AS revenue_per_unit FROM g""")
+def q_ab_result_given(spark, sf):
+    return res.result_total(read_table(spark, sf, "customer"), read_table(spark, sf, "orders"), EXP_ID, WINDOW_START, WINDOW_END,
+                            assignments=asg.from_table(_given(spark, sf), EXP_ID))

@@ -60,7 +60,7 @@ SELECT q.o_orderstatus, round(q1, 4) AS q1, round(median, 4) AS median, round(q3
 FROM orders JOIN q ON orders.o_orderstatus = q.o_orderstatus
 GROUP BY q.o_orderstatus, q1, median, q3""")
 def q_box_stats(spark, sf):
-    return P.box_stats(read_table(spark, sf, "orders"), "o_totalprice", "o_orderstatus", "o_orderkey")
+    return P.box_stats(read_table(spark, sf, "orders"), "o_totalprice", "o_orderstatus")
 
 
 @query("scatter_sample", """
@@ -80,8 +80,8 @@ def q_correlation(spark, sf):
 
 @query("rfm_segments", """
 WITH per AS (SELECT o_custkey AS c_custkey, max(o_orderdate) AS last_ts, count(*) AS freq,
-                    sum(CAST(o_totalprice AS DECIMAL(18,2))) AS mon FROM orders GROUP BY 1),
-t AS (SELECT c_custkey, CAST(ntile(5) OVER (ORDER BY last_ts, c_custkey) AS INTEGER) AS r,
+                    coalesce(sum(CAST(o_totalprice AS DECIMAL(18,2))), 0) AS mon FROM orders WHERE o_custkey IS NOT NULL GROUP BY 1),
+t AS (SELECT c_custkey, CAST(ntile(5) OVER (ORDER BY last_ts NULLS FIRST, c_custkey) AS INTEGER) AS r,
              CAST(ntile(5) OVER (ORDER BY freq, c_custkey) AS INTEGER) AS f,
              CAST(ntile(5) OVER (ORDER BY mon, c_custkey) AS INTEGER) AS m FROM per)
 SELECT c_custkey, r, f, m, CAST(r AS VARCHAR) || CAST(f AS VARCHAR) || CAST(m AS VARCHAR) AS segment FROM t""")
@@ -128,3 +128,29 @@ def q_metric_registry(spark, sf):
 @query("price_model")
 def q_price_model(spark, sf):
     return M.price_model(read_table(spark, sf, "part"))
+
+
+_PRICE_CTE = """
+r AS (SELECT p_partkey, p_brand, p_retailprice, CAST(coalesce(p_size, 0) AS DOUBLE) AS x, CAST(CAST(p_retailprice AS DECIMAL(12,2)) AS DOUBLE) AS y,
+             ('0x' || substr(md5(CAST(p_partkey AS VARCHAR)), 1, 7))::BIGINT % 5 = 0 AS held_out FROM part),
+t AS (SELECT * FROM r WHERE NOT held_out AND y IS NOT NULL),
+c AS (SELECT p_brand, avg(x) AS mx, avg(y) AS my FROM t GROUP BY p_brand),
+s AS (SELECT coalesce(sum((x - mx) * (y - my)) / nullif(sum((x - mx) * (x - mx)), 0), 0) AS slope
+      FROM t JOIN c ON t.p_brand IS NOT DISTINCT FROM c.p_brand),
+a AS (SELECT avg(x) AS ax, avg(y) AS ay FROM t),
+p AS (SELECT p_partkey, p_retailprice, held_out, round(coalesce(my - slope * mx, ay - slope * ax) + slope * x, 4) AS prediction
+      FROM r LEFT JOIN c ON r.p_brand IS NOT DISTINCT FROM c.p_brand, s, a)"""
+
+
+@query("price_regression", f"WITH {_PRICE_CTE}\nSELECT p_partkey, prediction, held_out FROM p")
+def q_price_regression(spark, sf):
+    return M.price_regression(read_table(spark, sf, "part")).select("p_partkey", "prediction", "held_out")
+
+
+@query("price_evaluation", f"""WITH {_PRICE_CTE}
+SELECT held_out, CAST(count(*) AS BIGINT) AS parts, round(avg(abs(prediction - p_retailprice)), 4) AS mae,
+       round(sqrt(avg(power(prediction - p_retailprice, 2))), 4) AS rmse,
+       round(1 - avg(power(prediction - p_retailprice, 2)) / nullif(var_pop(p_retailprice), 0), 4) AS r2
+FROM p WHERE p_retailprice IS NOT NULL GROUP BY held_out""")
+def q_price_evaluation(spark, sf):
+    return M.price_evaluation(M.price_regression(read_table(spark, sf, "part")))

@@ -6,7 +6,8 @@ never to a machine-local temp folder, so executors on any host can read them bac
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from splitlens.session import shared_dir
@@ -21,24 +22,54 @@ EVENTS_SCHEMA = T.StructType([
 ])
 
 
-# white space, empty strings, NULLs, quotes and line breaks all survive the round trip
-_LOSSLESS = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "nullValue": "\\N",
-             "emptyValue": "", "escape": '"', "quoteAll": "true", "lineSep": "\n"}
+# Every record is one line, so files split between tasks: inside strings a backslash, line feed and carriage return
+# are written as the two characters on the right (in this order), and NULL as the mark no encoded string can equal.
+_ESCAPES = (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"))
+_NULL = "\\N"
+_FORMAT = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "nullValue": _NULL,
+           "emptyValue": "", "escape": '"', "quoteAll": "true", "lineSep": "\n"}
+
+
+def _strings(schema: T.StructType) -> set[str]:
+    return {f.name for f in schema.fields if isinstance(f.dataType, T.StringType)}
+
+
+def _encoded(name: str) -> Column:
+    c = F.col(name)
+    for plain, mark in _ESCAPES:
+        c = F.replace(c, F.lit(plain), F.lit(mark))
+    return c.alias(name)
+
+
+def _decoded(name: str) -> Column:
+    """Undo ``_encoded``: the pieces between doubled backslashes hold no other escaped backslash."""
+    def plain(piece: Column) -> Column:
+        for raw, mark in _ESCAPES[1:]:
+            piece = F.replace(piece, F.lit(mark), F.lit(raw))
+        return piece
+
+    pieces = F.split(F.col(name), r"\\\\", -1)
+    return F.when(F.instr(F.col(name), "\\") == 0, F.col(name)).otherwise(F.array_join(F.transform(pieces, plain), "\\")).alias(name)
 
 
 def write_csv(df: DataFrame, path: str, sep: str = ",") -> str:
-    (df.write.mode("overwrite").options(**_LOSSLESS).option("header", True).option("sep", sep)
+    """Delimited text with a header; strings are encoded so that ``read_csv`` gives back what was written."""
+    strings = _strings(df.schema)
+    (df.select(*[_encoded(c) if c in strings else F.col(c) for c in df.columns])
+       .write.mode("overwrite").options(**_FORMAT).option("header", True).option("sep", sep)
        .option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
        .csv(path))
     return path
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType, sep: str = ",") -> DataFrame:
-    """Read delimited text with a declared schema (no inference pass over the data)."""
-    return (spark.read.schema(schema).options(**_LOSSLESS).option("header", True).option("sep", sep)
-            .option("mode", "FAILFAST").option("multiLine", True)
-            .option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]")
-            .csv(path))
+    """Read delimited text of ``write_csv`` with a declared schema (no inference pass over the data); a file is split
+    between tasks at line breaks."""
+    raw = (spark.read.schema(schema).options(**_FORMAT).option("header", True).option("sep", sep)
+           .option("mode", "FAILFAST").option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]")
+           .csv(path))
+    strings = _strings(schema)
+    return raw.select(*[_decoded(c) if c in strings else F.col(c) for c in raw.columns])
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None) -> str:

@@ -30,6 +30,6 @@ def test_queries_and_oracles_line_up(spark):
     q, o = m.queries(), m.oracle_sql()
     assert set(o) <= set(q)
     own = {k for k in set(q) - set(o) if k in QUERIES}
-    assert own == {"churn_model", "price_model"}
+    assert own == {"churn_model", "churn_evaluation", "price_model"}
     df = q["ab_cvr"](spark, SF001)
     assert df.count() == 2

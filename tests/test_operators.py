@@ -31,21 +31,8 @@ def test_row_numbers_match_window(spark, seed):
     assert _rows(got, cols) == _rows(exp, cols)
 
 
-def test_ntile_and_percent_rank_match_sql(spark):
-    rnd = random.Random(3)
-    data = [(rnd.randint(0, 20), i) for i in range(1003)]
-    df = spark.createDataFrame(data, "v int, k long")
-    got = R.ntile(df, ["v", "k"], 5, "t")
-    exp = df.withColumn("t", F.ntile(5).over(Window.orderBy("v", "k")))
-    assert _rows(got, ["k", "t"]) == _rows(exp, ["k", "t"])
-    got = R.percent_rank(df, "v", ["k"], "pr")
-    exp = df.withColumn("pr", F.percent_rank().over(Window.orderBy("v")))
-    assert _rows(got, ["k", "pr"]) == _rows(exp, ["k", "pr"])
-
-
-@pytest.mark.parametrize("method,bucket_gaps", [("bucketed", 1), ("bucketed", 3),
-                                                ("bucketed", 4), ("ranked", 4)])
-def test_transitions_match_naive_lag(spark, method, bucket_gaps):
+@pytest.mark.parametrize("bucket_gaps", [1, 3, 4])
+def test_transitions_match_naive_lag(spark, bucket_gaps):
     base = dt.datetime(2024, 1, 1)
     rnd = random.Random(5)
     data, eid = [], 0
@@ -57,7 +44,7 @@ def test_transitions_match_naive_lag(spark, method, bucket_gaps):
             data.append((eid, t, user, rnd.choice(["view", "click", "purchase"])))
             eid += 1
     ev = spark.createDataFrame(data, "event_id long, ts timestamp_ntz, user_id long, event_type string")
-    got = B.transitions(ev, bucket_gaps=bucket_gaps, method=method)
+    got = B.transitions(ev, bucket_gaps=bucket_gaps)
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     naive = (ev.withColumn("pt", F.lag("event_type").over(w)).withColumn("pts", F.lag("ts").over(w))
              .filter(F.col("pts").isNotNull()
@@ -147,13 +134,22 @@ def test_funnel_times_match_a_walk_over_each_user_day(spark, steps):
         assert {tuple(r) for r in got.collect()} == reached[k]
 
 
-def test_percent_rank_when_nearly_all_tie(spark):
-    rnd = random.Random(4)
-    data = [(rnd.choice(["a", "b"]), None if rnd.random() < 0.02 else (7 if rnd.random() < 0.9 else rnd.randint(0, 20)), i) for i in range(3000)]
-    df = spark.createDataFrame(data, "g string, v int, k long")
-    for part in ([], ["g"]):
-        w = Window.partitionBy(*(part or [F.lit(0)])).orderBy("v")
-        got = R.percent_rank(df.repartition(6), "v", ["k"], "pr", part)
-        assert _rows(got, ["k", "pr"]) == _rows(df.withColumn("pr", F.percent_rank().over(w)), ["k", "pr"])
-    numbered = R.numbered_partitions(df, ["v", "k"], (), 6)
-    assert numbered.select("_pid").distinct().count() == 6       # the tied value spans several partitions
+def test_transitions_leave_anonymous_events_out(spark):
+    base = dt.datetime(2024, 1, 1)
+    data = [(1, base, None, "view"), (2, base + dt.timedelta(seconds=5), None, "click"), (3, base, 7, "view"), (4, base + dt.timedelta(seconds=5), 7, "click")]
+    ev = spark.createDataFrame(data, "event_id long, ts timestamp_ntz, user_id long, event_type string")
+    assert _rows(B.transitions(ev), ["from_type", "to_type", "n"]) == [("view", "click", 1)]
+
+
+@pytest.mark.parametrize("block", [1, 3, 1 << 16])
+def test_transitions_of_one_instant_in_blocks_of_ids(spark, block):
+    """A flood of events with one time stamp is split by blocks of ids without losing a neighbour."""
+    base = dt.datetime(2024, 1, 1)
+    rnd = random.Random(6)
+    data = [(i * 2, base + dt.timedelta(microseconds=rnd.choice([0, 0, 0, 1, 700_000])), i % 2, rnd.choice("abc")) for i in range(500)]
+    ev = spark.createDataFrame(data, "event_id long, ts timestamp_ntz, user_id long, event_type string")
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    exp = (ev.withColumn("from_type", F.lag("event_type").over(w)).filter(F.col("from_type").isNotNull())
+           .groupBy("from_type", F.col("event_type").alias("to_type")).count().withColumnRenamed("count", "n"))
+    cols = ["from_type", "to_type", "n"]
+    assert _rows(B.transitions(ev, id_block=block), cols) == _rows(exp, cols)

@@ -94,8 +94,7 @@ def test_funnel_other_steps(spark, con):
     assert r["ok"], r
 
 
-@pytest.mark.parametrize("method", ["bucketed", "ranked"])
-def test_transitions_ten_minute_gap(spark, con, method):
+def test_transitions_ten_minute_gap(spark, con):
     sql = """
     WITH l AS (SELECT event_type, ts,
                       lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p_type,
@@ -104,7 +103,7 @@ def test_transitions_ten_minute_gap(spark, con, method):
     WHERE p_ts IS NOT NULL AND date_diff('microsecond', p_ts, ts) <= 600000000 GROUP BY 1, 2"""
     from splitlens.operators import behaviour as B
     r = compare(spark, con, "tr10", SF01,
-                lambda s, d: B.transitions(read_table(s, d, "events"), 600, method=method), sql)
+                lambda s, d: B.transitions(read_table(s, d, "events"), 600), sql)
     assert r["ok"], r
 
 

@@ -47,11 +47,12 @@ def test_funnel_one_scan_no_join(spark):
     assert "Join" not in plan
 
 
-def test_ranks_use_no_global_sql_window(spark):
+def test_ranks_and_quantiles_do_not_sort_the_rows(spark):
     for key in ("rfm_segments", "user_score", "box_stats"):
         plan = final_plan(QUERIES[key](spark, SF01))
         assert "ntile(" not in plan and "percent_rank(" not in plan and "row_number()" not in plan, key
-        assert "rangepartitioning" in formatted(QUERIES[key](spark, SF01)) or "Scan ExistingRDD" in plan
+        assert "rangepartitioning" not in formatted(QUERIES[key](spark, SF01)), key
+    assert "ExistingRDD" not in final_plan(QUERIES["user_score"](spark, SF01))     # nothing is checkpointed
 
 
 def test_dedup_is_an_aggregate_not_a_window(spark):
