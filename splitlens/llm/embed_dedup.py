@@ -4,8 +4,8 @@ Vectors are normalised in double precision, padded to a power of two and turned
 random signs and a fast Hadamard transform; the hash is the signed axis nearest to the result, two
 hashes with independent rotations make one bucket code of a table.  Multiprobe: in every table a
 vector is also put in the buckets whose code changes one hash to its next nearest axes, so a vector
-is a member of ``TABLES * (1 + PROBES)`` buckets.  Every pair of a bucket is compared by its exact
-cosine.  A pair that meets in several buckets counts only in the least of its common bucket codes,
+is a member of ``TABLES * (1 + PROBES)`` buckets.  Only ids go to all of these; vectors follow to the buckets that hold
+more than one.  Every pair of a bucket is compared by its exact cosine.  A pair that meets in several buckets counts only in the least of its common bucket codes,
 so links are counted where they are found and pairs are never written out.
 
 Equal vectors collapse to one class with a weight first.  A bucket of more than ``TILE`` classes is
@@ -200,14 +200,15 @@ def embedding_links(vectors: DataFrame, threshold: float = THRESHOLD, tables: in
 
     members = materialise(classes.mapInArrow(_hash(tables, probes, seed),
                                              "rep long, weight long, unit binary, codes binary, buckets array<long>"), "ed-codes")
-    spread = members.select("rep", "weight", "unit", "codes", F.explode("buckets").alias("bucket"))
-    big = materialise(members.select(F.explode("buckets").alias("bucket")).groupBy("bucket").count().filter(F.col("count") > tile)
-                      .select("bucket", F.ceil(F.col("count") / tile).cast("int").alias("stripes")), "ed-big")
-    tiles = (spread.join(big, "bucket", "left").withColumn("stripes", F.coalesce("stripes", F.lit(1)))
+    # ids alone go to the buckets; vectors follow only to buckets where they meet another
+    spread = members.select("rep", F.explode("buckets").alias("bucket"))
+    shared = materialise(spread.groupBy("bucket").count().filter("count > 1")
+                         .select("bucket", F.ceil(F.col("count") / tile).cast("int").alias("stripes")), "ed-shared")
+    tiles = (spread.join(shared, "bucket")
              .withColumn("stripe", F.pmod(F.xxhash64("rep"), F.col("stripes")).cast("int"))
              .withColumn("other", F.explode(F.expr("sequence(0, stripes - 1)")))
-             .select("rep", "weight", "unit", "codes", "bucket", "stripe",
-                     F.least("stripe", "other").alias("lo"), F.greatest("stripe", "other").alias("hi")))
+             .select("rep", "bucket", "stripe", F.least("stripe", "other").alias("lo"), F.greatest("stripe", "other").alias("hi"))
+             .join(members.select("rep", "weight", "unit", "codes"), "rep"))
     found = materialise(tiles.withColumn("slot", F.pmod(F.xxhash64("bucket", "lo", "hi"), F.lit(n_slots)).cast("int"))
                         .groupBy("slot").applyInArrow(_compare(tables * (1 + probes), threshold), "rep long, links long, root long"), "ed-found")
     part = connected_components(found, "rep", "root").withColumnRenamed("node", "rep")

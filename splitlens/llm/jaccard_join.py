@@ -8,22 +8,20 @@ at the threshold share one of their rarest ``n - ceil(t n) + 1`` tokens, whateve
 "rare" means, as long as all documents use the same one).  In each block an R-tree over the points
 prunes node pairs and point pairs by the bound, and survivors are verified on the whole sets.
 
-Where the point is as good as unrelated documents can get, it is refined: ``bits`` is a count vector of at least eight
-groups per token with counts cut at one; a count above one is added back as surplus, so that tokens of one document
-in groups the other lacks bound the overlap.
+Pairs that pass are bounded once more with ``bits``, a count vector of at least four groups per token with counts cut at
+one: the tokens of one document in groups the other lacks are not shared.
 
 Steps, all on Spark:
 
-1. One row per document: set size, 128-bit set digest, count vector and bits; and counts of hashed token
+1. One row per document: set size, 128-bit set digest and count vector; and counts of hashed token
    cells, summed to a fixed-size table of commonness levels.
 2. Prefix tokens, packed by hash slot and shuffled; blocks with two different sets remain, blocks
    of the same members once.
 3. Star round: two members of each block are its pivots, the one with the most company and one by hash, and every
-   other member is paired with them.  These pairs, few for each member, are pruned by both bounds and
-   verified; the links found give components.
+   other member of a possible size is paired with them.  These pairs, few for each member, are pruned by both bounds
+   and verified; the links found give components.
 4. Last round: in the blocks that still span several components, an R-tree over the points gives the pairs of
-   different components within the bound; the bits prune them before they leave the task, and survivors are verified.
-   A block of more than ``TILE`` members is dealt by hash into tiles, and each two tiles are a group of their own.
+   different components within the bound; survivors of the second bound are verified.  A block of more than ``TILE`` members is dealt by hash into tiles, and each two tiles are a group of their own.
 
 Sets in one component need no further comparison, so a group of near copies costs a few
 verifications per member, and equal sets cost none.  Skew: equal sets collapse to one class
@@ -46,12 +44,12 @@ from splitlens.llm.components import connected_components
 from splitlens.llm.textkernel import mix, shingle_sets, utf8
 
 PERCENT = 80           # similarity threshold
-GROUPS = 64            # coordinates of a point
+GROUPS = 256           # coordinates of a point
 CELL_BITS = 20         # hashed cells of the commonness table (fixed size: one byte each)
 SLICES = 64            # the cell counts travel in so many pieces
 FANOUT = 16            # children of an R-tree node
 TILE = 2048            # members of a block that meet in one group, twice
-_MEMBER = np.dtype([("token", "<i8"), ("cls", "<i8")])
+_MEMBER = np.dtype([("token", "<i8"), ("cls", "<i8"), ("n", "<i4")])
 
 
 # ---------------------------------------------------------------- points
@@ -64,13 +62,24 @@ def _digest(s: np.ndarray) -> tuple[int, int]:
     return a - (1 << 64) if a >> 63 else a, b - (1 << 64) if b >> 63 else b
 
 
-def count_vector(s: np.ndarray, groups: int = GROUPS) -> np.ndarray:
-    return np.bincount(((s >> np.uint64(CELL_BITS)) % np.uint64(groups)).astype(np.int64), minlength=groups).astype("<u4")
+def count_vector(s: np.ndarray) -> np.ndarray:
+    """Tokens in each of GROUPS groups, a byte each; of a set with more than 255 in one, in half as many groups of four bytes."""
+    counts = np.bincount(((s >> np.uint64(CELL_BITS)) % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS)
+    return counts.astype("u1") if counts.max(initial=0) <= 255 else counts.reshape(2, -1).sum(axis=0).astype("<u4")
+
+
+def points_of(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """The count vectors of a column as rows of a matrix; next to a vector of fewer groups the others are folded."""
+    values = [v.as_buffer() for v in column]
+    if all(len(v) == GROUPS for v in values):
+        return np.frombuffer(b"".join(values), dtype="u1").reshape(-1, GROUPS)
+    rows = [np.frombuffer(v, "u1").reshape(2, -1).sum(axis=0, dtype="<u4") if len(v) == GROUPS else np.frombuffer(v, "<u4") for v in values]
+    return np.stack(rows)
 
 
 def group_bits(s: np.ndarray) -> np.ndarray:
-    """Which of 8 n to 16 n groups hold a token, as 64-bit words; folding the halves together halves the groups."""
-    size = 1 << max(6, (8 * len(s) - 1).bit_length())
+    """Which of 4 n to 8 n groups hold a token, as 64-bit words; folding the halves together halves the groups."""
+    size = 1 << max(6, (4 * len(s) - 1).bit_length())
     held = np.zeros(size, dtype=bool)
     held[((s >> np.uint64(24)) & np.uint64(size - 1)).astype(np.int64)] = True
     return np.packbits(held, bitorder="little").view("<u8")
@@ -110,21 +119,20 @@ class BitRows:
         return out
 
 
-_POINTS = "doc_id long, n long, cls long, cls2 long, point binary, bits binary, slice int, cells binary"
+_POINTS = "doc_id long, n long, cls long, cls2 long, point binary, slice int, cells binary"
 
 
 def _points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cells = np.zeros(1 << CELL_BITS, dtype=np.int64)
     seen = False
     for batch in batches:
-        n, d1, d2, points, bits = [], [], [], [], []
+        n, d1, d2, points = [], [], [], []
         for s in shingle_sets(*utf8(batch.column("text"))):
             a, b = _digest(s)
             n.append(len(s))
             d1.append(a)
             d2.append(b)
             points.append(count_vector(s).tobytes() if len(s) else None)
-            bits.append(group_bits(s).tobytes() if len(s) else None)
             if len(s):
                 seen = True
                 if len(s) > 20_000:
@@ -134,14 +142,14 @@ def _points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = batch.num_rows
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()),
-             pa.array(points, pa.binary()), pa.array(bits, pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())],
-            names=["doc_id", "n", "cls", "cls2", "point", "bits", "slice", "cells"])
+             pa.array(points, pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())],
+            names=["doc_id", "n", "cls", "cls2", "point", "slice", "cells"])
     if seen:
         part = cells.reshape(SLICES, -1)
         yield pa.RecordBatch.from_arrays(
-            [pa.nulls(SLICES, pa.int64())] * 4 + [pa.nulls(SLICES, pa.binary())] * 2
+            [pa.nulls(SLICES, pa.int64())] * 4 + [pa.nulls(SLICES, pa.binary())]
             + [pa.array(range(SLICES), pa.int32()), pa.array([p.astype("<i8").tobytes() for p in part], pa.binary())],
-            names=["doc_id", "n", "cls", "cls2", "point", "bits", "slice", "cells"])
+            names=["doc_id", "n", "cls", "cls2", "point", "slice", "cells"])
 
 
 def _sum_cells(rows: pa.Table) -> pa.Table:
@@ -183,7 +191,7 @@ def _prefixes(levels_of, n_slots: int, percent: int):
         levels = np.frombuffer(levels_of.value, dtype=np.uint8)
         seen: set[int] = set()  # digests of this task's sets: equal sets are sent once
         for batch in batches:
-            tokens, owners, counts = [], [], []
+            tokens, owners, counts, sizes = [], [], [], []
             for s in shingle_sets(*utf8(batch.column("text"))):
                 if len(s):
                     d = _digest(s)[0]
@@ -192,11 +200,13 @@ def _prefixes(levels_of, n_slots: int, percent: int):
                         tokens.append(prefix(s, levels, percent))
                         owners.append(d)
                         counts.append(len(tokens[-1]))
+                        sizes.append(len(s))
             if not tokens:
                 continue
             rows = np.empty(sum(counts), dtype=_MEMBER)
             rows["token"] = np.concatenate(tokens).view(np.int64)
             rows["cls"] = np.repeat(np.array(owners, dtype=np.int64), counts)
+            rows["n"] = np.repeat(np.array(sizes, dtype=np.int32), counts)
             slot = (rows["token"].view(np.uint64) & np.uint64(0xFFFFFFFF)) * np.uint64(n_slots) >> np.uint64(32)
             names, data = pack_by_slot(rows, slot.astype(np.int32))
             yield pa.RecordBatch.from_arrays([names, data], names=["slot", "data"])
@@ -204,22 +214,22 @@ def _prefixes(levels_of, n_slots: int, percent: int):
 
 
 def _blocks(rows: pa.Table) -> pa.Table:
-    """Members of the blocks of one slot: (block, set).  Blocks of one set are left out; a block is
+    """Members of the blocks of one slot: (block, set, its size).  Blocks of one set are left out; a block is
     named by its member list, so that repeats of a list fall together."""
     m = unpack(rows.column("data"), _MEMBER)
     order = np.lexsort((m["cls"], m["token"]))
-    token, cls = m["token"][order], m["cls"][order]
+    token, cls, n = m["token"][order], m["cls"][order], m["n"][order].astype(np.int64)
     if not len(token):
-        return pa.table({"block": token, "cls": cls})
+        return pa.table({"block": token, "cls": cls, "n": n})
     new = np.r_[True, (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])]
-    token, cls = token[new], cls[new]
+    token, cls, n = token[new], cls[new], n[new]
     bounds = runs(token)
     size = np.diff(bounds)
     name = mix(np.add.reduceat(mix(cls.view(np.uint64)), bounds[:-1]) + size.astype(np.uint64)).view(np.int64)
     keep = np.zeros(len(size), dtype=bool)
     keep[np.unique(name, return_index=True)[1]] = True
     live = np.repeat(keep & (size > 1), size)
-    return pa.table({"block": np.repeat(name, size)[live], "cls": cls[live]})
+    return pa.table({"block": np.repeat(name, size)[live], "cls": cls[live], "n": n[live]})
 
 
 # ---------------------------------------------------------------- R-tree
@@ -249,7 +259,7 @@ class CountTree:
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray, label: np.ndarray):
         self.order = str_order(points, sizes)
-        self.top = [points[self.order].astype(np.int64)]
+        self.top = [points[self.order]]
         self.small = [sizes[self.order].astype(np.int64)]
         self.lo, self.hi = [label[self.order]], [label[self.order]]
         while len(self.small[-1]) > 1:
@@ -272,7 +282,7 @@ class CountTree:
             lo, hi = self.lo[level], self.hi[level]
             one = (lo[a] == hi[a]) & (lo[b] == hi[b]) & (lo[a] == lo[b])
             a, b = a[~one], b[~one]
-            bound = np.minimum(self.top[level][a], self.top[level][b]).sum(axis=1)
+            bound = np.minimum(self.top[level][a], self.top[level][b]).sum(axis=1, dtype=np.int64)
             good = linked(bound, self.small[level][a], self.small[level][b], percent)
             a, b = a[good], b[good]
             if not len(a):
@@ -293,58 +303,63 @@ def _words(column: pa.ChunkedArray) -> list[np.ndarray]:
 
 
 def _candidates(percent: int):
-    """Pairs of sets of different components in the groups of a slot, within both bounds."""
+    """Pairs of sets of different components in the groups of a slot, within the bound of their points."""
     def run(rows: pa.Table) -> pa.Table:
         group = rows.column("group").to_numpy()
         order = np.argsort(group, kind="stable")
         bounds = runs(group[order])
         cls, n, comp = (rows.column(c).to_numpy()[order] for c in ("cls", "n", "component"))
-        points = unpack(rows.column("point"), "<u4").reshape(-1, GROUPS)[order]
-        bits = _words(rows.column("bits"))
+        points = points_of(rows.column("point"))[order]
         found = [np.zeros((0, 2), dtype=np.int64)]
         for a, b in zip(bounds[:-1], bounds[1:]):
-            fine = None
             for i, j in CountTree(points[a:b], n[a:b], comp[a:b]).pairs(percent):
                 apart = comp[a:b][i] != comp[a:b][j]
-                i, j = i[apart], j[apart]
-                fine = fine or BitRows([bits[k] for k in order[a:b]], n[a:b])
-                close = linked(fine.bounds(i, j), n[a:b][i], n[a:b][j], percent)
-                found.append(np.sort(np.stack([cls[a:b][i[close]], cls[a:b][j[close]]], axis=1), axis=1))
+                found.append(np.sort(np.stack([cls[a:b][i[apart]], cls[a:b][j[apart]]], axis=1), axis=1))
         pairs = np.unique(np.concatenate(found), axis=0)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
     return run
 
 
-def _prune(percent: int):
-    """The pairs within both bounds."""
+def _near_points(percent: int):
+    """The pairs within the bound of their points."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m = batch.num_rows
+            both = points_of(pa.chunked_array([batch.column("point_a"), batch.column("point_b")]))
+            keep = linked(np.minimum(both[:m], both[m:]).sum(axis=1, dtype=np.int64), batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy(), percent)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    return run
+
+
+def _near_bits(percent: int):
+    """The pairs within the bound of their bits."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             m = batch.num_rows
             n = np.concatenate([batch.column(f"n_{x}").to_numpy() for x in "ab"])
-            point = [unpack(batch.column(f"point_{x}"), "<u4").reshape(-1, GROUPS) for x in "ab"]
-            keep = linked(np.minimum(*point).sum(axis=1), n[:m], n[m:], percent)
-            i = np.flatnonzero(keep)
-            if len(i):
-                fine = BitRows([w for x in "ab" for w in _words(batch.column(f"bits_{x}"))], n)
-                keep[i] = linked(fine.bounds(i, i + m), n[i], n[i + m], percent)
+            words = [np.frombuffer(v.as_buffer(), dtype="<u8") for x in "ab" for v in batch.column(f"bits_{x}")]
+            i = np.arange(m)
+            keep = linked(BitRows(words, n).bounds(i, i + m), n[:m], n[m:], percent) if m else i
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
     return run
 
 
-def _star_pairs(blocks: DataFrame) -> DataFrame:
+def _star_pairs(blocks: DataFrame, percent: int) -> DataFrame:
     """Each member of a block with the block's two pivots: the member that meets the most others over all its blocks (of a
     group of edited copies that is the text they were made from), and one by hash."""
     sizes = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("size"))
     company = blocks.join(materialise(sizes, "jj-sizes"), "block").groupBy("cls").agg(F.sum(F.col("size") - 1).alias("company"))
     ranked = blocks.join(materialise(company, "jj-company"), "cls")
-    most, hashed = F.max(F.struct("company", "cls")), F.max(F.struct(F.xxhash64("cls"), "cls"))
-    pivots = ranked.groupBy("block").agg(F.array_distinct(F.array(most.getField("cls"), hashed.getField("cls"))).alias("pivots"))
-    pairs = blocks.join(materialise(pivots, "jj-pivots"), "block").select("cls", F.explode("pivots").alias("pivot")).filter("cls <> pivot")
-    return pairs.select(F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b")).distinct()
+    most, hashed = F.max(F.struct("company", "cls", "n")), F.max(F.struct(F.xxhash64("cls"), "cls", "n"))
+    chosen = [p.getField(c).alias(c) for p in (most, hashed) for c in ("cls", "n")]
+    pivots = ranked.groupBy("block").agg(F.array_distinct(F.array(F.struct(*chosen[:2]), F.struct(*chosen[2:]))).alias("pivots"))
+    pairs = blocks.join(materialise(pivots, "jj-pivots"), "block").select("cls", "n", F.explode("pivots").alias("p")).filter("cls <> p.cls")
+    pairs = pairs.filter(100 * F.least("n", "p.n") >= percent * F.greatest("n", "p.n"))  # of other sizes none can link
+    return pairs.select(F.least("cls", "p.cls").alias("a"), F.greatest("cls", "p.cls").alias("b")).distinct()
 
 
 def _tiles(blocks: DataFrame) -> DataFrame:
-    """(group, cls, component): blocks of at most ``TILE`` members are a group; larger ones are dealt into tiles by hash, and each
+    """(group, cls, n, component): blocks of at most ``TILE`` members are a group; larger ones are dealt into tiles by hash, and each
     two tiles are a group, so that every two members still meet."""
     sizes = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("size"))
     tiles = F.ceil(F.col("size") / TILE).cast("int")
@@ -352,7 +367,7 @@ def _tiles(blocks: DataFrame) -> DataFrame:
     dealt = (blocks.join(materialise(sizes, "jj-mixed-sizes"), "block").withColumn("tiles", tiles).withColumn("tile", own)
              .withColumn("other", F.explode(F.when(F.col("tiles") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("tiles") - 1)))))
     one = F.when(F.col("tiles") == 1, F.col("block")).otherwise(F.xxhash64("block", F.least("tile", "other"), F.greatest("tile", "other")))
-    return dealt.select(one.alias("group"), "cls", "component")
+    return dealt.select(one.alias("group"), "cls", "n", "component")
 
 
 # ---------------------------------------------------------------- verification
@@ -370,15 +385,16 @@ def _open_set(blob: bytes) -> np.ndarray:
 
 
 def _own_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keep the rows whose text has the set they were asked for (ids may repeat)."""
+    """Keep the rows whose text has the set they were asked for (ids may repeat); add its bits."""
     for batch in batches:
         rows = []
         for body, cls in zip(batch.column("body"), batch.column("cls").to_pylist()):
             s = _open_set(body.as_buffer())
             if _digest(s)[0] == cls:
-                rows.append((cls, body.as_py()))
+                rows.append((cls, len(s), group_bits(s).tobytes(), body.as_py()))
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary()))], names=["cls", "body"])
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["cls", "n", "bits", "body"])
 
 
 def _verify(percent: int):
@@ -402,12 +418,14 @@ def _sides(bodies: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
     return tuple(bodies.select(F.col("cls").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in columns)) for x in "ab")
 
 
-def _links(close: DataFrame, known: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs ``close`` whose whole sets reach the threshold."""
-    ids = close.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+def _links(pairs: DataFrame, known: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs that reach the threshold: bits first, then the whole sets."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
     wanted = materialise(ids.join(classes.select("cls", "rep"), "cls").select("cls", F.col("rep").alias("doc_id")), "jj-wanted")
     bodies = materialise(known.mapInArrow(_squeeze, "doc_id long, body binary").join(wanted, "doc_id").select("cls", "body")
-                         .mapInArrow(_own_digest, "cls long, body binary").dropDuplicates(["cls"]), "jj-bodies")
+                         .mapInArrow(_own_digest, "cls long, n long, bits binary, body binary").dropDuplicates(["cls"]), "jj-bodies")
+    bits_a, bits_b = _sides(bodies, "n", "bits")
+    close = materialise(pairs.join(bits_a, "a").join(bits_b, "b").mapInArrow(_near_bits(percent), "a long, b long"), "jj-close")
     body_a, body_b = _sides(bodies, "body")
     return materialise(close.join(body_a, "a").join(body_b, "b").mapInArrow(_verify(percent), "a long, b long"), "jj-links")
 
@@ -427,22 +445,21 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     members = points.filter("slice IS NULL").select("doc_id", "n", "cls", "cls2")
     levels = spark.sparkContext.broadcast(commonness_levels(points).tobytes())
     classes = materialise(points.filter("slice IS NULL AND n > 0 AND doc_id IS NOT NULL").groupBy("n", "cls", "cls2")
-                          .agg(F.min("doc_id").alias("rep"), F.first("point").alias("point"), F.first("bits").alias("bits")), "jj-classes")
+                          .agg(F.min("doc_id").alias("rep"), F.first("point").alias("point")), "jj-classes")
 
     known = docs.filter("text IS NOT NULL AND doc_id IS NOT NULL")
     blocks = materialise(known.mapInArrow(_prefixes(levels, n_slots, percent), "slot int, data binary")
-                         .groupBy("slot").applyInArrow(_blocks, "block long, cls long").distinct(), "jj-blocks")
+                         .groupBy("slot").applyInArrow(_blocks, "block long, cls long, n long").distinct(), "jj-blocks")
 
-    vectors = classes.select("cls", "n", "point", "bits")
-    a, b = _sides(vectors, "n", "point", "bits")
-    close = materialise(_star_pairs(blocks).join(a, "a").join(b, "b").mapInArrow(_prune(percent), "a long, b long"), "jj-star")
-    links = _links(close, known, classes, percent)
+    a, b = _sides(classes, "n", "point")
+    star = _star_pairs(blocks, percent).join(a, "a").join(b, "b").mapInArrow(_near_points(percent), "a long, b long")
+    links = _links(materialise(star, "jj-star"), known, classes, percent)
     part = materialise(connected_components(links).withColumnRenamed("node", "cls"), "jj-part")
 
-    labelled = materialise(blocks.join(part, "cls", "left").select("block", "cls", F.coalesce("component", "cls").alias("component")), "jj-labelled")
+    labelled = materialise(blocks.join(part, "cls", "left").select("block", "cls", "n", F.coalesce("component", "cls").alias("component")), "jj-labelled")
     mixed = labelled.groupBy("block").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("block")
     open_blocks = labelled.join(materialise(mixed, "jj-mixed"), "block")
-    pairs = (_tiles(open_blocks).join(vectors, "cls").select("group", "cls", "component", "n", "point", "bits")
+    pairs = (_tiles(open_blocks).join(classes.select("cls", "point"), "cls").select("group", "cls", "component", "n", "point")
              .withColumn("slot", F.pmod(F.xxhash64("group"), F.lit(n_slots)).cast("int"))
              .groupBy("slot").applyInArrow(_candidates(percent), "a long, b long"))
     more = _links(materialise(pairs.distinct(), "jj-pairs"), known, classes, percent)

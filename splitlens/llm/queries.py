@@ -22,6 +22,11 @@ from splitlens.llm.toxicity import toxicity
 from splitlens.llm.warc_zip import pages_through_archives
 
 
+def _last(df: DataFrame, column: str) -> DataFrame:
+    """``df`` with a column beyond its contract behind the others."""
+    return df.select(*[c for c in df.columns if c != column], column)
+
+
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -31,7 +36,7 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return personal_data(table(spark, sf_dir, "documents"))
+    return _last(personal_data(table(spark, sf_dir, "documents")), "n_term")
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +56,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages_through_archives(table(spark, sf_dir, "pages"))
+    return _last(pages_through_archives(table(spark, sf_dir, "pages")), "url")
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

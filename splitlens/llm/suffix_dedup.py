@@ -11,9 +11,10 @@ first q bytes and buckets are refined by what stands at other offsets, until 100
 2. Entries meet by bucket.  Entries of one context are equal window by window: all but the first are
    covered.  Buckets of several contexts are refined: entries whose neighbours at the offsets
    before or behind the q-gram fall into no common bucket can share no window and drop out.
-3. The windows of the entries that are left are refined to full depth: the identifier of 100 bytes
-   is put together from those of q bytes at later offsets by prefix sums, and of windows in one
-   bucket all but the first are covered.
+3. The windows of the entries that are left are refined to full depth.  Initial buckets are the ``START``-byte strings at
+   every place; a bucket is refined by the identifier of the bucket as many bytes further on as it is deep, and the refined
+   identifiers are used again for the next round, until 100 bytes agree.  Of windows in one bucket all but the first
+   are covered.
 
 Contexts and windows that make bytes go are identified by two 64-bit hashes, so that even among 1e14 windows no two
 different ones are expected to be taken for equal; the hashes that only bring entries together are shorter.  Entries
@@ -35,6 +36,7 @@ from pyspark.sql import functions as F
 
 from splitlens.llm.common import binary_array, materialise, pack_by_slot, runs, slots, unpack
 from splitlens.llm.textkernel import PIECE, mix, power_tables, utf8
+from splitlens.session import drop_written
 
 LENGTH = 100
 Q = 24
@@ -44,6 +46,7 @@ _ENTRY = np.dtype([("gram", "<u4"), ("ctx", "<u8"), ("ctx2", "<u8"), ("doc", "<i
 _WINDOW = np.dtype([("id", "<u8"), ("id2", "<u8"), ("doc", "<i8"), ("at", "<u4"), ("again", "u1")])
 _PAIR = np.dtype([("a", "<u4"), ("b", "<u4")])
 _COVERED, _OPEN = 0, 1
+START = 25  # depth of the initial buckets; doubled until LENGTH
 _POS = np.uint64(PIECE - 1)
 
 
@@ -64,6 +67,18 @@ def identifiers(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix((sums[end] - sums[start]) * down[start])
 
 
+def deep_identifiers(part: np.ndarray, which: int) -> np.ndarray:
+    """Bucket identifiers of the LENGTH-byte strings at every place of a part: those of START bytes, refined by the ones that stand
+    as far on as they are deep, again and again."""
+    sums, depth = prefix_sums(part, which), START
+    at = np.arange(max(0, len(part) - START + 1))
+    ids = identifiers(sums, at, at + START)
+    while depth < LENGTH:
+        ids = mix(ids[:-depth] * np.uint64(0xA0761D6478BD642F) + ids[depth:]) if len(ids) > depth else ids[:0]
+        depth *= 2
+    return ids
+
+
 def sliding_least(values: np.ndarray, w: int) -> np.ndarray:
     """Least of every w consecutive values (block prefix and suffix minima)."""
     n = len(values) - w + 1
@@ -298,7 +313,7 @@ def _windows(n_slots: int):
                         rows = np.zeros(len(here), dtype=_WINDOW)
                         rows["doc"], rows["at"] = doc, here
                         for which, name in enumerate(("id", "id2")):
-                            rows[name] = identifiers(prefix_sums(text[a:a + PIECE + LENGTH], which), here - a, here - a + LENGTH)
+                            rows[name] = deep_identifiers(text[a:a + PIECE + LENGTH], which)[here - a]
                         found.append(rows)
             if found:
                 rows = np.concatenate(found)
@@ -354,5 +369,6 @@ def repeated_strings(docs: DataFrame) -> DataFrame:
     more = materialise(bodies.join(materialise(_by_slot(found, _OPEN, n_slots), "sd-open"), "doc_id").mapInArrow(_windows(n_slots), "slot int, data binary")
                        .groupBy("slot").applyInArrow(_first_windows, _FOUND), "sd-windows")
     ranges = materialise(_by_slot(found.unionByName(more), _COVERED, n_slots), "sd-ranges")
+    drop_written(found.unionByName(more))
     return (docs.mapInArrow(squeeze, "doc_id long, body binary").join(ranges, "doc_id", "left")
             .mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed binary"))

@@ -106,18 +106,50 @@ def test_odd_vectors(spark):
 
 
 def test_pipeline(spark):
+    """Each stage against brute force (the classifier against its own operator) on what it was given."""
     import corpus_pipeline as P
+    from splitlens.llm.common import materialise
+    from splitlens.llm.toxicity import toxicity
+    from tests.llm.test_scores import base
+    from tests.llm.test_text_joins import components, shingles
 
     sf = "/root/testdata/sf0.001"
-    docs, kept = spark.read.parquet(f"{sf}/documents.parquet"), []
-    given = docs
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    items = [shingles(r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    texts = lambda df: {r["doc_id"]: r["text"] for r in df.select("doc_id", "text").collect()}
+    given, seen = docs, [texts(docs)]
     for name, stage in P.STAGES:
         given = stage(spark, given, sf)
         if name != P.STAGES[-1][0]:
             assert given.columns == docs.columns
-        from splitlens.llm.common import materialise
-        given = materialise(given, "pipeline-test")
-        kept.append({r[0] for r in given.select("doc_id").collect()})
-    assert all(a >= b for a, b in zip(kept, kept[1:])) and kept[2] == kept[3] == kept[4]
-    assert {r["doc_id"] for r in P.run(spark, sf).select("doc_id").collect()} == kept[-1]
-    assert len(P.STAGES) == 5 and given.filter("rate IS NULL").count() == 0
+            given = materialise(given, "pipeline-test")
+            seen.append(texts(given))
+    start, clean, single, fresh, safe = seen
+    flagged = {r["doc_id"] for r in toxicity(docs, spark.read.parquet(f"{sf}/labels.parquet")).filter("toxic").collect()}
+    assert flagged and set(clean) == set(start) - flagged
+    assert set(single) == {i for i, _, c in components(list(clean.items())) if i == c} and len(single) < len(clean)
+    held = {i for i, t in single.items() for s in items if s and 100 * len(s & shingles(t)) >= 80 * len(s)}
+    assert set(fresh) == set(single) - held and held
+    assert all(clean[i] == t == start[i] for i, t in fresh.items())
+    assert set(safe) == set(fresh)
+    named = {i for i, t in fresh.items() if base(t)}
+    assert named and all((safe[i] != t) == (i in named) for i, t in fresh.items())
+    assert all(t[a:b] not in safe[i] or base(t)[0][3] != "email" for i, t in fresh.items() for a, _, b, k in base(t)[:1] if k == "email")
+    rated = given.collect()
+    assert sorted(r["doc_id"] for r in rated) == sorted(safe) and all(r["rate"] is not None and r["rate"] >= 0 for r in rated)
+    assert len(P.STAGES) == 5 and sorted(r["doc_id"] for r in P.run(spark, sf).select("doc_id").collect()) == sorted(safe)
+
+
+def test_pipeline_stages_on_odd_rows_and_empty_tables(spark, odd_docs, no_docs):
+    import corpus_pipeline as P
+
+    sf = "/root/testdata/sf0.001"
+    for name, stage in P.STAGES:
+        got = stage(spark, odd_docs, sf)
+        ids = [r["doc_id"] for r in got.select("doc_id").collect()]
+        assert set(ids) <= {r["doc_id"] for r in odd_docs.collect()} and {3, 4, 5} <= set(ids), name
+        if name in ("pii", "mixing"):
+            assert len(ids) == odd_docs.count()
+        if name != "mixing":
+            assert got.columns == odd_docs.columns
+        assert stage(spark, no_docs, sf).count() == 0

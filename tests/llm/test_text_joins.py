@@ -6,9 +6,13 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from pyspark.sql import functions as F
+
 from splitlens.llm import jaccard_join as J
+from splitlens.llm import suffix_dedup as S
 from splitlens.llm.components import connected_components
 from splitlens.llm.decontam import clean, contained_items
 from splitlens.llm.jaccard_join import jaccard_components, keep_one
@@ -87,6 +91,20 @@ def test_bits_bound_the_overlap_of_sets_of_any_sizes():
     assert (bound >= real).all() and (bound - real)[real == 0].max() < 400 and np.abs((bound - real)[i == j]).max() == 0
 
 
+def test_points_of_huge_and_small_sets_bound_the_overlap():
+    rng = np.random.default_rng(2)
+    huge = np.unique(rng.integers(0, 1 << 63, 120_000, dtype=np.uint64))
+    sets = [huge, huge[:-300], np.unique(rng.integers(0, 1 << 63, 900, dtype=np.uint64)), huge[::40]]
+    column = pa.array([J.count_vector(s).tobytes() for s in sets], pa.binary())
+    points = J.points_of(column)
+    assert points.shape[1] == J.GROUPS // 2 and points.sum(axis=1).tolist() == [len(s) for s in sets]
+    for a in range(4):
+        for b in range(4):
+            assert np.minimum(points[a], points[b]).sum() >= len(np.intersect1d(sets[a], sets[b]))
+    small = J.points_of(column.take(pa.array([2, 3])))
+    assert small.shape[1] == J.GROUPS and small.dtype == np.uint8 and small.sum(axis=1).tolist() == [len(sets[2]), len(sets[3])]
+
+
 def template_group(seed, n, own):
     """Texts of one template with ``own`` words of 60 replaced at fixed places: alike, but none at the threshold."""
     rng = random.Random(seed)
@@ -207,3 +225,29 @@ def test_repeated_strings_odd_rows(odd_docs, no_docs):
     assert {(r["n_bytes"], r["n_removed"]) for r in got if r["doc_id"] in (3, 4, None)} >= {(0, 0)}
     long = next(r for r in got if r["doc_id"] == 8)
     assert (long["n_removed"], long["n_spans"]) == (299_999, 1)
+
+
+def test_deep_identifiers_tell_windows_apart():
+    rng = np.random.default_rng(4)
+    part = np.concatenate([rng.integers(97, 100, 3000, dtype=np.uint8), np.full(500, 97, np.uint8)])
+    part = np.r_[part, part[1000:2500], part[:130]]
+    windows = [part[i:i + 100].tobytes() for i in range(len(part) - 99)]
+    for which in (0, 1):
+        ids = S.deep_identifiers(part, which)
+        assert len(ids) == len(windows) and len(set(ids.tolist())) == len(set(windows)) == len(set(zip(ids.tolist(), windows)))
+    assert len(S.deep_identifiers(part[:99], 0)) == 0 and len(S.deep_identifiers(part[:10], 0)) == 0 and len(S.deep_identifiers(part[:100], 0)) == 1
+
+
+def test_found_ranges_follow_the_data_and_not_the_partitions(spark, docs):
+    """As many rows go back to the documents with 8 shuffle partitions as with 200."""
+    made = {}
+    gather = S._by_slot
+    for partitions in (8, 200):
+        before = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+        counts = made.setdefault(partitions, [])
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(S, "_by_slot", lambda found, kind, n: counts.append(found.filter(F.col("kind") == kind).count()) or gather(found, kind, n))  # noqa: B023
+            repeated_strings(docs.limit(60).coalesce(1))
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert all(x <= 1.3 * y + 20 for x, y in zip(made[200], made[8]))
