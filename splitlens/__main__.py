@@ -10,7 +10,7 @@ import argparse
 import sys
 
 from splitlens.plans import ORACLE, QUERIES
-from splitlens.session import get_session
+from splitlens.session import get_session, scratch
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -32,12 +32,13 @@ def main(argv: list[str] | None = None) -> int:
         return 0
 
     spark = get_session(args.master)
-    df = QUERIES[args.key](spark, args.data)
-    if args.out:
-        w = df.write.mode("overwrite")
-        (w.option("header", True).csv(args.out) if args.format == "csv" else w.parquet(args.out))
-    if args.show:
-        df.show(args.show, truncate=False)
+    with scratch(spark):
+        df = QUERIES[args.key](spark, args.data)
+        if args.out:
+            w = df.write.mode("overwrite")
+            (w.option("header", True).csv(args.out) if args.format == "csv" else w.parquet(args.out))
+        if args.show:
+            df.show(args.show, truncate=False)
     return 0
 
 

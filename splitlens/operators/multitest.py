@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from splitlens.functions.numeric import harmonic
 from splitlens.operators import ranking as R
 from splitlens.pinned import ALPHA, STAT_DP
+from splitlens.session import written
 
 METHODS = ("bonferroni", "sidak", "holm", "holm_sidak", "simes_hochberg", "hommel",
            "fdr_bh", "fdr_by", "fdr_tsbh", "fdr_tsbky")
@@ -183,6 +184,7 @@ def _hommel(df, p_col, method, family, tiebreak, alpha, scan):
     base, fam = _with_family(df, family)
     p = F.col(p_col).cast("double")
     ranked = scan(base.withColumn("_p", p), [F.col("_p").asc(), *tiebreak], fam).frame.select(*base.columns, "_p", "_rn", "_n")
+    ranked = written(ranked, "hommel")  # read three times
     pieces = _tangent_pieces(ranked, fam, scan)
     mark = F.struct("t", (-F.col("hi")).alias("minus_hi"), "lo", "y", "c", "s_before").alias("piece")
     none = F.lit(None)
@@ -216,10 +218,10 @@ def _tangent_pieces(ranked: DataFrame, fam: list[str], scan) -> DataFrame:
     """``lo, hi, y, c, t, s_before`` per run of j that shares a hull vertex (c = m - its rank, y its p-value): t = S(hi) / (hi - 1),
     s_before = S(lo - 1) or NULL for lo = 1.  The last piece is j = m + 1 with S = 0."""
     points = scan.hull_parts(ranked.select(*fam, F.col("_n").alias("m"), F.col("_rn").alias("x"), F.col("_p").alias("y"), "_rn")).drop("_rn")
-    hull = _hull(points, [*fam, "_part"])
     if scan is _RangeScan:
-        hull = _hull(hull.withColumn("_part", F.floor(F.col("_part") / HULL_FAN)), [*fam, "_part"])
-    hull = _hull(hull.drop("_part"), fam)
+        points = _hull(points, [*fam, "_part"])
+        points = _hull(points.withColumn("_part", F.floor(F.col("_part") / HULL_FAN)), [*fam, "_part"])
+    hull = _hull(points.drop("_part"), fam)
     w = Window.partitionBy(*fam).orderBy("x")
     rise = F.lead("y").over(w) - F.col("y")
     # where the line through a vertex and the next one meets y = 0

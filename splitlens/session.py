@@ -10,6 +10,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -63,10 +66,31 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+_SCOPE: ContextVar[str | None] = ContextVar("splitlens_scratch", default=None)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside the block are deleted at its end.  Results must be read (written, collected) inside, too."""
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/splitlens-tables/scratch-{uuid.uuid4().hex[:12]}"
+    token = _SCOPE.set(folder)
+    try:
+        yield
+    finally:
+        _SCOPE.reset(token)
+        _delete(spark, folder)
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared checkpoint location for written tables."""
-    base = ensure_checkpoint_dir(spark)
-    path = f"{base.rstrip('/')}/splitlens-tables/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh folder under the shared checkpoint location for written tables (inside the open ``scratch``, if any)."""
+    base = _SCOPE.get() or f"{ensure_checkpoint_dir(spark).rstrip('/')}/splitlens-tables"
+    path = f"{base}/{name}-{uuid.uuid4().hex[:12]}"
     if path.startswith("file:"):
         os.makedirs(path[len("file:"):], exist_ok=True)
     return path
@@ -82,7 +106,5 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def drop_written(df: DataFrame) -> None:
     """Delete the files of a frame of ``written`` that nothing reads any more."""
-    sc = df.sparkSession.sparkContext
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = sc._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, folder)

@@ -16,7 +16,7 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "conversations")
 
 
-_READS: dict[tuple[int, str], DataFrame] = {}
+_READS: dict[tuple[str, str], DataFrame] = {}
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, refresh: bool = False) -> DataFrame:
@@ -25,7 +25,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, refresh: bool = Fals
     The DataFrame (and with it the file listing and footer schema) is reused within a
     session; pass ``refresh=True`` after the files changed."""
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (id(spark._jsparkSession), path)
+    key = (spark._jsparkSession.sessionUUID(), path)
     if refresh or key not in _READS:
         _READS[key] = spark.read.parquet(path)
     return _READS[key]

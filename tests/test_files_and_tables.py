@@ -5,7 +5,9 @@ import datetime as dt
 from pyspark.sql import types as T
 
 from splitlens.operators import assignment as A
+from splitlens.operators import profile as P
 from splitlens.operators import results as res
+from splitlens.session import ensure_checkpoint_dir, scratch
 from splitlens.sources import files
 
 AWKWARD = ["plain", "", " padded ", "\\N", "\\\\N", "N", None, 'say "hi", ok', "tab\there", "two\nlines", "cr\rlf\r\n", "\\n", "\\\\", "\\", "a\\\\nb\\\r\n\\r", ",", "é \u0085x"]
@@ -60,3 +62,27 @@ def test_faulty_units_are_not_counted_twice(spark):
     table = spark.createDataFrame([("e", i, "A" if i < 4 else "B") for i in range(1, 7)] * 3 + [("e", 6, "A")], "experiment_id string, unit_id long, variant string")
     got = res.result_total(units, orders, "e", dt.date(2024, 1, 1), dt.date(2024, 1, 31), assignments=A.from_table(table, "e"))
     assert sorted((r["variant"], r["units"], r["orders"]) for r in got.collect()) == [("A", 3, 3), ("B", 2, 2)]
+
+
+def _tables(spark):
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(ensure_checkpoint_dir(spark) + "/splitlens-tables")
+    fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    return {str(f.getPath()) for f in fs.listStatus(path)} if fs.exists(path) else set()
+
+
+def test_written_tables_do_not_pile_up(spark):
+    df = spark.range(500).selectExpr("CAST(id % 3 AS STRING) AS g", "id * id % 97 AS v", "id")
+    before = _tables(spark)
+    with scratch(spark):
+        rows = P.box_stats(df, "v", "g").collect()
+        files.roundtrip_parquet(spark, df, "copy").count()
+    assert len(rows) == 3 and _tables(spark) == before
+    with scratch(spark):      # an inner block ends without the outer one's tables
+        kept = files.roundtrip_parquet(spark, df, "kept")
+        with scratch(spark):
+            files.roundtrip_parquet(spark, df, "gone").count()
+        assert kept.count() == 500
+    assert _tables(spark) == before
+    assert len(P.box_stats(df, "v", "g").collect()) == 3
+    assert len(_tables(spark) - before) <= 2      # the last state of the selection and the boxes, whatever the passes
