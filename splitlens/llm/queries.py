@@ -86,6 +86,45 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 # SQL over whole tables is given where DuckDB can say the same thing in one query
 ORACLE: dict[str, str] = {
+    "op4_decontamination": r"""
+        WITH b_w AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
+        b AS (SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS s
+              FROM (SELECT item_id, w, least(len(w), 5) AS k, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM b_w WHERE len(w) > 0)),
+        n AS (SELECT item_id, count(*) AS n FROM b GROUP BY item_id),
+        d_w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        d AS (SELECT doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') AS s
+              FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d_w, (SELECT DISTINCT k FROM b) WHERE len(w) >= k)),
+        pair AS (SELECT doc_id, item_id, d.k, count(DISTINCT s) AS shared, min(i) AS lo, max(i) AS hi FROM d JOIN b USING (k, s) GROUP BY ALL)
+        SELECT doc_id, item_id, CAST(n AS INTEGER) AS n_item, CAST(shared AS INTEGER) AS n_shared, shared / n AS containment,
+               lo - 1 AS first_word, hi + k - 2 AS last_word
+        FROM pair JOIN n USING (item_id) WHERE 100 * shared >= 80 * n
+    """,
+    "op5_suffix_dedup": r"""
+        WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        win AS (SELECT doc_id, p, md5(b[p + 1:p + 100]) AS s FROM (SELECT doc_id, b, unnest(range(0, length(h) // 2 - 99)) AS p FROM d WHERE length(h) >= 200)),
+        later AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY s ORDER BY doc_id, p) AS k FROM win) WHERE k > 1),
+        mark AS (SELECT doc_id, p, CASE WHEN p > lag(p) OVER w + 100 THEN 1 ELSE 0 END AS new FROM later WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+        span AS (SELECT doc_id, min(p) AS lo, max(p) + 100 AS hi FROM (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS g FROM mark) GROUP BY doc_id, g),
+        edge AS (SELECT doc_id, lo, hi, coalesce(lag(hi) OVER w, 0) AS before FROM span WINDOW w AS (PARTITION BY doc_id ORDER BY lo)),
+        cut AS (SELECT doc_id, sum(hi - lo) AS n_removed, count(*) AS n_spans, max(hi) AS last, string_agg(substr(h, 2 * before + 1, 2 * (lo - before)), '' ORDER BY lo) AS front
+                FROM edge JOIN d USING (doc_id) GROUP BY doc_id)
+        SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+               sha256(unhex(coalesce(front || substr(h, 2 * last + 1), h))) AS kept_sha256
+        FROM d LEFT JOIN cut USING (doc_id)
+    """,
+    "op9_jaccard_join": r"""
+        WITH RECURSIVE d_w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        d AS (SELECT DISTINCT doc_id, CASE WHEN len(w) >= 5 THEN array_to_string(w[i:i + 4], ' ') ELSE array_to_string(w, ' ') END AS s
+               FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d_w WHERE len(w) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM d GROUP BY doc_id),
+        pair AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM d a JOIN d b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+        link AS (SELECT x, y FROM pair JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * k >= 80 * (nx.n + ny.n - k)),
+        way AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+        walk AS (SELECT doc_id AS node, doc_id AS root FROM n UNION SELECT way.y, walk.root FROM walk JOIN way ON way.x = walk.node),
+        low AS (SELECT node, min(root) AS root FROM walk GROUP BY node)
+        SELECT d_w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(low.root, d_w.doc_id) AS component_id
+        FROM d_w LEFT JOIN n USING (doc_id) LEFT JOIN low ON low.node = d_w.doc_id
+    """,
     "op8_warc_zip": """
         WITH p AS (SELECT page_id, url, coalesce(html, '') AS body FROM pages),
              h AS (SELECT page_id, url, octet_length(encode(body)) AS payload_bytes, sha1(body) AS hex,
