@@ -10,6 +10,8 @@ largest p down.  Ranks break ties on ``tiebreak`` columns so results are determi
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -131,9 +133,11 @@ def _second_stage(x: DataFrame, fam: list[str], alpha: float, first: float) -> D
     hypotheses and so leaves m - r as the estimate of the true nulls.  Stage two is BH at level first * m / (m - r), so the BH
     value a hypothesis is compared with shrinks by (m - r) / m; in units of ``alpha`` instead of ``first`` it is that
     times alpha / first.  When stage one rejects everything, nothing is left to estimate and its values stand."""
-    nulls = x.groupBy(*fam).agg(F.count_if(F.col("p_adj") > first).alias("_nulls"))
+    own = {c: f"_own{i}" for i, c in enumerate(fam)}
+    nulls = x.groupBy(*[F.col(c).alias(o) for c, o in own.items()]).agg(F.count_if(F.col("p_adj") > first).alias("_nulls"))
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(o)) for c, o in own.items()])   # a NULL family is a family
     share = F.when(F.col("_nulls") > 0, F.col("_nulls") / F.col("_n")).otherwise(1.0)
-    return x.join(nulls, fam).withColumn("p_adj", F.least(F.lit(1.0), F.col("p_adj") * share * (alpha / first)))
+    return x.join(nulls, same).withColumn("p_adj", F.least(F.lit(1.0), F.col("p_adj") * share * (alpha / first)))
 
 
 def _with_family(df: DataFrame, family: Sequence[str]) -> tuple[DataFrame, list[str]]:

@@ -17,7 +17,7 @@ def test_list_shows_every_key():
     assert out.returncode == 0
     keys = {line.split()[0] for line in out.stdout.splitlines() if line.strip()}
     assert {"ab_result_total", "mt_hommel", "funnel", "churn_model"} <= keys
-    assert len(keys) == 61
+    assert len(keys) == 68
 
 
 def test_run_writes_output(tmp_path):

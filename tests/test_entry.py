@@ -2,6 +2,8 @@
 
 import importlib.util
 import os
+import subprocess
+import sys
 
 from splitlens.plans import QUERIES
 from tests.conftest import SF001
@@ -33,3 +35,16 @@ def test_queries_and_oracles_line_up(spark):
     assert own == {"churn_model", "churn_evaluation", "price_model"}
     df = q["ab_cvr"](spark, SF001)
     assert df.count() == 2
+
+
+def _keys_without(module: str) -> set[str]:
+    """Registered keys of a fresh interpreter in which ``module`` cannot be imported."""
+    code = f"import sys; sys.modules[{module!r}] = None; import __spark_entry__ as e; print(' '.join(e.queries()))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, timeout=120, check=True)
+    return set(out.stdout.split())
+
+
+def test_queries_without_the_corpus_operators():
+    for missing in ("splitlens.llm", "zstandard"):
+        keys = _keys_without(missing)
+        assert set(QUERIES) <= keys and not any(k.startswith("op9_") or k == "pipeline" for k in keys)
