@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from splitlens.functions.numeric import harmonic
 from splitlens.operators import ranking as R
+from splitlens.operators.selection import settled
 from splitlens.pinned import ALPHA, STAT_DP
-from splitlens.session import written
 
 METHODS = ("bonferroni", "sidak", "holm", "holm_sidak", "simes_hochberg", "hommel",
            "fdr_bh", "fdr_by", "fdr_tsbh", "fdr_tsbky")
@@ -188,7 +188,7 @@ def _hommel(df, p_col, method, family, tiebreak, alpha, scan):
     base, fam = _with_family(df, family)
     p = F.col(p_col).cast("double")
     ranked = scan(base.withColumn("_p", p), [F.col("_p").asc(), *tiebreak], fam).frame.select(*base.columns, "_p", "_rn", "_n")
-    ranked = written(ranked, "hommel")  # read three times
+    ranked, _ = settled(ranked)  # read three times
     pieces = _tangent_pieces(ranked, fam, scan)
     mark = F.struct("t", (-F.col("hi")).alias("minus_hi"), "lo", "y", "c", "s_before").alias("piece")
     none = F.lit(None)

@@ -93,7 +93,7 @@ def box_stats(df: DataFrame, value: str, group: str) -> DataFrame:
     box = ends.join(sizes.select(group, "n"), group).select(
         group, *[(F.col(f"{name}_lo") + (pos[name] - F.floor(pos[name])) * (F.col(f"{name}_hi") - F.col(f"{name}_lo"))).alias(name)
                  for name, _ in quartiles])
-    box = written(box, "box")
+    box, _ = S.settled(box)
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     near = rows.join(S.small(box, box.count()), group).groupBy(group, "q1", "median", "q3").agg(
         F.min(F.when(F.col(value) >= F.col("q1") - reach, F.col(value))).alias("lo_whisker"),

@@ -24,6 +24,7 @@ from splitlens.session import drop_written, written
 
 BINS = 4096
 SMALL_STATE = 100_000     # ranges up to which they are sent to every task instead of shuffling the rows
+FEW_STATE = 5_000         # rows of state up to which it is kept by the driver instead of a written table
 RANGES = 200              # value ranges of running_counts
 
 
@@ -44,13 +45,26 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= SMALL_STATE else df
 
 
+def local(df: DataFrame) -> DataFrame:
+    """The rows of ``df``, known to be few, held by the driver."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
+def settled(df: DataFrame) -> tuple[DataFrame, bool]:
+    """``df`` evaluated once: held by the driver when it has at most FEW_STATE rows (counted), else a written table."""
+    rows = df.limit(FEW_STATE + 1).collect()
+    if len(rows) <= FEW_STATE:
+        return df.sparkSession.createDataFrame(rows, df.schema), True
+    return written(df, "selection"), False
+
+
 def order_statistics(df: DataFrame, groups: Sequence[str], value: str, wanted: DataFrame, bins: int = BINS) -> DataFrame:
     """``groups, i, at, value, before`` for each row ``groups, i, at, lo, hi`` of ``wanted``: the value at position ``at``
     (from 1) of the group in ascending order, and how many rows of the group are smaller.
 
     ``lo`` and ``hi`` are the group's smallest and largest value (``group_ranges``).  Values are finite numbers."""
     rows = df.select(*groups, F.col(value).alias("_v"))
-    state = written(wanted.select(*groups, "i", "at", "lo", "hi", F.lit(0).cast("long").alias("before")), "selection")
+    state, few = settled(wanted.select(*groups, "i", "at", "lo", "hi", F.lit(0).cast("long").alias("before")))
     while True:
         ranges = state.filter("lo <> hi").select(*groups, "lo", "hi").distinct()
         open_ranges = ranges.count()
@@ -66,8 +80,12 @@ def order_statistics(df: DataFrame, groups: Sequence[str], value: str, wanted: D
         closer = (state.filter("lo <> hi").join(counted, [*groups, "lo", "hi"])
                   .filter((rank > F.col("_less")) & (rank <= F.col("_less") + F.col("_n")))
                   .select(*groups, "i", "at", F.col("_lo").alias("lo"), F.col("_hi").alias("hi"), (F.col("before") + F.col("_less")).alias("before")))
-        previous, state = state, written(closer.unionByName(state.filter("lo = hi")), "selection")
-        drop_written(previous)
+        previous, state = state, closer.unionByName(state.filter("lo = hi"))
+        if few:
+            state = local(state)
+        else:
+            state = written(state, "selection")
+            drop_written(previous)
 
 
 def running_counts(values: DataFrame, group: str, value: str, count: str, out: str, ranges: int = RANGES) -> DataFrame:

@@ -2,11 +2,13 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import types as T
 
 from splitlens.operators import assignment as A
 from splitlens.operators import profile as P
 from splitlens.operators import results as res
+from splitlens.operators import selection as S
 from splitlens.session import ensure_checkpoint_dir, scratch
 from splitlens.sources import files
 
@@ -84,5 +86,8 @@ def test_written_tables_do_not_pile_up(spark):
             files.roundtrip_parquet(spark, df, "gone").count()
         assert kept.count() == 500
     assert _tables(spark) == before
-    assert len(P.box_stats(df, "v", "g").collect()) == 3
+    assert len(P.box_stats(df, "v", "g").collect()) == 3 and _tables(spark) == before      # the state of few groups is not written
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(S, "FEW_STATE", 1)
+        assert len(P.box_stats(df, "v", "g").collect()) == 3
     assert len(_tables(spark) - before) <= 2      # the last state of the selection and the boxes, whatever the passes

@@ -15,8 +15,9 @@ def _rows(df, cols):
     return sorted((tuple(r[c] for c in cols) for r in df.collect()), key=str)
 
 
-@pytest.mark.parametrize("bins", [2, 5, 4096])
-def test_order_statistics_equal_sorting(spark, bins):
+@pytest.mark.parametrize("bins, few", [(5, 5000), (64, 3), (4096, 5000)])
+def test_order_statistics_equal_sorting(spark, monkeypatch, bins, few):
+    monkeypatch.setattr(S, "FEW_STATE", few)      # state by the driver, or in written tables
     rnd = random.Random(bins)
     data = [("hot" if rnd.random() < 0.8 else f"g{rnd.randint(0, 4)}", rnd.choice([7.25, rnd.gauss(0, 1), 10 ** rnd.uniform(-9, 9)])) for _ in range(3000)]
     df = spark.createDataFrame(data + [("one", 3.0), ("same", 2.0), ("same", 2.0)], "g string, v double").repartition(5)
