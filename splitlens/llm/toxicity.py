@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from splitlens.llm.common import Shipped
-from splitlens.llm.labelled import MAX_LABELLED, Logistic, labelled_sample
+from splitlens.llm.labelled import MAX_LABELLED, ROWS, Logistic, labelled_sample, side_by_side
 from splitlens.llm.textkernel import shingle_sets, utf8
 
 CATEGORIES = ("mention", "repeated", "toxic")
@@ -115,16 +115,18 @@ class Chain:
     def __init__(self, terms: list[str]):
         self.terms = terms
 
-    def fit(self, x: np.ndarray, targets: np.ndarray, fold: np.ndarray) -> "Chain":
-        """``targets`` has a column for each category, in the order of the chain."""
-        self.models = []
+    def fit(self, x: np.ndarray, targets: np.ndarray, fold: np.ndarray, present: np.ndarray | None = None) -> "Chain":
+        """``targets`` has a column for each category, in the order of the chain; ``present``, if given, stands before ``x``, in a byte each."""
+        self.models, parts, every = [], [x] if present is None else [present, x], np.arange(len(x))
         for c in range(targets.shape[1]):
             y = targets[:, c].astype(np.float64)
             honest = np.zeros(len(x))
             for f in np.unique(fold):
-                honest[fold == f] = Logistic().fit(x[fold != f], y[fold != f]).predict(x[fold == f])
-            self.models.append(Logistic().fit(x, y))
-            x = np.column_stack([x, honest])
+                model, mine = Logistic().fit(parts, y, every[fold != f]), every[fold == f]
+                for at, block in side_by_side(parts, mine):
+                    honest[mine[at]] = model.predict(block)
+            self.models.append(Logistic().fit(parts, y, every))
+            parts.append(honest[:, None])
         return self
 
     def predict(self, x: np.ndarray) -> np.ndarray:
@@ -133,32 +135,43 @@ class Chain:
         return x[:, -len(self.models):]
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches, ``ROWS`` rows at a time: a row of features takes 2 KB."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def _sample_features(terms: list[str]):
+    """The presence of the terms a bit each, then the two other features."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hits_of = Hits(terms)
-        for batch in batches:
+        for batch in _pieces(batches):
             x, hits = features(_strings(batch.column("text")), batch.num_rows, hits_of)
-            yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("fold"), pa.array(hits),
-                                              pa.array([r.tobytes() for r in x], pa.binary())], names=["label", "fold", "hits", "x"])
+            bits = np.packbits(x[:, :-2] > 0, axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array([b.tobytes() + r.tobytes() for b, r in zip(bits, x[:, -2:])], pa.binary()),
+                                              batch.column("label"), batch.column("fold"), pa.array(hits)], names=["x", "label", "fold", "hits"])
     return run
 
 
 def fit_chain(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Chain:
     sample = labelled_sample(docs, labels, "toxic", max_labelled)
     terms = mine_terms(sample)
-    rows = sample.mapInArrow(_sample_features(terms), "label int, fold int, hits long, x binary").orderBy("x", "label", "fold").collect()
-    x = np.array([np.frombuffer(r["x"]) for r in rows]).reshape(len(rows), len(terms) + 2)
-    hits = np.array([r["hits"] for r in rows], dtype=np.int64)
-    toxic = np.array([r["label"] for r in rows], dtype=np.int64)
-    fold = np.array([r["fold"] for r in rows], dtype=np.int64)
-    return Chain(terms).fit(x, np.column_stack([hits > 0, hits >= 3, toxic > 0]), fold)
+    # the sample is bounded and a row has some 50 bytes, so it is put in order here
+    rows = sorted(map(tuple, sample.mapInArrow(_sample_features(terms), "x binary, label int, fold int, hits long").collect()))
+    width = -(-len(terms) // 8)
+    packed = np.frombuffer(b"".join(r[0] for r in rows), np.uint8).reshape(len(rows), width + 16)
+    toxic, fold, hits = (np.array([r[i] for r in rows], dtype=np.int64) for i in (1, 2, 3))
+    present = np.unpackbits(packed[:, :width], axis=1, count=len(terms))
+    rest = np.ascontiguousarray(packed[:, width:]).view(np.float64)
+    return Chain(terms).fit(rest, np.column_stack([hits > 0, hits >= 3, toxic > 0]), fold, present)
 
 
 def _score(chain_of, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = chain_of.value
         hits_of = Hits(model.terms)
-        for batch in batches:
+        for batch in _pieces(batches):
             p = model.predict(features(_strings(batch.column("text")), batch.num_rows, hits_of)[0])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c) for c in p.T), pa.array(p[:, -1] >= threshold)],
                                              names=["doc_id", "p_mention", "p_repeated", "score", "toxic"])
@@ -180,7 +193,7 @@ def _keep(chain_of, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = chain_of.value
         hits_of = Hits(model.terms)
-        for batch in batches:
+        for batch in _pieces(batches):
             p = model.predict(features(_strings(batch.column("text")), batch.num_rows, hits_of)[0])[:, -1]
             yield batch.filter(pa.array(p < threshold))
     return run

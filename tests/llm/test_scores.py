@@ -3,9 +3,11 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -31,6 +33,36 @@ def test_chain_feeds_earlier_probabilities():
     assert (model.predict(x)[:, 1].round() == first).mean() > 0.97
 
 
+def test_chain_is_fitted_without_the_whole_matrix():
+    rng = np.random.default_rng(1)
+    present = (rng.random((6000, 200)) < 0.05).astype(np.uint8)
+    x = rng.normal(size=(6000, 2))
+    hits = present[:, :20].sum(axis=1)
+    targets, fold = np.column_stack([hits > 0, hits + x[:, 0] > 2]), np.arange(6000) % 5
+    tracemalloc.start()
+    model = toxicity.Chain([]).fit(x, targets, fold, present)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 6000 * 202 * 8  # several copies of the matrix before
+    whole = toxicity.Chain([]).fit(np.column_stack([present, x]), targets, fold)
+    for one, other in zip(model.models, whole.models):
+        assert np.allclose(one.weights, other.weights) and np.isclose(one.bias, other.bias)
+
+
+def test_sample_rows_of_the_chain_are_small(spark):
+    terms = [f"t{k}" for k in range(11)]
+    texts = ["t0 t10 t10 other", "nothing here", None, "t3 " * 3000]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array([1, 0, 0, 1], pa.int32()), pa.array([0, 1, 2, 3], pa.int32())], names=["text", "label", "fold"])
+    got = pa.Table.from_batches(toxicity._sample_features(terms)(iter([batch]))).to_pydict()
+    x, hits = toxicity.features(texts, 4, toxicity.Hits(terms))
+    assert got["hits"] == hits.tolist() == [3, 0, 0, 3000] and got["label"] == [1, 0, 0, 1] and got["fold"] == [0, 1, 2, 3]
+    for row, want in zip(got["x"], x):
+        assert len(row) == 2 + 16  # 8 for each term before
+        assert np.unpackbits(np.frombuffer(row[:2], np.uint8), count=11).tolist() == want[:-2].tolist() and np.frombuffer(row[2:]).tolist() == want[-2:].tolist()
+    none = spark.createDataFrame([], "doc_id long, text string")
+    assert toxicity.fit_chain(none, spark.createDataFrame([(1, 1)], "doc_id long, toxic int")).terms == []
+
+
 def test_scores_of_odd_rows(spark, odd_docs, no_docs, labels):
     for score in (toxicity.toxicity, quality.quality_scores):
         assert score(odd_docs, labels).count() == odd_docs.count() and score(no_docs, labels).count() == 0
