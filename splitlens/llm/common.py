@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -26,6 +29,23 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, most: int) -> Iterator[None]:
+    """Queries that run inside the block hand Python at most ``most`` rows at once, so that the batches of whole texts held by a
+    task on both sides stay small.  The session's own setting, if lower, holds, and is put back at the end."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was, now = spark.conf.get(key, None), int(spark.conf.get(key))
+    if now <= 0 or now > most:
+        spark.conf.set(key, str(most))
+    try:
+        yield
+    finally:
+        if was is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, was)
+
+
 def slots(spark: SparkSession) -> int:
     """Number of hash slots for packed exchanges: grows with the shuffle partitions, which the
     cluster sizes by its input."""

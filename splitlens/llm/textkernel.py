@@ -14,7 +14,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE = 1 << 20  # bytes hashed at once; longer rows are cut at white space
+PIECE = 1 << 20  # bytes looked at at once; longer rows are cut
+HASHED = 1 << 17  # of words hashed at once, which takes some 40 times that; longer rows are cut at white space
 BASE = 0x9E3779B97F4A7C55
 INVERSE = pow(BASE, -1, 1 << 64)
 SHINGLE = 5
@@ -27,7 +28,7 @@ def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i modulo 2**64 for i < n."""
     have = _POWERS.get("up")
     if have is None or len(have) < n:
-        size = max(n, PIECE + 1)
+        size = max(n, min(PIECE + 1, 1 << n.bit_length()))
         for name, base in (("up", BASE), ("down", INVERSE)):
             t = np.full(size, base, dtype=np.uint64)
             t[0] = 1
@@ -91,17 +92,17 @@ def run_hashes(part: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: np
 
 
 def _cuts(part: np.ndarray, classes: np.ndarray) -> list[int]:
-    """Where to cut one long row: after white space, at least every PIECE bytes where there is any."""
+    """Where to cut one long row: after white space, at least every HASHED bytes where there is any."""
     cuts, at = [0], 0
-    while len(part) - at > PIECE:
-        gap = np.flatnonzero(classes[part[at + 1:at + PIECE]] == 0)
+    while len(part) - at > HASHED:
+        gap = np.flatnonzero(classes[part[at + 1:at + HASHED]] == 0)
         if len(gap):
             at += int(gap[-1]) + 1
         else:  # one huge word
-            rest = np.flatnonzero(classes[part[at + PIECE:]] == 0)
+            rest = np.flatnonzero(classes[part[at + HASHED:]] == 0)
             if not len(rest):
                 break
-            at += PIECE + int(rest[0])
+            at += HASHED + int(rest[0])
         cuts.append(at)
     return [*cuts, len(part)]
 
@@ -111,10 +112,10 @@ def word_hashes(buf: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, int, np
     classes, lower = word_classes(), lower_table()
     i, n = 0, len(off) - 1
     while i < n:
-        j = int(np.searchsorted(off, off[i] + PIECE, side="right")) - 1
+        j = int(np.searchsorted(off, off[i] + HASHED, side="right")) - 1
         j = min(max(j, i + 1), n)
         part = buf[off[i]:off[j]]
-        if len(part) <= PIECE:
+        if len(part) <= HASHED:
             starts, ends = token_runs(part, classes, np.minimum(off[i:j] - off[i], len(part)))
             yield i, j, run_hashes(part, starts, ends, lower), np.searchsorted(starts, off[i:j + 1] - off[i])
         else:

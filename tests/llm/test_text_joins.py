@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 
 from splitlens.llm import jaccard_join as J
 from splitlens.llm import suffix_dedup as S
+from splitlens.llm import textkernel as K
+from splitlens.llm.common import arrow_rows
 from splitlens.llm.components import connected_components
 from splitlens.llm.decontam import clean, contained_items
 from splitlens.llm.jaccard_join import jaccard_components, keep_one
@@ -251,3 +254,53 @@ def test_found_ranges_follow_the_data_and_not_the_partitions(spark, docs):
             repeated_strings(docs.limit(60).coalesce(1))
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert all(x <= 1.3 * y + 20 for x, y in zip(made[200], made[8]))
+
+
+def test_jaccard_hands_python_few_rows_at_once(spark, monkeypatch):
+    key, seen, write = "spark.sql.execution.arrow.maxRecordsPerBatch", [], J.materialise
+    monkeypatch.setattr(J, "materialise", lambda df, name: seen.append(int(spark.conf.get(key))) or write(df, name))
+    was = spark.conf.get(key)
+    rows = near_copies(5, 40)
+    assert sorted(map(tuple, jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect())) == components(rows)
+    assert set(seen) == {J.BATCH} and spark.conf.get(key) == was
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    with arrow_rows(spark, 7):
+        assert sorted(r["n"] for r in spark.range(0, 20, 1, 1).mapInArrow(sizes, "n long").collect()) == [6, 7, 7]
+    assert spark.conf.get(key) == was
+
+
+def test_word_hashes_take_little_memory_and_do_not_depend_on_the_pieces(monkeypatch):
+    rng = random.Random(6)
+    texts = [" ".join(f"w{rng.randrange(500)}" for _ in range(300)) for _ in range(2000)] + ["z" * 400_000 + " a b", "x y " * 100_000]
+    buf, off = K.utf8(pa.array(texts))
+    monkeypatch.setattr(K, "_POWERS", {})
+    tracemalloc.start()
+    for _ in K.shingle_sets(buf, off):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6  # over 60 MB with a megabyte at once
+    some = [s.tolist() for s in K.shingle_sets(*K.utf8(pa.array(texts[-4:])))]
+    for piece in (64, 1 << 20):
+        monkeypatch.setattr(K, "HASHED", piece)
+        assert [s.tolist() for s in K.shingle_sets(*K.utf8(pa.array(texts[-4:])))] == some
+
+
+def test_prefixes_are_the_same_however_they_are_packed(monkeypatch):
+    batches = [pa.RecordBatch.from_arrays([pa.array([t for _, t in near_copies(k, 60)])], names=["text"]) for k in range(3)]
+
+    class levels_of:
+        value = bytes(1 << J.CELL_BITS)
+
+    def rows():
+        out = list(J._prefixes(levels_of, 4, J.PERCENT)(iter(batches)))
+        return len(out), sorted(J.unpack(pa.chunked_array([b.column("data") for b in out]), J._MEMBER).tolist())
+
+    one, members = rows()
+    monkeypatch.setattr(J, "PACKED", 50)
+    many, again = rows()
+    assert one == 1 and many > 3 and again == members
